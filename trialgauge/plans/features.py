@@ -112,19 +112,24 @@ def _ratio(num: str, den: str) -> Column:
     return F.when(F.col(den) > 0, F.col(num) / F.col(den)).otherwise(0.0)
 
 
-def site_features(
+def site_features(src: Sources, **options) -> DataFrame:
+    """One row per site with the eight features."""
+    return features_from_totals(site_totals(src), src, **options)
+
+
+def features_from_totals(
+    totals: DataFrame,
     src: Sources,
     visit_denominator: int = VISIT_DENOMINATOR,
     page_denominator: int = PAGE_DENOMINATOR,
     fill_null_days: bool = True,
 ) -> DataFrame:
-    """One row per site with the eight features."""
     page_days = "pag_n" if fill_null_days else "pag_days_n"
     rates = {
         "meddra_coding_rate": FEATURE_DEFAULTS["meddra_coding_rate"] if src.meddra_rate is None else src.meddra_rate,
         "whodd_coding_rate": FEATURE_DEFAULTS["whodd_coding_rate"] if src.whodd_rate is None else src.whodd_rate,
     }
-    return site_totals(src).select(
+    return totals.select(
         "site_id",
         F.least(F.lit(1.0), F.col("vis_n") / F.lit(float(visit_denominator))).alias("missing_visits_pct"),
         F.least(F.lit(1.0), F.col("pag_n") / F.lit(float(page_denominator))).alias("missing_pages_pct"),

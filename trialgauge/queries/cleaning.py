@@ -183,7 +183,7 @@ def c14(spark, sf_dir):
 
 @book.add(
     "c15_default_fill",
-    "SELECT s.site, coalesce(p, 0.0) AS missing_pages_pct, 0.99 AS meddra_coding_rate FROM v_sites s LEFT JOIN "
+    "SELECT s.site, CAST(coalesce(p, 0.0) AS DOUBLE) AS missing_pages_pct, 0.99::DOUBLE AS meddra_coding_rate FROM v_sites s LEFT JOIN "
     "(SELECT sitenumber, least(1.0, count(*) / 50.0) AS p FROM v_pages WHERE days_missing > 110 GROUP BY sitenumber HAVING count(*) > 2) q "
     "ON s.site = q.sitenumber",
 )

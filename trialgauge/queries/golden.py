@@ -73,16 +73,16 @@ def n06(spark, sf_dir):
     return _count(cv.safety(spark, sf_dir, ["site"]))
 
 
-@book.add("n07_studies_below_issue_mean", "SELECT count(*) AS n FROM q_study_metrics WHERE total_issues < (SELECT avg(total_issues) FROM q_study_metrics)")
-def n07(spark, sf_dir):
+@book.add("n07b_studies_below_issue_mean", "SELECT count(*) AS n FROM q_study_metrics WHERE total_issues < (SELECT avg(total_issues) FROM q_study_metrics)")
+def n07b(spark, sf_dir):
     m = study_metrics(spark, sf_dir)
     mean = m.agg(F.avg("total_issues").alias("mean")).withColumn("_k", F.lit(1))
     joined = m.withColumn("_k", F.lit(1)).join(F.broadcast(mean), "_k")
     return joined.agg(F.count_if(F.col("total_issues") < F.col("mean")).alias("n"))
 
 
-@book.add("n07b_studies_without_issues", "SELECT count(*) FILTER (WHERE total_issues = 0) AS n FROM q_study_metrics")
-def n07b(spark, sf_dir):
+@book.add("n07_studies_without_issues", "SELECT count(*) FILTER (WHERE total_issues = 0) AS n FROM q_study_metrics")
+def n07(spark, sf_dir):
     return study_metrics(spark, sf_dir).agg(F.count_if(F.col("total_issues") == 0).alias("n"))
 
 

@@ -345,7 +345,7 @@ def q20_selected(spark, sf_dir):
 @book.add(
     "q21_result_row",
     "SELECT s.entity_id, 'site' AS entity_type, round(s.score, 2) AS score, s.grade, s.status, s.is_clean, s.critical_count, s.warning_count, 'stable' AS trend, "
-    "(SELECT round(sum(round(contribution, 4)), 3) FROM q_site_hybrid_m m WHERE m.entity_id = s.entity_id) AS contributions, "
+    "(SELECT round(sum(round(contribution, 4)), 4) FROM q_site_hybrid_m m WHERE m.entity_id = s.entity_id) AS contributions, "
     "(SELECT count(*) FROM q_site_hybrid_m m WHERE m.entity_id = s.entity_id AND round(z, 2) <> 0) AS shown_z, "
     "CAST(NULL AS DOUBLE) AS population_percentile FROM q_site_hybrid s",
 )
@@ -354,7 +354,7 @@ def q21(spark, sf_dir):
     return rows.select(
         "entity_id", "entity_type", "score", "grade", "status", "is_clean", "critical_count", "warning_count",
         F.col("trend.direction").alias("trend"),
-        F.round(sc.total(F.col("breakdown"), "contribution"), 3).alias("contributions"),
+        F.round(sc.total(F.col("breakdown"), "contribution"), 4).alias("contributions"),
         F.size(F.filter("breakdown", lambda m: m["z_score"].isNotNull())).cast("long").alias("shown_z"),
         "population_percentile",
     )
