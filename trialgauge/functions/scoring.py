@@ -92,107 +92,128 @@ class Config:
         return replace(self, rules=tuple(rules.values()))
 
 
-def rule_status(v: Column, rule: MetricRule) -> Column:
+# The per-metric rules below return SQL text. A score row is built from a few hundred
+# operators; one parsed expression is far cheaper to plan than as many Column calls.
+
+
+def _num(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def rule_status(v: str, rule: MetricRule) -> str:
     if not rule.known:
-        return F.when(v.isNotNull(), "good").otherwise("good")
-    if rule.direction == LOWER:
-        return F.when(v <= rule.good, "good").when(v <= rule.warning, "warning").otherwise("critical")
-    return F.when(v >= rule.good, "good").when(v >= rule.warning, "warning").otherwise("critical")
+        return "'good'"
+    sign = "<=" if rule.direction == LOWER else ">="
+    return (
+        f"CASE WHEN {v} {sign} {_num(rule.good)} THEN 'good' WHEN {v} {sign} {_num(rule.warning)} THEN 'warning' "
+        "ELSE 'critical' END"
+    )
 
 
-def rule_normalised(v: Column, rule: MetricRule) -> Column:
+def rule_normalised(v: str, rule: MetricRule) -> str:
     """Piecewise linear quality in [0, 1]; 0.8 at the good bound, 0.3 at the critical one."""
     if not rule.known:
-        return F.lit(0.5)
-    g, c = F.lit(float(rule.good)), F.lit(float(rule.critical))
+        return "0.5D"
+    g, c = _num(rule.good), _num(rule.critical)
     if rule.direction == LOWER:
         return (
-            F.when(v <= 0, 1.0)
-            .when(v <= g, 1.0 - 0.2 * F.try_divide(v, g))
-            .when(v <= c, 0.8 - 0.5 * F.try_divide(v - g, c - g))
-            .otherwise(F.greatest(F.lit(0.0), 0.3 - 0.3 * F.try_divide(v - c, c)))
+            f"CASE WHEN {v} <= 0 THEN 1D WHEN {v} <= {g} THEN 1D - 0.2D * try_divide({v}, {g}) "
+            f"WHEN {v} <= {c} THEN 0.8D - 0.5D * try_divide({v} - {g}, {c} - {g}) "
+            f"ELSE greatest(0D, 0.3D - 0.3D * try_divide({v} - {c}, {c})) END"
         )
     return (
-        F.when(v >= 1, 1.0)
-        .when(v >= g, 1.0 - 0.2 * F.try_divide(1.0 - v, 1.0 - g))
-        .when(v >= c, 0.8 - 0.5 * F.try_divide(g - v, g - c))
-        .otherwise(F.greatest(F.lit(0.0), 0.3 * F.try_divide(v, c)))
+        f"CASE WHEN {v} >= 1 THEN 1D WHEN {v} >= {g} THEN 1D - 0.2D * try_divide(1D - {v}, 1D - {g}) "
+        f"WHEN {v} >= {c} THEN 0.8D - 0.5D * try_divide({g} - {v}, {g} - {c}) "
+        f"ELSE greatest(0D, 0.3D * try_divide({v}, {c})) END"
     )
 
 
 Baseline = Mapping[str, float]
 
 
-def z_score(v: Column, base: Baseline | None) -> Column:
+def z_score(v: str, base: Baseline | None) -> str:
     if base is None:
-        return F.lit(None).cast("double")
+        return "CAST(NULL AS DOUBLE)"
     if not base["std"]:
-        return F.lit(0.0)
-    return (v - F.lit(base["mean"])) / F.lit(base["std"])
+        return "0D"
+    return f"(({v} - {_num(base['mean'])}) / {_num(base['std'])})"
 
 
-def is_outlier(v: Column, base: Baseline | None, limit: float = OUTLIER_Z) -> Column:
-    return F.lit(False) if base is None else F.abs(z_score(v, base)) > limit
+def is_outlier(v: str, base: Baseline | None, limit: float = OUTLIER_Z) -> str:
+    return "false" if base is None else f"abs({z_score(v, base)}) > {_num(limit)}"
 
 
-def interpolated_percentile(v: Column, base: Baseline | None) -> Column:
+def interpolated_percentile(v: str, base: Baseline | None) -> str:
     """Percentile read off the baseline knots.
 
     Knots are sorted by value and stay in listed order when equal, so a metric whose
     25th percentile equals its minimum scores 25 at the minimum.
     """
     if base is None:
-        return F.lit(None).cast("double")
+        return "CAST(NULL AS DOUBLE)"
     knots = [(base[f"p{p}"], float(p)) for p in (25, 50, 75, 90, 95)] + [(base["min"], 0.0), (base["max"], 100.0)]
     knots.sort(key=lambda k: k[0])
-    out = F.when(v <= knots[0][0], F.lit(knots[0][1])).when(v >= knots[-1][0], F.lit(knots[-1][1]))
+    arms = [
+        f"WHEN {v} <= {_num(knots[0][0])} THEN {_num(knots[0][1])}",
+        f"WHEN {v} >= {_num(knots[-1][0])} THEN {_num(knots[-1][1])}",
+    ]
     for (x0, y0), (x1, y1) in zip(knots, knots[1:]):
-        inside = (v >= x0) & (v <= x1)
-        value = F.lit(y0) if x0 == x1 else F.lit(y0) + (v - F.lit(x0)) / F.lit(x1 - x0) * F.lit(y1 - y0)
-        out = out.when(inside, value)
-    return out.otherwise(F.lit(50.0))
-
-
-def percentile_status(p: Column, direction: str) -> Column:
-    if direction == LOWER:
-        ladder = F.when(p <= 25, "good").when(p <= 75, "warning").otherwise("critical")
-    else:
-        ladder = F.when(p >= 75, "good").when(p >= 25, "warning").otherwise("critical")
-    return F.when(p.isNull(), "warning").otherwise(ladder)
-
-
-def percentile_normalised(p: Column, direction: str) -> Column:
-    share = 1.0 - p / 100.0 if direction == LOWER else p / 100.0
-    return F.coalesce(share, F.lit(0.5))
-
-
-def metric_score(v: Column, rule: MetricRule, base: Baseline | None, cfg: Config) -> Column:
-    """``struct(name, raw_value, normalized_value, weight, contribution, status, z_score, percentile)``."""
-    v = v.cast("double")
-    null = F.lit(None).cast("double")
-    pct = interpolated_percentile(v, base)
-    if cfg.mode == "rules":
-        norm, status, z, pct = rule_normalised(v, rule), rule_status(v, rule), null, null
-    elif cfg.mode == "statistical":
-        norm, status, z = percentile_normalised(pct, rule.direction), percentile_status(pct, rule.direction), z_score(v, base)
-    elif cfg.mode == "hybrid":
-        norm = rule_normalised(v, rule) * cfg.rule_share + percentile_normalised(pct, rule.direction) * cfg.stat_share
-        status, z = rule_status(v, rule), z_score(v, base)
-    else:
-        raise ValueError(f"unknown scoring mode {cfg.mode!r}")
-    weight = F.when(status == "critical", F.lit(rule.weight * rule.multiplier)).otherwise(F.lit(rule.weight))
-    return F.struct(
-        F.lit(rule.name).alias("name"),
-        v.alias("raw_value"),
-        norm.alias("normalized_value"),
-        weight.alias("weight"),
-        (norm * weight * 100.0).alias("contribution"),
-        status.alias("status"),
-        z.alias("z_score"),
-        pct.alias("percentile"),
+        line = _num(y0) if x0 == x1 else f"{_num(y0)} + ({v} - {_num(x0)}) / {_num(x1 - x0)} * {_num(y1 - y0)}"
+        arms.append(f"WHEN {v} >= {_num(x0)} AND {v} <= {_num(x1)} THEN {line}")
+    return f"CASE {' '.join(arms)} ELSE 50D END"
+
+
+def percentile_status(p: str, direction: str) -> str:
+    sign, good, warning = ("<=", 25, 75) if direction == LOWER else (">=", 75, 25)
+    return (
+        f"CASE WHEN {p} IS NULL THEN 'warning' WHEN {p} {sign} {good} THEN 'good' WHEN {p} {sign} {warning} THEN 'warning' "
+        "ELSE 'critical' END"
     )
 
 
+def percentile_normalised(p: str, direction: str) -> str:
+    share = f"1D - {p} / 100D" if direction == LOWER else f"{p} / 100D"
+    return f"coalesce({share}, 0.5D)"
+
+
+def score_projections(
+    rules: Sequence[MetricRule], baselines: Mapping[str, Baseline], cfg: Config
+) -> list[list[str]]:
+    """Successive projections from metric columns to a ``breakdown`` array column.
+
+    Each level names what the next one uses more than once, so no expression is
+    evaluated twice. The last level is one
+    ``struct(name, raw_value, normalized_value, weight, contribution, status, z_score,
+    percentile)`` per metric.
+    """
+    if cfg.mode not in ("rules", "statistical", "hybrid"):
+        raise ValueError(f"unknown scoring mode {cfg.mode!r}")
+    null = "CAST(NULL AS DOUBLE)"
+    read, judge, weigh, structs = [], [], [], []
+    for i, r in enumerate(rules):
+        base, v = baselines.get(r.name), f"v{i}"
+        read.append(f"CAST(`{r.name}` AS DOUBLE) AS {v}")
+        by_rule = cfg.mode == "rules"
+        judge += [
+            f"{null if by_rule else interpolated_percentile(v, base)} AS p{i}",
+            f"{null if by_rule else z_score(v, base)} AS z{i}",
+            f"{rule_normalised(v, r)} AS r{i}",
+        ]
+        stat = percentile_normalised(f"p{i}", r.direction)
+        norm = {"rules": f"r{i}", "statistical": stat, "hybrid": f"r{i} * {_num(cfg.rule_share)} + ({stat}) * {_num(cfg.stat_share)}"}
+        status = percentile_status(f"p{i}", r.direction) if cfg.mode == "statistical" else rule_status(v, r)
+        weigh += [f"{norm[cfg.mode]} AS n{i}", f"{status} AS s{i}"]
+        structs.append(
+            f"struct('{r.name}' AS name, {v} AS raw_value, n{i} AS normalized_value, w{i} AS weight, "
+            f"n{i} * w{i} * 100D AS contribution, s{i} AS status, z{i} AS z_score, p{i} AS percentile)"
+        )
+    weights = [
+        f"CASE WHEN s{i} = 'critical' THEN {_num(r.weight * r.multiplier)} ELSE {_num(r.weight)} END AS w{i}"
+        for i, r in enumerate(rules)
+    ]
+    return [read, judge, weigh, weights, [f"array({', '.join(structs)}) AS breakdown"]]
+
+
 def total(breakdown: Column, part: str) -> Column:
     return F.aggregate(breakdown, F.lit(0.0), lambda acc, m: acc + m[part])
 
@@ -228,39 +249,34 @@ def fixed(v: Column, places: int) -> Column:
     return F.call_function("format_number", v, F.lit(pattern))
 
 
-def top_issues(breakdown: Column, rules: Sequence[MetricRule], limit: int = 5) -> Column:
-    """Worst statuses first, heavier first; five are taken, then good ones dropped."""
-    priority = lambda m: F.when(m["status"] == "critical", 0).when(m["status"] == "warning", 1).otherwise(2)
-    names = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.display))])
-    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
-    ranked = F.array_sort(
-        F.transform(
-            breakdown,
-            lambda m: F.struct(
-                priority(m).alias("p"), (-m["weight"]).alias("w"), order[m["name"]].alias("o"),
-                m["name"].alias("n"), m["raw_value"].alias("v"), m["status"].alias("s"),
-            ),
-        )
+def _lookup(rules: Sequence[MetricRule], value) -> str:
+    return "map(" + ", ".join(f"'{r.name}', {value(i, r)}" for i, r in enumerate(rules)) + ")"
+
+
+def top_issues(rules: Sequence[MetricRule], limit: int = 5) -> Column:
+    """Worst statuses first, heavier first; five are taken, then good ones dropped.
+    Reads the ``breakdown`` column."""
+    names, order = _lookup(rules, lambda i, r: f"'{r.display}'"), _lookup(rules, lambda i, r: i)
+    ranked = (
+        "array_sort(transform(breakdown, m -> struct(CASE m.status WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS p, "
+        f"-m.weight AS w, {order}[m.name] AS o, m.name AS n, m.raw_value AS v, m.status AS s)))"
+    )
+    return F.expr(
+        f"transform(filter(slice({ranked}, 1, {limit}), x -> x.s <> 'good'), "
+        f"x -> concat({names}[x.n], ': ', format_number(x.v, '0.000'), ' (', x.s, ')'))"
     )
-    kept = F.filter(F.slice(ranked, 1, limit), lambda x: x["s"] != "good")
-    return F.transform(kept, lambda x: F.concat(names[x["n"]], F.lit(": "), fixed(x["v"], 3), F.lit(" ("), x["s"], F.lit(")")))
 
 
-def recommendations(breakdown: Column, rules: Sequence[MetricRule], limit: int = 3) -> Column:
-    """Templates of critical and warning metrics, smallest contribution first."""
+def recommendations(rules: Sequence[MetricRule], limit: int = 3) -> Column:
+    """Templates of critical and warning metrics, smallest contribution first.
+    Reads the ``breakdown`` column."""
     rules = [r for r in rules if r.name in RECOMMENDATIONS]
-    text = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(RECOMMENDATIONS[r.name]))])
-    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
-    bad = F.filter(breakdown, lambda m: m["status"].isin("critical", "warning"))
-    ranked = F.array_sort(
-        F.transform(
-            bad,
-            lambda m: F.struct(
-                m["contribution"].alias("c"), order[m["name"]].alias("o"), m["name"].alias("n"), m["raw_value"].alias("v")
-            ),
-        )
+    text, order = _lookup(rules, lambda i, r: f"'{RECOMMENDATIONS[r.name]}'"), _lookup(rules, lambda i, r: i)
+    ranked = (
+        "array_sort(transform(filter(breakdown, m -> m.status IN ('critical', 'warning')), "
+        f"m -> struct(m.contribution AS c, {order}[m.name] AS o, m.name AS n, m.raw_value AS v)))"
     )
-    return F.transform(
-        F.slice(ranked, 1, limit),
-        lambda x: F.replace(text[x["n"]], F.lit("{count}"), (x["v"] * 100).cast("long").cast("string")),
+    return F.expr(
+        f"transform(slice({ranked}, 1, {limit}), "
+        f"x -> replace({text}[x.n], '{{count}}', CAST(CAST(x.v * 100 AS BIGINT) AS STRING)))"
     )

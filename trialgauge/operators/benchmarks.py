@@ -203,10 +203,11 @@ def overall(bench: DataFrame) -> DataFrame:
     from ..functions.scoring import fixed
 
     order = F.array_position(F.array(*[F.lit(m) for m in BENCHMARK_METRICS]), F.col("metric"))
+    shown = lambda c, places: fixed(F.round(F.col(c), 9), places)  # noqa: E731  summation noise must not move a digit
     title = F.initcap(F.replace("metric", F.lit("_"), F.lit(" ")))
     advice = F.concat(
-        F.lit("Focus on "), F.replace("metric", F.lit("_"), F.lit(" ")), F.lit(": Currently at "), fixed(F.col("percentile"), 0),
-        F.lit("th percentile (value: "), fixed(F.col("value"), 2), F.lit(" vs cohort avg: "), fixed(F.col("cohort_mean"), 2), F.lit(")"),
+        F.lit("Focus on "), F.replace("metric", F.lit("_"), F.lit(" ")), F.lit(": Currently at "), shown("percentile", 0),
+        F.lit("th percentile (value: "), shown("value", 2), F.lit(" vs cohort avg: "), shown("cohort_mean", 2), F.lit(")"),
     )
     listed = lambda cond, text: F.transform(
         F.array_sort(F.collect_list(F.when(cond, F.struct(order.alias("o"), text.alias("t"))))), lambda s: s["t"]

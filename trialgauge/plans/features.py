@@ -188,9 +188,14 @@ def patients_matching(df: DataFrame, column: str, wanted: str, match: str = "exa
 
 
 def study_features(features: DataFrame, study_site: DataFrame, studies: DataFrame | None = None) -> DataFrame:
-    """Unweighted mean of a study's sites; a study without sites gets fixed values."""
+    """Unweighted mean of a study's sites; a study without sites gets fixed values.
+
+    The mean is held within the group's extremes: summing a constant must give the
+    constant back, or a metric shared by all sites would land off its own baseline.
+    """
+    mean = lambda m: F.greatest(F.min(m), F.least(F.max(m), F.avg(m)))
     pairs = study_site.select("study_id", F.col("site").alias("site_id")).distinct()
-    means = pairs.join(features, "site_id").groupBy("study_id").agg(*[F.avg(m).alias(m) for m in METRICS])
+    means = pairs.join(features, "site_id").groupBy("study_id").agg(*[mean(m).alias(m) for m in METRICS])
     if studies is not None:
         means = studies.select("study_id").distinct().join(means, "study_id", "left")
     return means.select("study_id", *[F.coalesce(F.col(m), F.lit(STUDY_DEFAULTS[m])).alias(m) for m in METRICS])

@@ -30,8 +30,10 @@ def score_entities(
     if only is not None:
         features = features.join(only.select(key), key, "left_semi")
     rules = [r for r in cfg.rules if r.name in features.columns]
-    breakdown = F.array(*[sc.metric_score(F.col(r.name), r, baselines.get(r.name), cfg) for r in rules])
-    scored = features.select(F.col(key).alias("entity_id"), F.lit(entity_type).alias("entity_type"), breakdown.alias("breakdown"))
+    scored = features.select(F.col(key).alias("entity_id"), F.lit(entity_type).alias("entity_type"), *[r.name for r in rules])
+    for level in sc.score_projections(rules, baselines, cfg):
+        scored = scored.selectExpr("*", *level)
+    scored = scored.select("entity_id", "entity_type", "breakdown")
     scored = scored.withColumns(
         {
             "score": sc.overall_score(F.col("breakdown")),
@@ -50,15 +52,19 @@ def score_entities(
         "warning_count",
         "breakdown",
         F.struct(F.lit("stable").alias("direction"), F.lit(0.0).alias("change_percent")).alias("trend"),
-        sc.recommendations(F.col("breakdown"), rules).alias("recommendations"),
-        sc.top_issues(F.col("breakdown"), rules).alias("top_issues"),
+        sc.recommendations(rules).alias("recommendations"),
+        sc.top_issues(rules).alias("top_issues"),
         F.lit(None).cast("double").alias("population_percentile"),
     )
 
 
 def metric_rows(scored: DataFrame) -> DataFrame:
-    """One row per entity and metric."""
-    return scored.select("entity_id", F.explode("breakdown").alias("m")).select("entity_id", "m.*")
+    """One row per entity and metric.
+
+    The array is never empty; the outer form keeps the optimizer from guarding the
+    explode with a filter that repeats the whole scoring expression.
+    """
+    return scored.select("entity_id", F.explode_outer("breakdown").alias("m")).select("entity_id", "m.*")
 
 
 def display_rows(scored: DataFrame, null_zero: bool = False) -> DataFrame:

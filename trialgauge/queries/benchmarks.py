@@ -170,8 +170,8 @@ def b10_metrics(spark, sf_dir):
 @book.add(
     "b11_recommendations",
     "SELECT site, coalesce(string_agg(a, '; ' ORDER BY ord), 'Maintain current performance levels') AS recommendations FROM ("
-    "SELECT site, ord, CASE WHEN percentile <= 25 THEN 'Focus on ' || replace(metric, '_', ' ') || ': Currently at ' || printf('%.0f', percentile) || 'th percentile (value: ' || "
-    "printf('%.2f', value) || ' vs cohort avg: ' || printf('%.2f', cohort_mean) || ')' END AS a, "
+    "SELECT site, ord, CASE WHEN percentile <= 25 THEN 'Focus on ' || replace(metric, '_', ' ') || ': Currently at ' || printf('%.0f', round(percentile, 9)) || 'th percentile (value: ' || "
+    "printf('%.2f', round(value, 9)) || ' vs cohort avg: ' || printf('%.2f', round(cohort_mean, 9)) || ')' END AS a, "
     "row_number() OVER (PARTITION BY site, percentile <= 25 ORDER BY ord) AS rn FROM q_bench JOIN q_titles USING (metric)) q WHERE rn <= 5 OR a IS NULL GROUP BY site",
 )
 def b11(spark, sf_dir):

@@ -66,7 +66,7 @@ define(
     "q_study_feat",
     "SELECT g.study_id, " + ", ".join(f"coalesce(a.{m}, {ft.STUDY_DEFAULTS[m]}) AS {m}" for m in M) + " FROM "
     "(SELECT DISTINCT 'Study ' || n_regionkey AS study_id FROM nation) g LEFT JOIN (SELECT study_id, "
-    + ", ".join(f"avg({m}) AS {m}" for m in M)
+    + ", ".join(f"greatest(min({m}), least(max({m}), avg({m}))) AS {m}" for m in M)
     + " FROM (SELECT DISTINCT study_id, site FROM v_esae) p JOIN q_feat f ON p.site = f.site_id GROUP BY study_id) a ON g.study_id = a.study_id",
 )
 

@@ -195,7 +195,7 @@ def q05(spark, sf_dir):
 def q06(spark, sf_dir):
     features = staged_features(spark, sf_dir)
     base = site_baselines(features)
-    flags = F.array(*[F.struct(F.lit(m).alias("name"), sc.is_outlier(F.col(m), base.get(m)).alias("outlier")) for m in ft.METRICS])
+    flags = F.array(*[F.struct(F.lit(m).alias("name"), F.expr(sc.is_outlier(m, base.get(m))).alias("outlier")) for m in ft.METRICS])
     return features.select(F.col("site_id").alias("entity_id"), F.inline(flags))
 
 

@@ -19,6 +19,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TRIALGAUGE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.log.level", "ERROR")
     )
     return builder.getOrCreate()
