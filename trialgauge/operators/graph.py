@@ -54,34 +54,52 @@ def _present(*names: str) -> Column:
     return out
 
 
+_ENTRIES = "array<struct<k:string,v:string>>"
+
+
 def _props(**values: Column) -> Column:
-    if not values:
-        return F.lit("{}")
-    return F.to_json(F.struct(*[v.cast("string").alias(k) for k, v in values.items()]))
+    """Properties as sorted-comparable entries; a map has no order to pick a winner by."""
+    entries = [F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in values.items()]
+    return F.array(*entries).cast(_ENTRIES)
+
+
+@dataclass(frozen=True)
+class Element:
+    """What one source row writes: a node, or an edge when ``dst`` is not empty."""
 
+    when: Column
+    src: Column
+    dst: Column
+    type: str
+    entries: Column
 
-def _node(when: Column, node_id: Column, node_type: str, **props: Column) -> Column:
-    return F.when(when, F.struct(node_id.alias("src"), F.lit("").alias("dst"), F.lit(node_type).alias("type"), _props(**props).alias("props_json")))
 
+def _node(when: Column, node_id: Column, node_type: str, **props: Column) -> Element:
+    return Element(when, node_id, F.lit(""), node_type, _props(**props))
 
-def _edge(when: Column, src: Column, dst: Column, edge_type: str, **props: Column) -> Column:
-    return F.when(when, F.struct(src.alias("src"), dst.alias("dst"), F.lit(edge_type).alias("type"), _props(**props).alias("props_json")))
+
+def _edge(when: Column, src: Column, dst: Column, edge_type: str, **props: Column) -> Element:
+    return Element(when, src, dst, edge_type, _props(**props))
 
 
 @dataclass(frozen=True)
 class Source:
-    """Rows and the graph elements each of them writes (null where it writes none)."""
-
     rows: DataFrame
-    elements: list[Column]
-
-    def written(self) -> DataFrame:
-        """One pass over the rows; outer form, so no filter repeats the templates."""
-        listed = F.explode_outer(F.filter(F.array(*self.elements), lambda e: e.isNotNull()))
-        return self.rows.select("row_ord", listed.alias("e")).select("row_ord", "e.*").where(F.col("src").isNotNull())
+    elements: list[Element]
+
+    def written(self) -> list[DataFrame]:
+        """One narrow projection per element over the staged source rows: its joins run
+        once, and each element scans only the columns it names."""
+        rows = stage(self.rows, "source")
+        return [
+            rows.where(e.when).select(
+                "row_ord", e.src.alias("src"), e.dst.alias("dst"), F.lit(e.type).alias("type"), e.entries.alias("entries")
+            )
+            for e in self.elements
+        ]
 
 
-def _people_and_places(study: str, subject: str, site: str | None = None, country: str | None = None, **subject_props: Column) -> list[Column]:
+def _people_and_places(study: str, subject: str, site: str | None = None, country: str | None = None, **subject_props: Column) -> list[Element]:
     """Study, subject and (where known) site and country nodes with their edges."""
     ok = _present(study, subject)
     s_id, p_id = _key("STUDY", study), _key("SUBJECT", subject)
@@ -182,7 +200,7 @@ def _metric_rows(study_metrics: DataFrame) -> DataFrame:
     values = {n: F.coalesce(F.col(n), F.lit(0)).cast("double") for n in STUDY_METRICS}
     return study_metrics.select(
         F.lit("").alias("row_ord"), F.concat(F.lit("STUDY:"), F.trim("study")).alias("src"), F.lit("").alias("dst"),
-        F.lit("Study").alias("type"), _props(**values).alias("props_json"),
+        F.lit("Study").alias("type"), _props(**values).alias("entries"),
     )
 
 
@@ -194,19 +212,20 @@ def first_writer(sources: list[Source], study_metrics: DataFrame | None = None)
     metrics travel in the same aggregate: they overwrite properties of studies that some
     source wrote and add none of their own.
     """
-    written = [s.written().withColumn("source_ord", F.lit(i)) for i, s in enumerate(sources)]
+    written = [df.withColumn("source_ord", F.lit(i)) for i, s in enumerate(sources) for df in s.written()]
     if study_metrics is not None:
         written.append(_metric_rows(study_metrics).withColumn("source_ord", F.lit(-1)))
     whole = reduce(DataFrame.unionByName, written)
     metric = F.col("source_ord") < 0
     out = whole.groupBy("src", "dst").agg(
-        F.min(F.when(~metric, F.struct("source_ord", "row_ord", "type", "props_json"))).alias("w"),
-        F.max(F.when(metric, F.col("props_json"))).alias("extra"),
+        F.min(F.when(~metric, F.struct("source_ord", "row_ord", "type", "entries"))).alias("w"),
+        F.max(F.when(metric, F.col("entries"))).alias("extra"),
+    )
+    kept = F.filter("w.entries", lambda e: ~e["k"].isin(STUDY_METRICS))
+    entries = F.when(F.col("extra").isNull(), F.col("w.entries")).otherwise(F.concat(kept, "extra"))
+    return out.where(F.col("w").isNotNull()).select(
+        "src", "dst", F.col("w.type").alias("type"), F.map_from_entries(entries).alias("props")
     )
-    props = F.from_json("w.props_json", "map<string,string>")
-    extra = F.from_json(F.coalesce("extra", F.lit("{}")), "map<string,string>")
-    kept = F.map_filter(props, lambda k, v: F.col("extra").isNull() | ~k.isin(STUDY_METRICS))
-    return out.where(F.col("w").isNotNull()).select("src", "dst", F.col("w.type").alias("type"), F.map_concat(kept, extra).alias("props"))
 
 
 def build(sources: list[Source], study_metrics: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -455,11 +474,11 @@ def view_parts(spark: SparkSession, sf_dir: str) -> dict[str, Source]:
     """Every source with its templates, in write order."""
     return {
         "issues": from_issues(cv.issues(spark, sf_dir)),
-        "safety": from_safety(cv.safety(spark, sf_dir)),
-        "meddra": from_meddra(cv.meddra(spark, sf_dir)),
-        "whodd": from_whodd(cv.whodd(spark, sf_dir)),
-        "pages": from_missing_pages(cv.missing_pages(spark, sf_dir)),
-        "visits": from_visits(cv.visits(spark, sf_dir)),
+        "safety": from_safety(cv.safety(spark, sf_dir, spread_rows=True)),
+        "meddra": from_meddra(cv.meddra(spark, sf_dir, spread_rows=True)),
+        "whodd": from_whodd(cv.whodd(spark, sf_dir, spread_rows=True)),
+        "pages": from_missing_pages(cv.missing_pages(spark, sf_dir, spread_rows=True)),
+        "visits": from_visits(cv.visits(spark, sf_dir, spread_rows=True)),
     }
 
 

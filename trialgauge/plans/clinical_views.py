@@ -19,8 +19,57 @@ from pyspark.sql import functions as F
 ANCHOR = "2001-12-31"
 
 
+# Declared so that reading a table costs no schema-inference job.
+TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+        "o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, *paths: str) -> DataFrame:
+    """Use every core on inputs too small to be split by the scan.
+
+    Meant for work that expands rows. Inputs that already fill the cores (measured by
+    file size) are left alone, so no shuffle is added at scale.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    total = 0
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        total += fs.getContentSummary(target).getLength()
+    return df.repartition(cores) if total < cores * split else df
+
+
+def _bytes(text: str) -> int:
+    units = {"b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20, "g": 2**30, "gb": 2**30}
+    digits = text.strip().lower().rstrip("bkmgt")
+    return int(float(digits) * units.get(text.strip().lower()[len(digits):] or "b", 1))
 
 
 def _age(col: str) -> Column:
@@ -65,8 +114,12 @@ def _lines(
     wanted: set[str],
     outputs: dict[str, Column],
     part_filter: Column | None = None,
+    spread_rows: bool = False,
 ) -> DataFrame:
     base = table(spark, sf_dir, "lineitem").where(where)
+    if spread_rows:
+        used = [c for c in base.columns if c in _LINE_COLUMNS]
+        base = spread(base.select(*used), f"{sf_dir}/lineitem.parquet")
     geo_cols = {"country", "study", "region"}
     order_cols = {"subject", "priority"}
     part_cols = {"p_type", "p_brand"}
@@ -85,6 +138,10 @@ def _lines(
     return base.select(*[outputs[c].alias(c) for c in outputs if c in wanted])
 
 
+_LINE_COLUMNS = {
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+}
+
 # which joined attribute each output column depends on
 _NEEDS = {
     "country": ("country",),
@@ -111,16 +168,18 @@ def _pick(columns: Iterable[str] | None, outputs: dict[str, Column], row_ord_fro
     return wanted
 
 
-def _view(spark, sf_dir, where, columns, outputs, row_ord_from, part_filter=None) -> DataFrame:
+def _view(spark, sf_dir, where, columns, outputs, row_ord_from, part_filter=None, spread_rows=False) -> DataFrame:
     wanted = _pick(columns, outputs, row_ord_from)
     fetch = wanted | set(row_ord_from) if "row_ord" in wanted else wanted
-    out = _lines(spark, sf_dir, where, fetch - {"row_ord"}, {k: v for k, v in outputs.items() if v is not None}, part_filter)
+    out = _lines(spark, sf_dir, where, fetch - {"row_ord"}, {k: v for k, v in outputs.items() if v is not None}, part_filter, spread_rows)
     if "row_ord" in wanted:
         out = out.withColumn("row_ord", F.concat_ws("|", *[F.col(c).cast("string") for c in row_ord_from]))
     return out.select(*[c for c in outputs if c in wanted])
 
 
-def visits(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
+def visits(
+    spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None, spread_rows: bool = False
+) -> DataFrame:
     where = (F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N") & (F.col("l_quantity") <= 8)
     outputs = {
         "study": F.col("study"),
@@ -132,10 +191,12 @@ def visits(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = Non
         "days_outstanding": (_age("l_shipdate") % 61).cast("double"),
         "row_ord": None,
     }
-    return _view(spark, sf_dir, where, columns, outputs, ("projected_date", "site", "subject", "visit"))
+    return _view(spark, sf_dir, where, columns, outputs, ("projected_date", "site", "subject", "visit"), None, spread_rows)
 
 
-def missing_pages(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
+def missing_pages(
+    spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None, spread_rows: bool = False
+) -> DataFrame:
     where = (F.col("l_returnflag") == "R") & (F.col("l_quantity") <= 6)
     outputs = {
         "study_name": F.col("study"),
@@ -148,10 +209,12 @@ def missing_pages(spark: SparkSession, sf_dir: str, columns: Iterable[str] | Non
         "days_missing": (_age("l_shipdate") % 121).cast("double"),
         "row_ord": None,
     }
-    return _view(spark, sf_dir, where, columns, outputs, ("visit_date", "sitenumber", "subjectname", "foldername", "formname"))
+    return _view(spark, sf_dir, where, columns, outputs, ("visit_date", "sitenumber", "subjectname", "foldername", "formname"), None, spread_rows)
 
 
-def safety(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
+def safety(
+    spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None, spread_rows: bool = False
+) -> DataFrame:
     where = F.col("l_quantity").between(10, 19)
     pending = (F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N")
     outputs = {
@@ -167,10 +230,10 @@ def safety(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = Non
         "row_ord": None,
     }
     ordinal = ("created", "discrepancy_id", "site", "form_name", "review_status", "action_status")
-    return _view(spark, sf_dir, where, columns, outputs, ordinal)
+    return _view(spark, sf_dir, where, columns, outputs, ordinal, None, spread_rows)
 
 
-def _coding(spark, sf_dir, columns, part_filter) -> DataFrame:
+def _coding(spark, sf_dir, columns, part_filter, spread_rows) -> DataFrame:
     outputs = {
         "study": F.col("study"),
         "site": _site("l_suppkey"),
@@ -183,15 +246,19 @@ def _coding(spark, sf_dir, columns, part_filter) -> DataFrame:
         "row_ord": None,
     }
     ordinal = ("created", "study", "subject", "form_oid", "logline", "coding_status")
-    return _view(spark, sf_dir, F.lit(True), columns, outputs, ordinal, part_filter)
+    return _view(spark, sf_dir, F.lit(True), columns, outputs, ordinal, part_filter, spread_rows)
 
 
-def meddra(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
-    return _coding(spark, sf_dir, columns, F.col("p_type").isin("ECONOMY", "MEDIUM"))
+def meddra(
+    spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None, spread_rows: bool = False
+) -> DataFrame:
+    return _coding(spark, sf_dir, columns, F.col("p_type").isin("ECONOMY", "MEDIUM"), spread_rows)
 
 
-def whodd(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
-    return _coding(spark, sf_dir, columns, ~F.col("p_type").isin("ECONOMY", "MEDIUM"))
+def whodd(
+    spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None, spread_rows: bool = False
+) -> DataFrame:
+    return _coding(spark, sf_dir, columns, ~F.col("p_type").isin("ECONOMY", "MEDIUM"), spread_rows)
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
