@@ -218,7 +218,7 @@ def population_statistics(
 ) -> DataFrame:
     """Long table ``metric, mean, std, min, max, p25 … p95``; one row per metric.
 
-    ``single_std`` replaces the undefined sample deviation of a single value.
+    ``features`` should be staged. ``single_std`` replaces the undefined sample deviation of a single value.
     """
     rows = unpivot(features, key, metrics).where(F.col("value").isNotNull())
     std = F.stddev_pop("value") if population_std else F.stddev_samp("value")
@@ -227,7 +227,8 @@ def population_statistics(
     moments = rows.groupBy("metric").agg(
         F.avg("value").alias("mean"), std.alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
     )
-    return moments.join(exact_quantiles(rows, ["metric"], "value", BASELINE_PROBS, small_rows), "metric")
+    bound = features.count() * len(metrics)
+    return moments.join(exact_quantiles(rows, ["metric"], "value", BASELINE_PROBS, small_rows, bound), "metric")
 
 
 # ---- binding to the clinical views ----

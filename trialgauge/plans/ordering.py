@@ -143,15 +143,19 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     small_rows: int | None = None,
+    row_bound: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of ``probs``.
 
     Values collapse to ``(group, value, count)`` before anything is sorted. Small
     inputs use the built-in exact ``percentile``; larger ones locate the order
-    statistics on distributed running counts.
+    statistics on distributed running counts. A caller that knows a bound on the rows
+    spares the counting pass.
     """
     by = list(by)
     present = df.where(F.col(value).isNotNull())
+    if row_bound is not None and row_bound <= (SMALL_ROWS if small_rows is None else small_rows):
+        return present.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()])
     counts = stage(present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), "quantile")
     if is_small(counts, small_rows):
         aggs = [F.percentile(value, F.lit(p), F.col("n")).alias(name) for name, p in probs.items()]

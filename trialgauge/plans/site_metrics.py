@@ -17,7 +17,7 @@ def view_site_metrics(spark: SparkSession, sf_dir: str, mode: str = "hybrid") ->
     """``site, study, country, region, grade, subject_count`` and seven metrics; staged."""
     src = ft.view_sources(spark, sf_dir)
     totals = stage(ft.site_totals(src), "totals")
-    features = ft.features_from_totals(totals, src)
+    features = stage(ft.features_from_totals(totals, src), "features")
     base = {} if mode == "rules" else qi.baseline_map(ft.population_statistics(features))
     scored = qi.score_entities(features, "site_id", "site", sc.Config(mode=mode), base)
     known = scored.select(F.col("entity_id").alias("site"), F.col("score").alias("dqi_score"), "grade")

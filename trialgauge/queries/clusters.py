@@ -1,4 +1,314 @@
+"""K: clustering."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import anomalies as an
+from ..operators import clustering as cl
+from ..plans import clinical_views as cv
+from ..plans import features as ft
+from ..plans.staging import stage
 from .book import Book
+from .features import staged_features
+from .sqlkit import define
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
+
+M = ft.METRICS
+LEGACY = an.LEGACY_FEATURES
+K = 4
+
+define("q_zl", "SELECT entity_id, metric, z FROM q_z WHERE metric IN (" + ", ".join(f"'{m}'" for m in LEGACY) + ")")
+define(
+    "q_pairs",
+    "SELECT a.entity_id AS a, b.entity_id AS b, sqrt(sum((a.z - b.z) * (a.z - b.z))) AS d FROM q_zl a JOIN q_zl b ON a.metric = b.metric GROUP BY 1, 2",
+)
+# labels by region number: clusters that SQL can name too
+define("q_lab", "SELECT site AS id, CAST(replace(study, 'Study ', '') AS INT) AS cluster FROM v_sites JOIN q_universe USING (site)")
+define("q_prof", "SELECT cluster, count(*) AS size, " + ", ".join(f"avg({m}) AS {m}" for m in M) + " FROM q_feat JOIN q_lab ON site_id = id GROUP BY cluster")
+define(
+    "q_cell",
+    "SELECT l.id, l.cluster, z.metric, z.z AS x FROM q_z z JOIN q_lab l ON z.entity_id = l.id",
+)
+
+
+def _points(spark, sf_dir, metrics=M):
+    features = staged_features(spark, sf_dir)
+    return features, stage(an.scaled_vectors(features, metrics, an.feature_stats(features, metrics)), "points")
+
+
+def _labels(spark, sf_dir):
+    s = cv.sites(spark, sf_dir)
+    return s.select(F.col("site").alias("id"), F.regexp_extract("study", r"(\d+)", 1).cast("int").alias("cluster"))
+
+
+def _partition_check(labels):
+    """Sizes of the clusters: every site is labeled once."""
+    return labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).orderBy("cluster")
+
+
+@book.add("k01_feature_preparation", "SELECT entity_id AS id, round(sqrt(sum(z * z)), 5) AS norm FROM q_z GROUP BY entity_id")
+def k01(spark, sf_dir):
+    _, points = _points(spark, sf_dir)
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    return points.select("id", F.round(norm, 5).alias("norm"))
+
+
+def _dbscan_sql(eps: float, min_points: int) -> dict[str, str]:
+    return {
+        "q_core": f"SELECT a FROM q_pairs WHERE d <= {eps} GROUP BY a HAVING count(*) >= {min_points}",
+        "q_link": f"SELECT a, b FROM q_pairs WHERE d <= {eps} AND a IN (SELECT a FROM q_core) AND b IN (SELECT a FROM q_core)",
+        "q_r1": "SELECT a, min(b) AS m FROM q_link GROUP BY a",
+        **{
+            f"q_r{i}": f"SELECT l.a, min(r.m) AS m FROM q_link l JOIN q_r{i - 1} r ON l.b = r.a GROUP BY l.a" for i in range(2, 13)
+        },
+        "q_border": f"SELECT p.a, arg_min(r.m, p.b) AS m FROM q_pairs p JOIN q_r12 r ON p.b = r.a WHERE p.d <= {eps} AND p.a NOT IN (SELECT a FROM q_core) GROUP BY p.a",
+        "q_all": "SELECT a, m FROM q_r12 UNION ALL SELECT a, m FROM q_border",
+        "q_named": "SELECT m, row_number() OVER (ORDER BY m) - 1 AS n FROM (SELECT DISTINCT m FROM q_r12) q",
+        "q_ids": "SELECT DISTINCT a FROM q_pairs",
+    }
+
+
+_DB = "SELECT i.a AS id, CAST(coalesce(n, -1) AS INT) AS cluster FROM q_ids i LEFT JOIN q_all x ON i.a = x.a LEFT JOIN q_named n ON x.m = n.m"
+
+
+@book.add("k02_dbscan", _DB, **_dbscan_sql(2.0, 3))
+def k02(spark, sf_dir):
+    return cl.dbscan(_points(spark, sf_dir, LEGACY)[1])
+
+
+@book.add("k02_dbscan_small_radius", _DB, **_dbscan_sql(1.2, 3))
+def k02_small(spark, sf_dir):
+    return cl.dbscan(_points(spark, sf_dir, LEGACY)[1], eps=1.2)
+
+
+@book.add(
+    "k03_group_profile",
+    "SELECT cluster, size, " + ", ".join(f"round({m}, 5) AS {m}" for m in M) + " FROM q_prof",
+)
+def k03(spark, sf_dir):
+    p = cl.group_profile(staged_features(spark, sf_dir), _labels(spark, sf_dir), M)
+    return p.select("cluster", "size", *[F.round(m, 5).alias(m) for m in M])
+
+
+@book.add("k04_single_linkage_cut", _DB, **_dbscan_sql(1.0, 1))
+def k04_single(spark, sf_dir):
+    return cl.single_linkage(_points(spark, sf_dir, LEGACY)[1], 1.0)
+
+
+@book.add("k04_hierarchical_top_down")
+def k04(spark, sf_dir):
+    return _partition_check(cl.bisecting(_points(spark, sf_dir)[1], K))
+
+
+@book.add("k05_gaussian_mixture")
+def k05(spark, sf_dir):
+    g = cl.gaussian_mixture(_points(spark, sf_dir)[1], K)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda s, x: s + x)
+    return g.select("id", "cluster", F.round(total, 6).alias("mass"), F.round(F.array_max("probabilities"), 4).alias("confidence"))
+
+
+@book.add("k06_kmeans")
+def k06(spark, sf_dir):
+    return _partition_check(cl.kmeans(_points(spark, sf_dir)[1], K))
+
+
+@book.add("k07_spectral")
+def k07(spark, sf_dir):
+    return _partition_check(cl.spectral(_points(spark, sf_dir)[1], K))
+
+
+_TUPLES = {
+    "q_tup": "SELECT site AS id, [CAST(replace(study, 'Study ', '') AS INT), CAST(s_suppkey % 3 AS INT), CAST(s_suppkey % 2 AS INT)] AS labels FROM v_sites",
+    "q_keys": "SELECT array_to_string(labels, '|') AS key, labels, count(*) AS size FROM q_tup GROUP BY 1, 2",
+}
+
+
+def _labelings(spark, sf_dir):
+    s = cv.sites(spark, sf_dir)
+    of = lambda c: s.select(F.col("site").alias("id"), c.cast("int").alias("cluster"))
+    return [of(F.regexp_extract("study", r"(\d+)", 1)), of(F.col("s_suppkey") % 3), of(F.col("s_suppkey") % 2)]
+
+
+@book.add(
+    "k08_co_association",
+    "SELECT a.key, b.key AS other, round(((a.labels[1] = b.labels[1])::INT + (a.labels[2] = b.labels[2])::INT + (a.labels[3] = b.labels[3])::INT) / 3.0::DOUBLE, 6) AS share "
+    "FROM q_keys a, q_keys b WHERE a.labels[1] = b.labels[1] OR a.labels[2] = b.labels[2] OR a.labels[3] = b.labels[3]",
+    **_TUPLES,
+)
+def k08(spark, sf_dir):
+    _, tuples = cl.co_association(_labelings(spark, sf_dir))
+    return cl.co_association_pairs(tuples).withColumn("share", F.round("share", 6))
+
+
+@book.add("k09_consensus_ensemble")
+def k09(spark, sf_dir):
+    return _partition_check(cl.ensemble(_points(spark, sf_dir)[1], K, restarts=3))
+
+
+@book.add("k10_best_k_by_silhouette")
+def k10(spark, sf_dir):
+    best = cl.best_k_by_silhouette(_points(spark, sf_dir)[1], max_k=6, restarts=1)
+    return spark.range(1).select(F.lit(best).alias("best_k"))
+
+
+@book.add("k11_best_k_by_bic")
+def k11(spark, sf_dir):
+    best = cl.best_k_by_bic(_points(spark, sf_dir)[1], max_k=4)
+    return spark.range(1).select(F.lit(best).alias("best_k"))
+
+
+_RISK = " + ".join(
+    f"CASE WHEN {m} >= {h} THEN 3 WHEN {m} >= {md} THEN 2 WHEN {m} >= {lo} THEN 1 ELSE 0 END" for m, (lo, md, h) in cl.RISK_BOUNDS.items()
+)
+_LEVEL = f"CASE WHEN ({_RISK}) / 4.0 >= 2.5 THEN 'Critical' WHEN ({_RISK}) / 4.0 >= 1.5 THEN 'High' WHEN ({_RISK}) / 4.0 >= 0.5 THEN 'Medium' ELSE 'Low' END"
+define("q_risk", f"SELECT *, {_LEVEL} AS risk_level FROM q_prof")
+define(
+    "q_desc",
+    "SELECT cluster, size, risk_level, concat_ws(', ', CASE WHEN missing_visits_pct > 0.15 THEN 'high missing visits (' || printf('%.1f', missing_visits_pct * 100) || '%)' "
+    "WHEN missing_visits_pct < 0.05 THEN 'excellent visit compliance' END, CASE WHEN open_issues_per_subject > 3 THEN 'high issue count (' || printf('%.1f', open_issues_per_subject) || '/subject)' "
+    "WHEN open_issues_per_subject < 1 THEN 'low issue burden' END, CASE WHEN safety_pending_pct > 0.1 THEN 'pending safety reviews (' || printf('%.1f', safety_pending_pct * 100) || '%)' END) AS phrases FROM q_risk",
+)
+
+
+def _profiles(spark, sf_dir):
+    return cl.cluster_profiles(staged_features(spark, sf_dir), _labels(spark, sf_dir), M)
+
+
+@book.add(
+    "k12_cluster_profile",
+    "SELECT cluster, count(*) AS size, " + ", ".join(f"round(avg({m}), 4) AS {m}, round(stddev_samp({m}), 4) AS {m}_std" for m in M) + " FROM q_feat JOIN q_lab ON site_id = id GROUP BY cluster",
+)
+def k12(spark, sf_dir):
+    return _profiles(spark, sf_dir).drop("risk_level", "description")
+
+
+@book.add("k13_cluster_risk", "SELECT cluster, risk_level FROM q_risk")
+def k13(spark, sf_dir):
+    return _profiles(spark, sf_dir).select("cluster", "risk_level")
+
+
+@book.add(
+    "k14_cluster_description",
+    "SELECT cluster, CASE WHEN phrases <> '' THEN risk_level || ' risk cluster: ' || phrases ELSE risk_level || ' risk cluster with average performance' END AS description FROM q_desc",
+)
+def k14(spark, sf_dir):
+    return _profiles(spark, sf_dir).select("cluster", "description")
+
+
+_GAP = "sqrt(" + " + ".join(f"(f.{m} - c.{m}) * (f.{m} - c.{m})" for m in M) + ")"
+
+
+@book.add(
+    "k15_representatives",
+    f"SELECT cluster, site_id, rank FROM (SELECT l.cluster, f.site_id, row_number() OVER (PARTITION BY l.cluster ORDER BY round({_GAP}, 9), f.site_id) AS rank FROM q_feat f JOIN q_lab l ON f.site_id = l.id "
+    "JOIN (SELECT cluster, " + ", ".join(f"round({m}, 4) AS {m}" for m in M) + " FROM q_prof) c ON l.cluster = c.cluster) q WHERE rank <= 3",
+)
+def k15(spark, sf_dir):
+    r = cl.representatives(staged_features(spark, sf_dir), _labels(spark, sf_dir), M)
+    return r.select("cluster", "site_id", "rank")
+
+
+_SIL = {
+    "q_kd8": "SELECT a.id AS a, b.id AS b, a.cluster AS ca, b.cluster AS cb, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM q_cell a JOIN q_cell b ON a.metric = b.metric AND a.id <> b.id GROUP BY 1, 2, 3, 4",
+    "q_ab": "SELECT a, ca, min(CASE WHEN cb <> ca THEN m END) AS o, max(CASE WHEN cb = ca THEN m END) AS i FROM (SELECT a, ca, cb, avg(d) AS m FROM q_kd8 GROUP BY 1, 2, 3) q GROUP BY 1, 2",
+}
+
+
+@book.add("k16_silhouette", "SELECT a AS id, ca AS cluster, round(CASE WHEN i IS NULL THEN 0.0 ELSE (o - i) / greatest(o, i) END, 5) AS silhouette FROM q_ab", **_SIL)
+def k16(spark, sf_dir):
+    s = cl.silhouette(_points(spark, sf_dir)[1], _labels(spark, sf_dir), block_rows=256)
+    return s.withColumn("silhouette", F.round("silhouette", 5))
+
+
+_MEANS = {
+    "q_cm": "SELECT cluster, metric, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS ss FROM q_cell GROUP BY 1, 2",
+    "q_gm": "SELECT metric, avg(x) AS g FROM q_cell GROUP BY 1",
+}
+
+
+@book.add(
+    "k17_calinski_harabasz",
+    "SELECT round(sum(n * (m - g) * (m - g)) * (max(t) - max(k)) / (sum(ss) * (max(k) - 1)), 5) AS calinski_harabasz FROM q_cm JOIN q_gm USING (metric), "
+    "(SELECT count(*) AS t, count(DISTINCT cluster) AS k FROM q_lab) c",
+    **_MEANS,
+)
+def k17(spark, sf_dir):
+    c = cl.calinski_harabasz(_points(spark, sf_dir)[1], _labels(spark, sf_dir))
+    return c.withColumn("calinski_harabasz", F.round("calinski_harabasz", 5))
+
+
+@book.add(
+    "k18_davies_bouldin",
+    "SELECT round(avg(r), 5) AS davies_bouldin FROM (SELECT a.cluster, max((sa.s + sb.s) / a.d) AS r FROM (SELECT x.cluster, y.cluster AS other, sqrt(sum((x.m - y.m) * (x.m - y.m))) AS d "
+    "FROM q_cm x JOIN q_cm y ON x.metric = y.metric AND x.cluster <> y.cluster GROUP BY 1, 2) a JOIN q_sp sa ON a.cluster = sa.cluster JOIN q_sp sb ON a.other = sb.cluster GROUP BY a.cluster) q",
+    **_MEANS,
+    q_sp="SELECT cluster, avg(d) AS s FROM (SELECT id, c.cluster, sqrt(sum((x - m) * (x - m))) AS d FROM q_cell c JOIN q_cm m ON c.cluster = m.cluster AND c.metric = m.metric GROUP BY 1, 2) q GROUP BY 1",
+)
+def k18(spark, sf_dir):
+    d = cl.davies_bouldin(_points(spark, sf_dir)[1], _labels(spark, sf_dir))
+    return d.withColumn("davies_bouldin", F.round("davies_bouldin", 5))
+
+
+def _compared(spark, sf_dir):
+    _, points = _points(spark, sf_dir)
+    return cl.compare_methods(
+        points,
+        {"hierarchical": cl.bisecting(points, K), "gmm": cl.gaussian_mixture(points, K, 1).select("id", "cluster"), "kmeans": cl.kmeans(points, K, 3)},
+    )
+
+
+@book.add("k19_method_comparison")
+def k19(spark, sf_dir):
+    return _compared(spark, sf_dir)
+
+
+@book.add("k20_site_lookup", "SELECT l.id, l.cluster, r.size, r.risk_level FROM q_lab l JOIN q_risk r ON l.cluster = r.cluster")
+def k20(spark, sf_dir):
+    features = staged_features(spark, sf_dir)
+    labels = _labels(spark, sf_dir).join(features.select(F.col("site_id").alias("id")), "id", "left_semi")
+    found = cl.site_lookup(labels, cl.cluster_profiles(features, labels, M))
+    return found.select("id", "cluster", "size", "risk_level")
+
+
+@book.add("k21_projection")
+def k21(spark, sf_dir):
+    p = cl.projection(_points(spark, sf_dir)[1], _labels(spark, sf_dir))
+    return p.select("id", *[F.round(F.abs(F.col(c)), 5).alias(c) for c in "xyz"], "cluster")
+
+
+@book.add(
+    "k22_sites_per_risk",
+    "SELECT risk_level, CAST(sum(size) AS BIGINT) AS sites, round(sum(size) * 100.0::DOUBLE / (SELECT sum(size) FROM q_risk), 1) AS percent FROM q_risk GROUP BY risk_level",
+)
+def k22(spark, sf_dir):
+    return cl.sites_per_risk(_profiles(spark, sf_dir))
+
+
+@book.add(
+    "k23_quality_label",
+    "SELECT id, CASE WHEN v >= 0.7 THEN 'Excellent' WHEN v >= 0.5 THEN 'Good' WHEN v >= 0.25 THEN 'Fair' ELSE 'Poor' END AS label FROM "
+    "(SELECT a AS id, CASE WHEN i IS NULL THEN 0.0 ELSE (o - i) / greatest(o, i) END AS v FROM q_ab) q",
+    **_SIL,
+)
+def k23(spark, sf_dir):
+    s = cl.silhouette(_points(spark, sf_dir)[1], _labels(spark, sf_dir))
+    return s.select("id", cl.quality_label(F.col("silhouette")).alias("label"))
+
+
+@book.add("k24_scaled_comparison")
+def k24(spark, sf_dir):
+    return cl.scaled_quality(_compared(spark, sf_dir))
+
+
+@book.add("k25_members_and_peers", "SELECT 'member' AS kind, id AS item FROM q_lab WHERE cluster = 2 UNION ALL SELECT 'peer', cluster || ':' || size || ':' || risk_level FROM q_risk WHERE cluster <> 2")
+def k25(spark, sf_dir):
+    features = staged_features(spark, sf_dir)
+    labels = _labels(spark, sf_dir).join(features.select(F.col("site_id").alias("id")), "id", "left_semi")
+    peers = cl.peer_clusters(cl.cluster_profiles(features, labels, M), 2)
+    item = F.concat_ws(":", F.col("cluster").cast("string"), F.col("size").cast("string"), "risk_level")
+    return cl.members_of(labels, 2).select(F.lit("member").alias("kind"), F.col("id").alias("item")).unionByName(
+        peers.select(F.lit("peer").alias("kind"), item.alias("item"))
+    )
