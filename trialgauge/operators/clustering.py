@@ -149,9 +149,17 @@ def kmeans(points: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED
 
 
 def bisecting(points: DataFrame, k: int, seed: int = SEED) -> DataFrame:
-    """Top-down hierarchical clusters, in place of quadratic agglomeration."""
-    rows = _vectors(stage(points, "points"))
-    return BisectingKMeans(k=k, seed=seed).fit(rows).transform(rows).select("id", F.col("prediction").alias("cluster"))
+    """Top-down hierarchical clusters, in place of quadratic agglomeration.
+
+    A start may fail to split; the seed moves on until ``k`` clusters stand.
+    """
+    rows = stage(points, "points")
+    rows = _vectors(rows)
+    for i in range(RESTARTS):
+        model = BisectingKMeans(k=k, seed=seed + i, maxIter=50).fit(rows)
+        if len(model.clusterCenters()) >= k:
+            break
+    return model.transform(rows).select("id", F.col("prediction").alias("cluster"))
 
 
 def _live_dimensions(points: DataFrame) -> DataFrame:
@@ -314,7 +322,8 @@ def cluster_risk() -> Column:
 
 
 def cluster_description(risk: Column) -> Column:
-    mv, oi, sp = F.col("missing_visits_pct"), F.col("open_issues_per_subject"), F.col("safety_pending_pct")
+    # summation noise must not move a printed digit
+    mv, oi, sp = (F.round(F.col(c), 9) for c in ("missing_visits_pct", "open_issues_per_subject", "safety_pending_pct"))
     phrases = F.array_compact(
         F.array(
             F.when(mv > 0.15, F.concat(F.lit("high missing visits ("), fixed(mv * 100, 1), F.lit("%)"))).when(
@@ -444,7 +453,13 @@ def quality_row(points: DataFrame, labels: DataFrame, method: str) -> DataFrame:
     s = silhouette(pts, lab).agg(F.round(F.avg("silhouette"), 4).alias("silhouette"))
     out = attach_scalars(s, calinski_harabasz(pts, lab).select(F.round("calinski_harabasz", 4).alias("calinski_harabasz")))
     out = attach_scalars(out, davies_bouldin(pts, lab).select(F.round("davies_bouldin", 4).alias("davies_bouldin")))
-    return out.select(F.lit(method).alias("method"), "silhouette", "calinski_harabasz", "davies_bouldin")
+    # one cluster has no separation: the worst value of each measure
+    return out.select(
+        F.lit(method).alias("method"),
+        F.coalesce("silhouette", F.lit(0.0)).alias("silhouette"),
+        F.coalesce("calinski_harabasz", F.lit(0.0)).alias("calinski_harabasz"),
+        F.coalesce("davies_bouldin", F.lit(float("inf"))).alias("davies_bouldin"),
+    )
 
 
 def compare_methods(points: DataFrame, labelings: Mapping[str, DataFrame]) -> DataFrame:

@@ -167,9 +167,9 @@ _LEVEL = f"CASE WHEN ({_RISK}) / 4.0 >= 2.5 THEN 'Critical' WHEN ({_RISK}) / 4.0
 define("q_risk", f"SELECT *, {_LEVEL} AS risk_level FROM q_prof")
 define(
     "q_desc",
-    "SELECT cluster, size, risk_level, concat_ws(', ', CASE WHEN missing_visits_pct > 0.15 THEN 'high missing visits (' || printf('%.1f', missing_visits_pct * 100) || '%)' "
-    "WHEN missing_visits_pct < 0.05 THEN 'excellent visit compliance' END, CASE WHEN open_issues_per_subject > 3 THEN 'high issue count (' || printf('%.1f', open_issues_per_subject) || '/subject)' "
-    "WHEN open_issues_per_subject < 1 THEN 'low issue burden' END, CASE WHEN safety_pending_pct > 0.1 THEN 'pending safety reviews (' || printf('%.1f', safety_pending_pct * 100) || '%)' END) AS phrases FROM q_risk",
+    "SELECT cluster, size, risk_level, concat_ws(', ', CASE WHEN missing_visits_pct > 0.15 THEN 'high missing visits (' || printf('%.1f', round(missing_visits_pct, 9) * 100) || '%)' "
+    "WHEN missing_visits_pct < 0.05 THEN 'excellent visit compliance' END, CASE WHEN open_issues_per_subject > 3 THEN 'high issue count (' || printf('%.1f', round(open_issues_per_subject, 9)) || '/subject)' "
+    "WHEN open_issues_per_subject < 1 THEN 'low issue burden' END, CASE WHEN safety_pending_pct > 0.1 THEN 'pending safety reviews (' || printf('%.1f', round(safety_pending_pct, 9) * 100) || '%)' END) AS phrases FROM q_risk",
 )
 
 
