@@ -42,16 +42,23 @@ def digests(grams: str) -> Column:
     The reduction of the 128-bit digest is exact: 2^32 leaves remainder 2, so its four
     32-bit words weigh 8, 4, 2 and 1.
     """
-    word = lambda i: f"CAST(conv(substring(md5(s), {8 * i + 1}, 8), 16, 10) AS BIGINT)"
-    return F.expr(f"transform({grams}, s -> (8 * {word(0)} + 4 * {word(1)} + 2 * {word(2)} + {word(3)}) % {PRIME})")
+    word = lambda i: f"CAST(conv(substring(d, {8 * i + 1}, 8), 16, 10) AS BIGINT)"
+    return F.expr(
+        f"transform(transform({grams}, s -> md5(s)), d -> (8 * {word(0)} + 4 * {word(1)} + 2 * {word(2)} + {word(3)}) % {PRIME})"
+    )
 
 
 def signature(hashed: str) -> Column:
-    """Smallest permuted digest per permutation, from a digest column."""
+    """Smallest permuted digest per permutation.
+
+    The fold runs over the digests, so the expression behind ``hashed`` is evaluated once
+    per row even when the optimizer inlines it.
+    """
     a, b = coefficients()
-    longs = lambda xs: "array(" + ", ".join(f"{x}L" for x in xs) + ")"
+    pairs = "arrays_zip(array(" + ", ".join(f"{x}L" for x in a) + "), array(" + ", ".join(f"{x}L" for x in b) + "))"
+    start = f"array_repeat({PRIME}L, {PERMUTATIONS})"
     return F.expr(
-        f"zip_with({longs(a)}, {longs(b)}, (a, b) -> aggregate({hashed}, {PRIME}L, (m, h) -> least(m, (a * h + b) % {PRIME})))"
+        f"aggregate({hashed}, {start}, (m, h) -> zip_with(m, {pairs}, (x, c) -> least(x, (c['0'] * h + c['1']) % {PRIME})))"
     )
 
 

@@ -151,14 +151,12 @@ def kmeans(points: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED
 def bisecting(points: DataFrame, k: int, seed: int = SEED) -> DataFrame:
     """Top-down hierarchical clusters, in place of quadratic agglomeration.
 
-    A start may fail to split; the seed moves on until ``k`` clusters stand.
+    Scaled points are centred on zero, and the model separates the first two centres by
+    noise proportional to the centre's norm; a shift, which no distance notices, gives it
+    one.
     """
-    rows = stage(points, "points")
-    rows = _vectors(rows)
-    for i in range(RESTARTS):
-        model = BisectingKMeans(k=k, seed=seed + i, maxIter=50).fit(rows)
-        if len(model.clusterCenters()) >= k:
-            break
+    rows = _vectors(stage(points, "points").select("id", F.transform("vec", lambda x: x + 10.0).alias("vec")))
+    model = BisectingKMeans(k=k, seed=seed, maxIter=50).fit(rows)
     return model.transform(rows).select("id", F.col("prediction").alias("cluster"))
 
 

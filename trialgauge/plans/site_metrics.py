@@ -10,11 +10,16 @@ from ..operators.benchmarks import site_metric_vector
 from . import clinical_views as cv
 from . import features as ft
 from . import quality_index as qi
-from .staging import stage
+from .staging import kept, stage
 
 
 def view_site_metrics(spark: SparkSession, sf_dir: str, mode: str = "hybrid") -> DataFrame:
-    """``site, study, country, region, grade, subject_count`` and seven metrics; staged."""
+    """``site, study, country, region, grade, subject_count`` and seven metrics; materialised
+    once per input."""
+    return kept(spark, f"site-metrics-{mode}", f"{sf_dir}/lineitem.parquet", lambda: _site_metrics(spark, sf_dir, mode))
+
+
+def _site_metrics(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     src = ft.view_sources(spark, sf_dir)
     totals = stage(ft.site_totals(src), "totals")
     features = stage(ft.features_from_totals(totals, src), "features")

@@ -39,8 +39,45 @@ def stage(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[tuple, tuple] = {}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+
+
+def _modified(spark: SparkSession, path: str) -> int:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(target).getModificationTime()
+
+
+def kept(spark: SparkSession, name: str, source: str, build):
+    """Result of ``build()`` reused while its staged tables and its source still stand.
+
+    For tables many queries start from, such as the graph or the site features: built
+    once per session and input, like any materialised table. ``forget()`` drops them.
+    """
+    app = spark.sparkContext.applicationId
+    key = (app, id(spark), name, source, _modified(spark, source))
+    if key in _KEPT:
+        result, paths = _KEPT[key]
+        if all(_exists(spark, p) for p in paths):
+            return result
+    before = len(_WRITTEN.get(app, []))
+    result = build()
+    _KEPT[key] = (result, _WRITTEN.get(app, [])[before:])
+    return result
+
+
+def forget() -> None:
+    _KEPT.clear()
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete every table this application staged; returns how many were removed."""
+    forget()
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     jvm = spark.sparkContext._jvm
     for path in paths:

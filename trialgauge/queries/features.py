@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.cleaning import FEATURE_DEFAULTS
 from ..plans import clinical_views as cv
 from ..plans import features as ft
-from ..plans.staging import stage
+from ..plans.staging import kept, stage
 from .book import Book
 from .sqlkit import define
 
@@ -80,7 +80,10 @@ def rounded_sql(columns=M, places=6) -> str:
 
 
 def staged_features(spark, sf_dir):
-    return stage(ft.view_site_features(spark, sf_dir), "features")
+    """Site features, materialised once per input."""
+    return kept(
+        spark, "features", f"{sf_dir}/lineitem.parquet", lambda: stage(ft.view_site_features(spark, sf_dir), "features")
+    )
 
 
 def study_sites(spark, sf_dir):

@@ -10,6 +10,7 @@ from ..operators.exploration import outer_on_study
 from ..plans import clinical_views as cv
 from ..plans import features as ft
 from .book import Book
+from .graphs import _graph
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
@@ -54,7 +55,7 @@ def j03(spark, sf_dir):
     "SELECT edge_type, count(*) AS n FROM q_both JOIN q_nodes ON node = id WHERE node_type = 'Site' GROUP BY edge_type",
 )
 def j04(spark, sf_dir):
-    nodes, edges = g.build_from_views(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir)
     start = g.by_type(nodes, "Site").select(F.col("id").alias("node"))
     return jn.one_hop(start, edges).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -65,7 +66,7 @@ def j04(spark, sf_dir):
     "JOIN q_both b ON b.node = a.neighbour AND b.edge_type = 'ENROLLED_AT' WHERE node_type = 'SafetyDiscrepancy' GROUP BY 1",
 )
 def j05(spark, sf_dir):
-    nodes, edges = g.build_from_views(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir)
     start = g.by_type(nodes, "SafetyDiscrepancy").select(F.col("id").alias("node"))
     return jn.two_hop(start, edges, "HAS_DISCREPANCY", "ENROLLED_AT").groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
@@ -83,7 +84,7 @@ _HOPS = {
     **_HOPS,
 )
 def j06(spark, sf_dir):
-    nodes, edges = g.build_from_views(spark, sf_dir)
+    nodes, edges = _graph(spark, sf_dir)
     return g.nearest_targets(nodes, edges, "Country", max_hops=2)
 
 

@@ -135,7 +135,8 @@ def site_baselines(features, small_rows=None):
 def scored_sites(spark, sf_dir, mode="hybrid", cfg=None, features=None):
     cfg = cfg or sc.Config(mode=mode)
     if cfg.mode == "rules":
-        return qi.score_entities(features if features is not None else ft.view_site_features(spark, sf_dir), "site_id", "site", cfg)
+        rows = features if features is not None else ft.view_site_features(spark, sf_dir)
+        return qi.score_entities(rows, "site_id", "site", cfg)
     features = features if features is not None else staged_features(spark, sf_dir)
     return qi.score_entities(features, "site_id", "site", cfg, site_baselines(features))
 
