@@ -312,3 +312,31 @@ def k25(spark, sf_dir):
     return cl.members_of(labels, 2).select(F.lit("member").alias("kind"), F.col("id").alias("item")).unionByName(
         peers.select(F.lit("peer").alias("kind"), item.alias("item"))
     )
+
+
+@book.add(
+    "j09_label_agreement",
+    "SELECT a.key, sum(b.size * ((a.labels[1] = b.labels[1])::INT + (a.labels[2] = b.labels[2])::INT + (a.labels[3] = b.labels[3])::INT))::BIGINT AS agreements "
+    "FROM q_keys a, q_keys b GROUP BY a.key",
+    **_TUPLES,
+)
+def j09(spark, sf_dir):
+    """Agreements of each label tuple with all points, counted over tuples."""
+    _, tuples = cl.co_association(_labelings(spark, sf_dir))
+    tuples = stage(tuples, "tuples")
+    pairs = cl.co_association_pairs(tuples)
+    sizes = tuples.select(F.col("key").alias("other"), "size")
+    shared = F.round(F.col("share") * 3).cast("long") * F.col("size")
+    return pairs.join(sizes, "other").groupBy("key").agg(F.sum(shared).alias("agreements"))
+
+
+@book.add(
+    "j11_nearest_neighbours",
+    "SELECT vid, nid, round(d, 5) AS distance, rank FROM (SELECT a AS vid, b AS nid, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM q_pairs WHERE a <> b) q WHERE rank <= 5",
+)
+def j11(spark, sf_dir):
+    from ..operators.neighbours import nearest, weighted_vectors
+
+    points = _points(spark, sf_dir, LEGACY)[1]
+    found = nearest(stage(weighted_vectors(points), "vectors"), 5).where(F.col("vid") != F.col("nid"))
+    return found.select("vid", "nid", F.round("distance", 5).alias("distance"), (F.col("rank") - 1).alias("rank"))
