@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import stage
 from . import arrays as A
+from .rows import LAST_ID, unwrapped, wrapped
 
 WINDOW = 10
 GRAM = 4
@@ -159,14 +160,6 @@ def _candidates(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("_id", "_hash", "text", "hits").mapInArrow(run, "_id bigint, _hash bigint, start int, n int, window string")
 
 
-LAST_ID = (1 << 63) - 1
-
-
-def _identified(docs: DataFrame) -> DataFrame:
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    return docs.select("*", key.alias("_id"), F.xxhash64("text").alias("_hash"))
-
-
 def _spans(places: Column) -> Column:
     """Number of words in the union of spans ``(start, n)`` sorted by start."""
     step = lambda acc, x: F.struct(
@@ -184,7 +177,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
     item id reads ``null``. Rows with one id and one text are alike and each is returned; null
     ids are kept. Other columns are ignored. An empty table on either side gives no hits.
     """
-    marked = _identified(docs.select("doc_id", "text"))
+    marked = wrapped(docs.select("doc_id", "text")).drop("_row")
     windows = stage(benchmark_windows(bench, window), "windows")
     fingerprints = stage(window_grams(windows, window, gram), "grams")
     seen = stage(document_grams(marked, fingerprints, window, gram), "docgrams")
@@ -209,4 +202,4 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, g
     """All columns of the rows without a hit word."""
     bad = contamination(docs, bench, window, gram).where("contaminated")
     bad = bad.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), "_hash").distinct()
-    return _identified(docs).join(bad, ["_id", "_hash"], "left_anti").select(*docs.columns)
+    return unwrapped(wrapped(docs).join(bad, ["_id", "_hash"], "left_anti"), docs.columns)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
+from .rows import wrapped
 
 @dataclass(frozen=True)
 class Spread:
@@ -29,18 +30,11 @@ class Spread:
     band: float = 0.2
 
 
-#: Stands for a null id, after every other.
-LAST_ID = (1 << 63) - 1
 #: Sketches of a line are built in so many parts before they merge.
 PARTS = 8
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """All columns, the id with nulls last, and a hash of the text: equal rows are alike."""
-    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64("text").alias("_hash"))
-
-
-def _lines(docs: DataFrame, min_chars: int, *carry: Column) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int, *carry: Column | str) -> DataFrame:
     """Place and 128-bit hash of the lines that may be boilerplate, beside the carried columns."""
     line = F.trim(F.col("_line"))
     rows = docs.where(F.col("text").isNotNull()).select(*carry, F.posexplode(F.split("text", "\n", -1)).alias("_at", "_line"))
@@ -49,10 +43,10 @@ def _lines(docs: DataFrame, min_chars: int, *carry: Column) -> DataFrame:
     )
 
 
-def boilerplate(docs: DataFrame, site: str, how: Spread = Spread()) -> DataFrame:
-    """``a, b, first``: hash of each line on ``min_sites`` sites or more, and the smallest id
+def boilerplate(rows: DataFrame, how: Spread = Spread()) -> DataFrame:
+    """From ``_id, site, text``, ``a, b, first``: hash of each line on ``min_sites`` sites or more, and the smallest id
     that has it. Rows without a site count for no spread but may be the first."""
-    lines = _lines(docs, how.min_chars, F.xxhash64(F.col(site).cast("string")).alias("_site"), F.col(site).isNull().alias("_none"), "_id")
+    lines = _lines(rows, how.min_chars, F.xxhash64(F.col("site").cast("string")).alias("_site"), F.col("site").isNull().alias("_none"), "_id")
     spread = lines.groupBy("a", "b", "_site", "_none").agg(F.min("_id").alias("low"))
     spread = stage(spread, "spread")
     # sketches only for lines that two sites share: their smallest and largest site differ
@@ -81,17 +75,17 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", how: Spread = Spread
     empty result.
     """
     carry = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    marked = _identified(docs.select(*carry))
-    bad = stage(boilerplate(marked, site, how), "boilerplate")
-    places = _lines(marked, how.min_chars, "_id", "_hash").join(bad, ["a", "b"])
+    rows = wrapped(docs)
+    bad = stage(boilerplate(rows.select("_id", F.col("_row")[site].alias("site"), "text"), how), "boilerplate")
+    places = _lines(rows, how.min_chars, "_id", "_hash").join(bad, ["a", "b"])
     gone = places.where(F.col("_id") != F.col("first")).groupBy("_id", "_hash").agg(F.collect_set("_at").alias("_gone"))
     lines = F.split("text", "\n", -1)
     left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
     )
-    joined = marked.join(gone, ["_id", "_hash"], "left")
+    joined = rows.join(gone, ["_id", "_hash"], "left")
     return joined.select(
-        *[left.alias(c) if c == "text" else c for c in carry],
+        *[left.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in carry],
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.greatest(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

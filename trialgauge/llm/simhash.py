@@ -22,12 +22,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.staging import stage
 from . import arrays as A
+from .rows import LAST_ID, order_id, unwrapped, wrapped
 
 SEED = 42
 SHINGLE = 4
@@ -152,10 +153,6 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.where(F.col("u") != F.col("v")).union(through)
 
 
-#: Stands for a null id, after every other.
-LAST_ID = (1 << 63) - 1
-
-
 def near_duplicates(rows: DataFrame) -> DataFrame:
     """``fp, lowest``: the smallest id reachable from each fingerprint of ``rows(_id, _fp)``."""
     distinct = stage(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("low")), "fps")
@@ -176,7 +173,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     are rows of their own. Other columns are ignored; an empty table gives an empty result.
     """
     table = stage(fingerprint_table(docs, ["doc_id"]), "fingerprints")
-    rows = table.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), "_fp")
+    rows = table.select(order_id().alias("_id"), "_fp")
     lowest = near_duplicates(rows)
     joined = table.join(lowest, table["_fp"] == lowest["fp"])
     component = F.when(F.col("lowest") != LAST_ID, F.col("lowest"))
@@ -186,15 +183,11 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """All columns of one row of each component: the row with the smallest id, of equal ids
     the one with the smallest hash of its text, of equal rows any one."""
-    carry = docs.columns
-    known = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    marked = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), known.alias("_hash"))
-    table = stage(fingerprint_table(marked.select("_id", "_hash", "text"), ["_id", "_hash"]), "fingerprints")
+    rows = wrapped(docs)
+    table = stage(fingerprint_table(rows, ["_id", "_hash"]), "fingerprints")
     lowest = near_duplicates(table)
     first = table.join(lowest, (table["_fp"] == lowest["fp"]) & (table["_id"] == lowest["lowest"]))
     stay = first.groupBy("lowest").agg(F.min("_hash").alias("_hash")).withColumnRenamed("lowest", "_id")
-    from pyspark.sql import Window
-
-    kept = marked.join(stay, ["_id", "_hash"], "left_semi")
+    kept = rows.join(stay, ["_id", "_hash"], "left_semi")
     turn = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
-    return kept.withColumn("_turn", turn).where("_turn = 1").select(*carry)
+    return unwrapped(kept.withColumn("_turn", turn).where("_turn = 1"), docs.columns)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .rows import LAST_ID, order_id
 
 LENGTH = 50
 GRAM = 8
@@ -38,7 +39,6 @@ GRAM = 8
 BACK = LENGTH - GRAM
 RUN_BYTES = 8 << 20
 HASH_BYTES = 1 << 20
-LAST_ID = (1 << 63) - 1
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 BLOCK = "part int, kind int, block binary"
@@ -485,8 +485,7 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Shares of the grams, and of the documents, are as many as ``spark.sql.shuffle.partitions``.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    rows = docs.select(key.alias("_id"), F.xxhash64("text").alias("_key"), "text")
+    rows = docs.select(order_id().alias("_id"), F.xxhash64("text").alias("_key"), "text")
     runs = rows.mapInArrow(_runs(parts), BLOCK)
     spans = runs.repartitionById(parts, F.col("part")).mapInArrow(_merge(parts), BLOCK)
     texts = rows.mapInArrow(_texts(parts), BLOCK)
