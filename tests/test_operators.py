@@ -28,34 +28,45 @@ def skewed(spark, n=3000):
     return stage(spark.createDataFrame(rows, "id string, grp string, v double"), "skewed"), rows
 
 
-def test_positions_agree_on_both_paths(spark):
+def test_positions_are_those_of_a_sort(spark):
     df, rows = skewed(spark)
     for within in ([], ["grp"]):
         want = {}
         for key in {r[1] if within else None for r in rows}:
             part = sorted((r[2], r[0]) for r in rows if key is None or r[1] == key)
             want |= {i: (n, len(part)) for n, (_, i) in enumerate(part, 1)}
-        for small in (None, 0):
-            got = with_position(df, [F.asc("v"), F.asc("id")], within, small_rows=small)
-            assert {r["id"]: (r["rank"], r["total"]) for r in got.collect()} == want
+        got = with_position(df, [F.asc("v"), F.asc("id")], within)
+        assert {r["id"]: (r["rank"], r["total"]) for r in got.collect()} == want
 
 
-def test_running_totals_agree_on_both_paths(spark):
-    df, _ = skewed(spark)
+def test_running_totals_are_sums_up_to_a_value(spark):
+    df, rows = skewed(spark)
     counts = stage(df.groupBy("grp", "v").agg(F.count(F.lit(1)).alias("n")), "counts")
-    rows = [
-        sorted(map(tuple, with_running_totals(counts, [F.asc("v")], ["n"], ["grp"], small).collect())) for small in (None, 0)
-    ]
-    assert rows[0] == rows[1]
+    for r in with_running_totals(counts, [F.asc("v")], ["n"], ["grp"]).collect():
+        own = [x[2] for x in rows if x[1] == r["grp"]]
+        assert (r["cum_n"], r["all_n"]) == (sum(v <= r["v"] for v in own), len(own))
 
 
-@pytest.mark.parametrize("small,bound", [(None, None), (0, None), (None, 10)])
-def test_quantiles_match_numpy(spark, small, bound):
+def test_quantiles_match_numpy(spark):
     df, rows = skewed(spark)
-    got = {r["grp"]: r for r in exact_quantiles(df, ["grp"], "v", {"a": 0.25, "b": 0.5, "c": 0.95}, small, bound).collect()}
-    for grp in got:
-        v = [r[2] for r in rows if r[1] == grp]
-        assert np.allclose([got[grp][c] for c in "abc"], np.quantile(v, [0.25, 0.5, 0.95]))
+    probs = {"z": 0.0, "a": 0.25, "b": 0.5, "c": 0.95, "o": 1.0}
+    for by in (["grp"], []):
+        for r in exact_quantiles(df, by, "v", probs).collect():
+            v = [x[2] for x in rows if not by or x[1] == r["grp"]]
+            assert np.allclose([r[c] for c in probs], np.quantile(v, list(probs.values())))
+
+
+def test_quantiles_of_tiny_and_of_long_groups(spark):
+    rng = random.Random(9)
+    rows = [(f"n{n}", rng.choice([rng.random(), float(rng.randint(0, 3))])) for n in range(1, 14) for _ in range(n)]
+    rows += [("long", rng.gauss(0, 1)) for _ in range(60_000)] + [(None, 4.0), (None, 5.0), ("none", None)]
+    probs = {f"p{i}": p for i, p in enumerate((0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0))}
+    df = stage(spark.createDataFrame(rows, "grp string, v double"), "long")
+    got = exact_quantiles(df, ["grp"], "v", probs).collect()
+    assert {r["grp"] for r in got} == {g for g, v in rows if v is not None}
+    for r in got:
+        v = [x[1] for x in rows if x[0] == r["grp"] and x[1] is not None]
+        assert np.allclose([r[c] for c in probs], np.quantile(v, list(probs.values())))
 
 
 def cloud(spark, n=400, copies=150):
@@ -182,7 +193,7 @@ def test_ks_matches_brute_force(spark):
     rng = random.Random(4)
     ref, cur = [rng.randint(0, 9) for _ in range(300)], [rng.randint(2, 11) for _ in range(100)]
     rows = [("f", "reference", float(v)) for v in ref] + [("f", "current", float(v)) for v in cur] + [("few", "current", 1.0)]
-    got = an.ks_two_sample(spark.createDataFrame(rows, "feature string, side string, value double"), small_rows=0).collect()
+    got = an.ks_two_sample(spark.createDataFrame(rows, "feature string, side string, value double")).collect()
     want = max(abs(sum(v <= t for v in ref) / 300 - sum(v <= t for v in cur) / 100) for t in range(12))
     assert len(got) == 1 and got[0]["statistic"] == pytest.approx(want) and got[0]["p_value"] < 0.05
 

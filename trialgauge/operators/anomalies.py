@@ -135,20 +135,22 @@ def fit_isolation_forest(
 ) -> tuple[list[list[tuple]], int]:
     """Trees over subsamples (Liu et al., 2008).
 
-    Hash order draws a pool of at most ``trees × subsample`` rows, so neither the layout
-    nor the number of partitions changes the model. Each tree samples the pool in its own
-    hash order. Trees grow in parallel tasks; the model that returns is bounded by
-    ``trees × 2 × subsample`` nodes.
+    A tree's sample are the rows with its ``subsample`` smallest hashes of row and tree, so
+    samples are independent and neither layout nor size of the input changes how they are
+    drawn. A row names only the trees for which its hash lies in the lowest
+    ``2 × subsample / n`` share: twice the rows a tree needs, so that more than ten standard
+    deviations separate it from too few. Trees grow in parallel tasks; the model that returns
+    is bounded by ``trees × 2 × subsample`` nodes.
     """
-    pool = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(trees * subsample)
-    pool = stage(pool, "pool")
-    n = pool.count()
+    points = stage(points.select("id", "vec"), "points")
+    n = points.count()
     size = min(subsample, n)
-    if n >= trees * subsample:
-        picked = pool.withColumn("tree", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    else:
-        picked = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        picked = top_per_group(picked, ["tree"], [F.xxhash64("id", "tree", F.lit(seed)).asc(), F.asc("id")], size)
+    draw = F.xxhash64(F.col("id"), F.col("tree"), F.lit(seed))
+    share = min(1.0, 2.0 * subsample / max(1, n))
+    highest = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
+    named = points.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    named = named.withColumn("draw", draw).where(F.col("draw") <= F.lit(highest))
+    picked = top_per_group(named, ["tree"], [F.asc("draw"), F.asc("id")], size)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
@@ -258,7 +260,7 @@ def _distance_sql(mean: np.ndarray, inverse: np.ndarray) -> str:
     return " + ".join(terms) or "0D"
 
 
-def robust_distances(points: DataFrame, dims: int, steps: int = 20, small_rows: int | None = None) -> DataFrame:
+def robust_distances(points: DataFrame, dims: int, steps: int = 100) -> DataFrame:
     """``id, distance``: squared distance under the minimum-covariance-determinant fit.
 
     Concentration steps (Rousseeuw & Van Driessen, 1999) from two deterministic starts:
@@ -281,13 +283,13 @@ def robust_distances(points: DataFrame, dims: int, steps: int = 20, small_rows:
         mean, cov, _ = _moments(pts, d)
         if start == "centre":
             cuts = pts.select(F.posexplode("vec").alias("dim", "value"))
-            medians = {r["dim"]: r["m"] for r in exact_quantiles(cuts, ["dim"], "value", {"m": 0.5}, small_rows, n * d).collect()}
+            medians = {r["dim"]: r["m"] for r in exact_quantiles(cuts, ["dim"], "value", {"m": 0.5}).collect()}
             mean, cov = np.array([medians[i] for i in range(d)]), np.diag(np.diag(cov))
         last = math.inf
         for _ in range(steps):
             dist = F.expr(_distance_sql(mean, np.linalg.pinv(cov)))
             scored = pts.withColumn("distance", dist)
-            cut = exact_quantiles(scored, [], "distance", {"q": share}, small_rows, n).first()["q"]
+            cut = exact_quantiles(scored, [], "distance", {"q": share}).first()["q"]
             mean, cov, _ = _moments(scored, d, F.col("distance") <= cut + 1e-12)
             det = float(np.linalg.slogdet(cov + 1e-12 * np.eye(d))[1])
             if not det < last - 1e-7:
@@ -297,7 +299,7 @@ def robust_distances(points: DataFrame, dims: int, steps: int = 20, small_rows:
             best = (det, mean, cov)
     _, mean, cov = best
     scored = pts.withColumn("distance", F.expr(_distance_sql(mean, np.linalg.pinv(cov))))
-    median = exact_quantiles(scored, [], "distance", {"q": 0.5}, small_rows, n).first()["q"]
+    median = exact_quantiles(scored, [], "distance", {"q": 0.5}).first()["q"]
     cov = cov * max(median / chi2_quantile(0.5, d), 1e-12)
     scored = pts.withColumn("distance", F.expr(_distance_sql(mean, np.linalg.pinv(cov))))
     mean, cov, _ = _moments(scored, d, F.col("distance") <= chi2_quantile(0.975, d))
@@ -407,7 +409,7 @@ def kolmogorov_tail(lam: str, terms: int = 100) -> Column:
 MIN_DRIFT_VALUES = 5
 
 
-def ks_two_sample(rows: DataFrame, small_rows: int | None = None) -> DataFrame:
+def ks_two_sample(rows: DataFrame) -> DataFrame:
     """Kolmogorov–Smirnov statistic per feature over ``rows(feature, side, value)``.
 
     ``side`` is 'reference' or 'current'. Values collapse to counts per side before the
@@ -416,7 +418,7 @@ def ks_two_sample(rows: DataFrame, small_rows: int | None = None) -> DataFrame:
     ref = F.sum(F.when(F.col("side") == "reference", 1).otherwise(0)).alias("ref")
     cur = F.sum(F.when(F.col("side") == "current", 1).otherwise(0)).alias("cur")
     counts = stage(rows.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(ref, cur), "drift")
-    cum = with_running_totals(counts, [F.asc("value")], ["ref", "cur"], ["feature"], small_rows)
+    cum = with_running_totals(counts, [F.asc("value")], ["ref", "cur"], ["feature"])
     enough = cum.where((F.col("all_ref") >= MIN_DRIFT_VALUES) & (F.col("all_cur") >= MIN_DRIFT_VALUES))
     gap = F.abs(F.col("cum_ref") / F.col("all_ref") - F.col("cum_cur") / F.col("all_cur"))
     out = enough.groupBy("feature").agg(

@@ -121,7 +121,7 @@ def display_value(metric: Column, value: Column) -> Column:
 
 
 def benchmark_sites(
-    metrics: DataFrame, own_cohort: DataFrame, members: DataFrame, small_rows: int | None = None
+    metrics: DataFrame, own_cohort: DataFrame, members: DataFrame
 ) -> DataFrame:
     """One row per site and metric against the other sites of its cohort.
 
@@ -133,7 +133,7 @@ def benchmark_sites(
     rows = values.unpivot(["cohort", "peer"], BENCHMARK_METRICS, "metric", "value")
     # repeated values are ordered by site, so positions are unique
     placed = stage(
-        with_position(stage(rows, "cohort"), [F.asc("value"), F.asc("peer")], ["cohort", "metric"], "pos", "n", small_rows),
+        with_position(stage(rows, "cohort"), [F.asc("value"), F.asc("peer")], ["cohort", "metric"], "pos", "n"),
         "cohort",
     )
     ties = placed.groupBy("cohort", "metric", "value").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
@@ -259,11 +259,11 @@ def study_summary(metrics: DataFrame, study: str = "study") -> DataFrame:
     return out.withColumn("bottom_sites", F.when(enough, F.reverse("bottom_sites")).otherwise(F.array().cast("array<string>")))
 
 
-def study_metric_summary(metrics: DataFrame, study: str = "study", small_rows: int | None = None) -> DataFrame:
+def study_metric_summary(metrics: DataFrame, study: str = "study") -> DataFrame:
     rows = metrics.unpivot([study], BENCHMARK_METRICS, "metric", "value")
     moments = rows.groupBy(study, "metric").agg(
         F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    medians = exact_quantiles(rows, [study, "metric"], "value", {"median": 0.5}, small_rows)
+    medians = exact_quantiles(rows, [study, "metric"], "value", {"median": 0.5})
     return moments.join(medians, [study, "metric"])

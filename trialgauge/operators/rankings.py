@@ -51,12 +51,11 @@ def rank_entities(
     descending: bool = True,
     within: Sequence[str] = (),
     limit: int | None = None,
-    small_rows: int | None = None,
 ) -> DataFrame:
     """``key, value, rank, total, percentile``; ties by id, nulls dropped, limit last."""
     present = df.where(F.col(value).isNotNull()).select(*within, key, F.col(value).cast("double").alias("value"))
     order = [F.col("value").desc() if descending else F.col("value").asc(), F.col(key).asc()]
-    ranked = with_position(present, order, within, small_rows=small_rows)
+    ranked = with_position(present, order, within)
     ranked = ranked.withColumn("percentile", percentile(F.col("rank"), F.col("total")))
     return ranked.where(F.col("rank") <= limit) if limit else ranked
 
@@ -95,11 +94,11 @@ def leaderboard(df: DataFrame, key: str, n: int = 10, metrics: Mapping[str, bool
 
 
 def overall_leaderboard(
-    df: DataFrame, key: str, metrics: Mapping[str, bool] = METRIC_DESCENDING, small_rows: int | None = None
+    df: DataFrame, key: str, metrics: Mapping[str, bool] = METRIC_DESCENDING
 ) -> DataFrame:
     """Mean rank over all metrics and the level it earns."""
     ranked = with_position(
-        metric_long(df, key, metrics), [F.asc("sort_value"), F.asc(key)], ["metric"], small_rows=small_rows
+        metric_long(df, key, metrics), [F.asc("sort_value"), F.asc(key)], ["metric"]
     )
     ranked = ranked.withColumn("percentile", percentile(F.col("rank"), F.col("total")))
     means = ranked.groupBy(key).agg(

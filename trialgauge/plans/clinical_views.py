@@ -45,31 +45,16 @@ TABLE_SCHEMAS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-
+#: What the clinical views read.
+SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
-def spread(df: DataFrame, *paths: str) -> DataFrame:
-    """Use every core on inputs too small to be split by the scan.
 
-    Meant for work that expands rows. Inputs that already fill the cores (measured by
-    file size) are left alone, so no shuffle is added at scale.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    total = 0
-    for path in paths:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        total += fs.getContentSummary(target).getLength()
-    return df.repartition(cores) if total < cores * split else df
+def source_paths(sf_dir: str) -> tuple[str, ...]:
+    return tuple(f"{sf_dir}/{name}.parquet" for name in SOURCES)
 
 
-def _bytes(text: str) -> int:
-    units = {"b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20, "g": 2**30, "gb": 2**30}
-    digits = text.strip().lower().rstrip("bkmgt")
-    return int(float(digits) * units.get(text.strip().lower()[len(digits):] or "b", 1))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _age(col: str) -> Column:
@@ -119,7 +104,7 @@ def _lines(
     base = table(spark, sf_dir, "lineitem").where(where)
     if spread_rows:
         used = [c for c in base.columns if c in _LINE_COLUMNS]
-        base = spread(base.select(*used), f"{sf_dir}/lineitem.parquet")
+        base = base.select(*used)
     geo_cols = {"country", "study", "region"}
     order_cols = {"subject", "priority"}
     part_cols = {"p_type", "p_brand"}

@@ -214,7 +214,6 @@ def population_statistics(
     metrics: list[str] = METRICS,
     population_std: bool = False,
     single_std: float | None = 0.0,
-    small_rows: int | None = None,
 ) -> DataFrame:
     """Long table ``metric, mean, std, min, max, p25 … p95``; one row per metric.
 
@@ -227,8 +226,7 @@ def population_statistics(
     moments = rows.groupBy("metric").agg(
         F.avg("value").alias("mean"), std.alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
     )
-    bound = features.count() * len(metrics)
-    return moments.join(exact_quantiles(rows, ["metric"], "value", BASELINE_PROBS, small_rows, bound), "metric")
+    return moments.join(exact_quantiles(rows, ["metric"], "value", BASELINE_PROBS), "metric")
 
 
 # ---- binding to the clinical views ----

@@ -1,11 +1,12 @@
 """Ranks, running totals and exact quantiles that never pull a table into one task.
 
 A window without a partition key, or with a key that holds a third of the rows,
-sorts that share in a single task. The functions here use such a window only for
-inputs already counted to be small. Beyond that they range-partition on the full
-ordering key (which ends in a unique id, so equal values still split), number the
-rows inside each range, and add one offset per range: a table of as many rows as
-there are partitions.
+sorts that share in a single task. The functions here range-partition on the full
+ordering key instead (which ends in a unique id, so equal values still split), number
+the rows inside each range, and add one offset per range: a table of as many rows as
+there are partitions. Quantiles need no order of all rows: a sketch with a proven rank
+error brackets each, and only the values inside the brackets are ordered. Both have one
+path for inputs of any size.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql.window import Window
 
 from .staging import stage
 
-SMALL_ROWS = 200_000
+#: Rank error of the bracketing sketch as a share of the rows is one over this.
+ACCURACY = 10_000
 _ROW_BITS = 33
 
 
@@ -35,18 +37,12 @@ def _offsets(totals: DataFrame, weights: Sequence[str]) -> DataFrame:
     return totals.sparkSession.createDataFrame(out, fields)
 
 
-def is_small(df: DataFrame, small_rows: int | None) -> bool:
-    limit = SMALL_ROWS if small_rows is None else small_rows
-    return df.count() <= limit
-
-
 def with_position(
     df: DataFrame,
     order: Sequence[Column],
     within: Sequence[str] = (),
     name: str = "rank",
     total: str | None = "total",
-    small_rows: int | None = None,
 ) -> DataFrame:
     """Add the 1-based ordinal position (and group size) of every row.
 
@@ -54,11 +50,6 @@ def with_position(
     than once.
     """
     within = list(within)
-    if is_small(df, small_rows):
-        w = Window.partitionBy(*[F.col(c) for c in within]) if within else Window.partitionBy(F.lit(0))
-        out = df.withColumn(name, F.row_number().over(w.orderBy(*order)).cast("long"))
-        return out.withColumn(total, F.count(F.lit(1)).over(w)) if total else out
-
     keys = [F.col(c).asc_nulls_first() for c in within] + list(order)
     ranged = stage(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id()),
@@ -90,7 +81,6 @@ def with_running_totals(
     order: Sequence[Column],
     weights: Sequence[str],
     within: Sequence[str] = (),
-    small_rows: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<w>`` (inclusive running sum) and ``all_<w>`` (group sum) for integer weights.
 
@@ -98,13 +88,6 @@ def with_running_totals(
     is one row here.
     """
     within = list(within)
-    if is_small(df, small_rows):
-        w = Window.partitionBy(*[F.col(c) for c in within]) if within else Window.partitionBy(F.lit(0))
-        upto = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        for name in weights:
-            df = df.withColumn(f"cum_{name}", F.sum(name).over(upto)).withColumn(f"all_{name}", F.sum(name).over(w))
-        return df
-
     keys = [F.col(c).asc_nulls_first() for c in within] + list(order)
     ranged = stage(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id()),
@@ -137,49 +120,58 @@ def with_running_totals(
     return placed.select(*df.columns, *[c for n in weights for c in (f"cum_{n}", f"all_{n}")])
 
 
-def exact_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    small_rows: int | None = None,
-    row_bound: int | None = None,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    Values collapse to ``(group, value, count)`` before anything is sorted. Small
-    inputs use the built-in exact ``percentile``; larger ones locate the order
-    statistics on distributed running counts. A caller that knows a bound on the rows
-    spares the counting pass.
+    A sketch of each group brackets every wanted rank within ``2 / ACCURACY`` of the rows on
+    either side. Below a bracket only the count and largest value matter, above it only
+    the smallest value; the values inside, a ``4 / ACCURACY`` share at most, are ordered.
+    ``df`` should be staged: it is read twice.
     """
     by = list(by)
-    present = df.where(F.col(value).isNotNull())
-    if row_bound is not None and row_bound <= (SMALL_ROWS if small_rows is None else small_rows):
-        return present.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()])
-    counts = stage(present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), "quantile")
-    if is_small(counts, small_rows):
-        aggs = [F.percentile(value, F.lit(p), F.col("n")).alias(name) for name, p in probs.items()]
-        return counts.groupBy(*by).agg(*aggs)
-    cum = with_running_totals(counts, [F.col(value).asc()], ["n"], by, small_rows)
-    first = F.col("cum_n") - F.col("n")
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((first <= position) & (position < F.col("cum_n")), F.col(value)))
-
-    aggs = []
-    for name, p in probs.items():
-        target = (F.col("all_n") - 1) * F.lit(float(p))
-        low = F.floor(target)
-        high = F.least(low + 1, F.col("all_n") - 1)
-        aggs += [at(low).alias(f"_lo_{name}"), at(high).alias(f"_hi_{name}"), F.max(target - low).alias(f"_fr_{name}")]
-    out = cum.groupBy(*by).agg(*aggs) if by else cum.agg(*aggs)
-    return out.select(
-        *by,
+    groups = [f"_g{i}" for i in range(len(by))]
+    present = df.where(F.col(value).isNotNull()).select(
+        *[F.col(c).alias(g) for c, g in zip(by, groups)], F.col(value).cast("double").alias("_v")
+    )
+    reach = 2.0 / ACCURACY
+    ends = [min(1.0, max(0.0, p + side)) for p in probs.values() for side in (-reach, reach)]
+    bounds = present.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_ends")
+    )
+    renamed = bounds.select(*[F.col(g).alias(f"_b{g}") for g in groups], "_n", "_ends")
+    match = [F.col(g).eqNullSafe(F.col(f"_b{g}")) for g in groups]
+    paired = present.join(renamed, match) if groups else present.crossJoin(F.broadcast(renamed))  # one row
+    wanted = F.array(
         *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_fr_{n}")).alias(n)
-            for n in probs
-        ],
+            F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.col("_ends")[2 * i].alias("lo"), F.col("_ends")[2 * i + 1].alias("hi"))
+            for i, p in enumerate(probs.values())
+        ]
+    )
+    each = paired.select(*groups, "_v", "_n", F.inline(wanted))
+    side = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), 1).otherwise(0)
+    each = each.withColumn("_side", side).withColumn("_in", F.when(F.col("_side") == 0, F.col("_v")))
+    tallied = each.groupBy(*groups, "i", "p", "_n", "_side", "_in").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
+    # below: only its last place is named; above: only its first
+    rows = tallied.select(
+        *groups, "i", "p", "_n", "_side", F.when(F.col("_side") < 0, F.col("_high")).otherwise(F.col("_low")).alias("_v"),
+        F.when(F.col("_side") > 0, F.lit(1)).otherwise(F.col("_c")).alias("_c"),
     )
+    upto = Window.partitionBy(*groups, "i").orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_end", F.sum("_c").over(upto))
+    rows = rows.withColumn("_first", F.when(F.col("_side") < 0, F.col("_end") - 1).otherwise(F.col("_end") - F.col("_c")))
+    target = (F.col("_n") - 1) * F.col("p")
+    low = F.floor(target)
+    high = F.least(low + 1, F.col("_n") - 1)
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= position) & (position < F.col("_end")), F.col("_v")))
+
+    found = rows.groupBy(*groups, "i").agg(at(low).alias("_lo"), at(high).alias("_hi"), F.max(target - low).alias("_f"))
+    exact = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
+    named = [F.max(F.when(F.col("i") == i, exact)).alias(name) for i, name in enumerate(probs)]
+    return found.groupBy(*groups).agg(*named).select(*[F.col(g).alias(c) for c, g in zip(by, groups)], *probs)
 
 
 def top_per_group(df: DataFrame, within: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:

@@ -16,7 +16,7 @@ from .staging import kept, stage
 def view_site_metrics(spark: SparkSession, sf_dir: str, mode: str = "hybrid") -> DataFrame:
     """``site, study, country, region, grade, subject_count`` and seven metrics; materialised
     once per input."""
-    return kept(spark, f"site-metrics-{mode}", f"{sf_dir}/lineitem.parquet", lambda: _site_metrics(spark, sf_dir, mode))
+    return kept(spark, f"site-metrics-{mode}", cv.source_paths(sf_dir), lambda: _site_metrics(spark, sf_dir, mode))
 
 
 def _site_metrics(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:

@@ -3,14 +3,16 @@
 A staged table is plain Parquet under the folder the cluster names in
 ``spark.checkpoint.dir``. It cuts lineage, survives the loss of any executor and
 is read back with column pruning, so iterative jobs and plans that use one input
-several times do not recompute it. A private folder is made only when the setting
-is absent, as in tests.
+several times do not recompute it. Where the setting is absent a local session, whose
+tasks share the machine's disk, gets a private folder; a cluster gets an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,8 @@ def scratch_root(spark: SparkSession) -> str:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _PRIVATE:
         _PRIVATE[app] = tempfile.mkdtemp(prefix="spark-trialgauge-")
@@ -47,27 +51,36 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
 
 
-def _modified(spark: SparkSession, path: str) -> int:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.getFileStatus(target).getModificationTime()
+def _listing(spark: SparkSession, paths: Iterable[str]) -> tuple:
+    """Path, length and time of change of every file under the paths."""
+    found = []
+    for path in sorted(paths):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(target, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
-def kept(spark: SparkSession, name: str, source: str, build):
-    """Result of ``build()`` reused while its staged tables and its source still stand.
+def kept(spark: SparkSession, name: str, sources: Iterable[str], build):
+    """Result of ``build()`` reused while its staged tables stand and no source has changed.
 
     For tables many queries start from, such as the graph or the site features: built
-    once per session and input, like any materialised table. ``forget()`` drops them.
+    once per session and input, like any materialised table. ``sources`` names every table
+    that ``build`` reads. A rewritten, added or removed file of any of them makes a new table.
+    ``forget()`` drops them all from memory.
     """
     app = spark.sparkContext.applicationId
-    key = (app, id(spark), name, source, _modified(spark, source))
+    sources = tuple(sources)
+    key, listing = (app, id(spark), name, sources), _listing(spark, sources)
     if key in _KEPT:
-        result, paths = _KEPT[key]
-        if all(_exists(spark, p) for p in paths):
+        result, paths, known = _KEPT[key]
+        if known == listing and all(_exists(spark, p) for p in paths):
             return result
     before = len(_WRITTEN.get(app, []))
     result = build()
-    _KEPT[key] = (result, _WRITTEN.get(app, [])[before:])
+    _KEPT[key] = (result, _WRITTEN.get(app, [])[before:], listing)
     return result
 
 

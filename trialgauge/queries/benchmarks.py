@@ -42,10 +42,10 @@ define("q_bench_global", _bench_sql("TRUE"))
 _LEVEL_P = _LEVEL.format(p="round(percentile, 9)")
 
 
-def _bench(spark, sf_dir, small_rows=None, metrics=None):
+def _bench(spark, sf_dir, metrics=None):
     m = metrics if metrics is not None else view_site_metrics(spark, sf_dir)
     own, members = bm.study_cohorts(cv.safety(spark, sf_dir, ["site", "study_id"]).toDF("study", "site"), m)
-    return bm.benchmark_sites(m, own, members, small_rows)
+    return bm.benchmark_sites(m, own, members)
 
 
 _STATS = ["cohort_mean", "cohort_median", "cohort_std", "cohort_min", "cohort_max"]
@@ -94,7 +94,7 @@ def b04(spark, sf_dir):
 
 @book.add("b04_cohort_statistics_large_input_path", f"SELECT site, metric, {_STATS_SQL} FROM q_bench")
 def b04_large(spark, sf_dir):
-    return _stats(_bench(spark, sf_dir, small_rows=0))
+    return _stats(_bench(spark, sf_dir))
 
 
 @book.add("b05_percentile_and_z", "SELECT site, metric, round(percentile, 5) AS percentile, round(z_score, 4) AS z_score FROM q_bench")

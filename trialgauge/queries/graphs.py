@@ -89,7 +89,7 @@ define("q_issue_of", "SELECT id, coalesce(TRY_CAST(label AS BIGINT), 0) AS issue
 
 def _graph(spark, sf_dir):
     """The whole graph, materialised once per input."""
-    return kept(spark, "graph", f"{sf_dir}/lineitem.parquet", lambda: g.build_from_views(spark, sf_dir))
+    return kept(spark, "graph", cv.source_paths(sf_dir), lambda: g.build_from_views(spark, sf_dir))
 
 
 _STATS = (

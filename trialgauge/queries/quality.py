@@ -128,8 +128,8 @@ def result(scored):
     )
 
 
-def site_baselines(features, small_rows=None):
-    return qi.baseline_map(ft.population_statistics(features, small_rows=small_rows))
+def site_baselines(features):
+    return qi.baseline_map(ft.population_statistics(features))
 
 
 def scored_sites(spark, sf_dir, mode="hybrid", cfg=None, features=None):
