@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 
 import numpy as np
@@ -223,12 +224,50 @@ def test_status_predicates_with_nulls(spark):
     assert [tuple(r) for r in got] == [(False, True), (True, True), (False, False)]
 
 
-def test_kept_tables_rebuild_when_dropped(spark, tmp_path):
-    source = str(tmp_path / "in")
-    spark.range(3).write.parquet(source)
+def test_kept_tables_rebuild_when_dropped_or_outdated(spark, tmp_path):
+    sources = [str(tmp_path / "in"), str(tmp_path / "other")]
+    for path in sources:
+        spark.range(3).write.parquet(path)
     calls = []
-    build = lambda: (calls.append(1), stage(spark.read.parquet(source), "kept"))[1]
-    assert kept(spark, "t", source, build).count() == 3 and kept(spark, "t", source, build).count() == 3
+    build = lambda: (calls.append(1), stage(spark.read.parquet(*sources), "kept"))[1]
+    assert kept(spark, "t", sources, build).count() == 6 and kept(spark, "t", sources, build).count() == 6
     assert len(calls) == 1
     drop_staged(spark)
-    assert kept(spark, "t", source, build).count() == 3 and len(calls) == 2
+    assert kept(spark, "t", sources, build).count() == 6 and len(calls) == 2
+    spark.range(5).write.mode("append").parquet(sources[1])
+    assert kept(spark, "t", sources, build).count() == 11 and len(calls) == 3
+
+
+def test_rewritten_orders_change_the_site_metrics(spark, tmp_path):
+    import shutil
+
+    from trialgauge.plans.site_metrics import view_site_metrics
+
+    where = str(tmp_path / "sf")
+    shutil.copytree("/root/testdata/sf0.001", where)
+    before = view_site_metrics(spark, where).agg(F.sum("subject_count")).first()[0]
+    orders = f"{where}/orders.parquet"
+    one = stage(spark.read.parquet(orders).withColumn("o_custkey", F.lit(1).cast("long")), "orders")
+    os.remove(orders)
+    one.write.parquet(orders)
+    assert view_site_metrics(spark, where).agg(F.sum("subject_count")).first()[0] < before
+
+
+def test_no_leaf_of_the_neighbour_tree_is_above_the_limit(spark):
+    """Ten leaves' worth of vectors, a third of them crowded into one corner."""
+    from trialgauge.operators import neighbours as nb
+
+    rng = np.random.default_rng(5)
+    limit = 64
+    x = rng.normal(size=(10 * limit, 3))
+    x[::3] = 5 + rng.normal(size=x[::3].shape) * 1e-4
+    rows = [(f"v{i:04d}", [float(c) for c in v], 1) for i, v in enumerate(x)]
+    vectors = stage(spark.createDataFrame(rows, "vid string, vec array<double>, weight long"), "v")
+    nodes = nb.grow_tree(vectors, limit)
+    sizes = nb._placed(vectors, nodes).groupBy("leaf").count().collect()
+    assert sum(r["count"] for r in sizes) == len(rows) and max(r["count"] for r in sizes) <= limit
+    near = nb.nearest(vectors, 4, limit).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for r in near:
+        assert np.isclose(r["distance"], np.sort(d[int(r["vid"][1:])])[r["rank"] - 1])
+    assert len(near) == 5 * len(rows)

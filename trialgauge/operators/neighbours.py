@@ -1,11 +1,12 @@
 """Exact k nearest neighbours of every point, without pairing all points.
 
 1. Equal vectors collapse to one weighted vector, so copies cannot make a hot cell.
-2. A kd-tree of median splits, built from a bounded sample, cuts space into leaves of a
-   few thousand vectors. The sample only places the cuts; no result depends on it.
+2. A kd-tree of median splits cuts space into leaves of a few thousand vectors. Leaves are
+   counted and those above the limit are split again, each from a sample of its own, until
+   none is. Samples only place the cuts; no result depends on them.
 3. Inside its leaf each vector gets an upper bound on its k-th distance.
-4. A vector visits only leaves whose bounding box lies within that bound. Busy leaves
-   are split over several tasks by a counted number of copies.
+4. A vector descends the tree and visits only leaves whose bounding box lies within that
+   bound. Busy leaves are split over several tasks by a counted number of copies.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from ..plans.ordering import top_per_group
 from ..plans.staging import stage
 
 LEAF_ROWS = 2048
-SAMPLE_ROWS = 50_000
+#: Rows that place the cuts of one leaf, and the smallest number of them per new leaf.
+SAMPLE_ROWS, PER_LEAF = 50_000, 16
 _BLOCK = 512
 
 
@@ -74,6 +76,78 @@ def _leaf_of(vecs: np.ndarray, nodes: list[tuple[int, float, int, int]]) -> np.n
     return out
 
 
+def grow_tree(vectors: DataFrame, leaf_rows: int) -> list[tuple[int, float, int, int]]:
+    """Nodes of a tree none of whose leaves holds more than ``leaf_rows`` of the distinct ``vectors``.
+
+    The driver holds the tree, two nodes per leaf; samples stay in the tasks, one bounded
+    sample per leaf that is still too large.
+    """
+    nodes: list[tuple[int, float, int, int]] = [(-1, 0.0, 0, 0)]
+    while True:
+        placed = _placed(vectors, nodes)
+        full = placed.groupBy("leaf").count().where(F.col("count") > leaf_rows)
+        sampled = top_per_group(placed.join(full, "leaf"), ["leaf"], [F.xxhash64("vid").asc(), F.asc("vid")], SAMPLE_ROWS)
+
+        def split(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows = _matrix(pdf.sort_values("vid", kind="stable")["vec"])
+            want = max(2, min(math.ceil(2 * pdf["count"].iloc[0] / leaf_rows), len(rows) // PER_LEAF))
+            own = pd.DataFrame(_tree(rows, want), columns=["dim", "cut", "left", "right"])
+            return own.assign(leaf=pdf["leaf"].iloc[0], at=range(len(own)))
+
+        schema = "dim int, cut double, left int, right int, leaf long, at int"
+        found = sampled.select("leaf", "vid", "vec", "count").groupBy("leaf").applyInPandas(split, schema).collect()
+        if not found:
+            return nodes
+        nodes = _grafted(nodes, found)
+
+
+def _grafted(nodes: list[tuple[int, float, int, int]], found: list) -> list[tuple[int, float, int, int]]:
+    """The tree with its split leaves replaced by the subtrees that were found, leaves numbered anew."""
+    subtrees: dict[int, list] = {}
+    for r in sorted(found, key=lambda r: (r["leaf"], r["at"])):
+        subtrees.setdefault(r["leaf"], []).append(r)
+    out = list(nodes)
+    for at, (dim, _, leaf, _) in enumerate(nodes):
+        if dim < 0 and leaf in subtrees:
+            own = subtrees[leaf]
+            # the subtree's root takes the leaf's place, its other nodes go to the end
+            moved = [at, *range(len(out), len(out) + len(own) - 1)]
+            out += [(-1, 0.0, 0, 0)] * (len(own) - 1)
+            for r, place in zip(own, moved):
+                inner = r["dim"] >= 0
+                out[place] = (r["dim"], r["cut"], moved[r["left"]] if inner else 0, moved[r["right"]] if inner else 0)
+    leaves = iter(range(len(out)))
+    return [n if n[0] >= 0 else (-1, 0.0, next(leaves), 0) for n in out]
+
+
+def _placed(vectors: DataFrame, nodes: list[tuple[int, float, int, int]]) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast(nodes)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(leaf=_leaf_of(_matrix(pdf["vec"]), shared.value))
+
+    return vectors.select("vid", "vec", "weight").mapInPandas(place, "vid string, vec array<double>, weight long, leaf long")
+
+
+def _reached(vecs: np.ndarray, bound: np.ndarray, nodes: list[tuple[int, float, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row and leaf such that the leaf's side of every cut lies within the row's bound."""
+    rows_out, leaves_out = [], []
+    stack = [(0, np.arange(len(vecs)))]
+    while stack:
+        at, rows = stack.pop()
+        if not len(rows):
+            continue
+        dim, cut, left, right = nodes[at]
+        if dim < 0:
+            rows_out.append(rows)
+            leaves_out.append(np.full(len(rows), left))
+            continue
+        x, b = vecs[rows, dim], bound[rows]
+        stack += [(left, rows[x - b <= cut]), (right, rows[x + b > cut])]
+    return np.concatenate(rows_out or [np.zeros(0, int)]), np.concatenate(leaves_out or [np.zeros(0, int)])
+
+
 def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(float) if len(series) else np.zeros((0, 1))
 
@@ -112,23 +186,14 @@ def nearest(vectors: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame
     ``vectors(vid, vec, weight)`` should be staged. Weights count copies, so ``k``
     neighbours in the sense of points are always among the listed vectors.
     """
-    n = vectors.count()
-    leaves = max(1, min(math.ceil(n / leaf_rows), SAMPLE_ROWS // 16))
-    rows = vectors.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE_ROWS).select("vec").collect() if leaves > 1 else []
-    nodes = _tree(np.array([r["vec"] for r in rows], dtype=float) if rows else np.zeros((0, 1)), leaves)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(leaf=_leaf_of(_matrix(pdf["vec"]), nodes))
-
-    schema = "vid string, vec array<double>, weight long, leaf long"
-    placed = stage(vectors.select("vid", "vec", "weight").mapInPandas(place, schema), "leaves")
+    nodes = grow_tree(vectors, leaf_rows)
+    placed = stage(_placed(vectors, nodes), "leaves")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         return _nearest(pdf, pdf, k)
 
     local = placed.groupBy("leaf").applyInPandas(within, _NEAR)
-    if leaves == 1:
+    if len(nodes) == 1:
         return _ranked(local, k)
     local = stage(local, "near")
     bound = local.groupBy("vid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
@@ -138,19 +203,22 @@ def nearest(vectors: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame
     boxes = placed.groupBy("leaf").agg(
         F.array(*[F.min(F.col("vec")[i]) for i in range(dims)]).alias("lo"),
         F.array(*[F.max(F.col("vec")[i]) for i in range(dims)]).alias("hi"),
-    ).collect()  # one row per leaf, at most SAMPLE_ROWS / 16
-    ids = np.array([b["leaf"] for b in boxes])
-    lo, hi = np.array([b["lo"] for b in boxes]), np.array([b["hi"] for b in boxes])
+    ).collect()  # one row per leaf, as many as the tree that the driver holds
+    last = max(b["leaf"] for b in boxes) + 1
+    lo, hi = np.full((last, dims), np.inf), np.full((last, dims), -np.inf)
+    for b in boxes:
+        lo[b["leaf"]], hi[b["leaf"]] = b["lo"], b["hi"]
+    shared = vectors.sparkSession.sparkContext.broadcast((nodes, lo, hi))
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, low, high = shared.value
         for pdf in batches:
-            for at in range(0, len(pdf), _BLOCK):
-                part = pdf.iloc[at : at + _BLOCK]
-                v = _matrix(part["vec"])[:, None, :]
-                gap = np.sqrt((np.maximum(0, np.maximum(lo[None] - v, v - hi[None])) ** 2).sum(axis=2))
-                hit = (gap <= part["bound"].to_numpy()[:, None]) & (ids[None, :] != part["leaf"].to_numpy()[:, None])
-                r, c = np.nonzero(hit)
-                yield pd.DataFrame({"vid": part["vid"].to_numpy()[r], "vec": part["vec"].to_numpy()[r], "target": ids[c]})
+            v, bound_of, own = _matrix(pdf["vec"]), pdf["bound"].to_numpy(), pdf["leaf"].to_numpy()
+            r, c = _reached(v, bound_of, tree)
+            gap = np.sqrt((np.maximum(0, np.maximum(low[c] - v[r], v[r] - high[c])) ** 2).sum(axis=1))
+            hit = (gap <= bound_of[r]) & (c != own[r])
+            r, c = r[hit], c[hit]
+            yield pd.DataFrame({"vid": pdf["vid"].to_numpy()[r], "vec": pdf["vec"].to_numpy()[r], "target": c})
 
     trips = placed.join(bound, "vid").mapInPandas(visits, "vid string, vec array<double>, target long")
     trips = stage(trips, "visits")
