@@ -51,7 +51,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 QUERIES = {
@@ -60,8 +60,31 @@ QUERIES = {
 }
 
 _SPREAD = line_dedup.Spread()
+_LIMITS = quality_rules.Limits()
+_NOT_SPACE = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op1_suffix_dedup": """
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        s AS (SELECT doc_id, unnest(range(0, greatest(0, length(x) // 2 - 49))) AS i, x FROM h),
+        k AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS k FROM s),
+        low AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
+        r AS (SELECT doc_id, i FROM k JOIN low USING (k) WHERE first < doc_id),
+        e AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM r),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM e),
+        spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, span),
+        gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM spans),
+        cut AS (
+            SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+                   string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept
+            FROM gaps JOIN h USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM h LEFT JOIN cut USING (doc_id)
+    """,
     "op6_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, source, u.pos AS at, u.line, trim(u.line, ' ') AS k
@@ -79,4 +102,49 @@ ORACLES = {
                length(k.text)::BIGINT AS n_chars_left, sha256(k.text) AS kept_sha256
         FROM documents d LEFT JOIN kept k USING (doc_id)
     """,
+    "op7_decontamination": f"""
+        WITH b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM benchmark),
+        bs AS (SELECT *, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+        bw AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM bs, unnest(range(1, len(w) - n + 2)) AS t(i)),
+        d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM documents),
+        dw AS (
+            SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS k
+            FROM d, (SELECT DISTINCT n FROM bw) AS s, unnest(range(1, len(w) - n + 2)) AS t(i)
+        ),
+        hit AS (SELECT * FROM dw WHERE k IN (SELECT k FROM bw)),
+        words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM hit, unnest(range(i, i + n)) AS t(j) GROUP BY doc_id),
+        pairs AS (SELECT DISTINCT doc_id, item FROM hit JOIN bw USING (k)),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM pairs GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+    "op10_quality_rules": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_NOT_SPACE}') AS w FROM documents),
+        lines AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_NOT_SPACE}')] AS l FROM d),
+        sizes AS (SELECT doc_id, w, 8 AS n, 'window' AS kind FROM d UNION ALL
+                  SELECT doc_id, w, greatest({_LIMITS.max_longest} + 1, len(w) * {_LIMITS.max_longest_percent} // 100 + 1), 'long' FROM d),
+        grams AS (SELECT doc_id, kind, n, i, array_to_string(w[i : i + n - 1], ' ') AS k FROM sizes, unnest(range(1, len(w) - n + 2)) AS t(i)),
+        often AS (SELECT *, count(*) OVER (PARTITION BY doc_id, kind, k) AS times FROM grams),
+        place AS (SELECT DISTINCT doc_id, j FROM often, unnest(range(i, i + n)) AS t(j) WHERE times > 1 AND kind = 'window'),
+        run AS (SELECT p.doc_id, j, w[j] AS word, lag(j) OVER (PARTITION BY p.doc_id ORDER BY j) AS before FROM place p JOIN d USING (doc_id)),
+        rep AS (
+            SELECT doc_id, count(*) AS n_repeat, sum(strlen(word)) AS chars, count(*) FILTER (WHERE before IS NULL OR before < j - 1) AS spans
+            FROM run GROUP BY doc_id
+        ),
+        long AS (SELECT DISTINCT doc_id, true AS long FROM often WHERE times > 1 AND kind = 'long'),
+        base AS (
+            SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+                   coalesce(list_sum([strlen(x) FOR x IN w]), 0) AS word_bytes,
+                   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
+                   coalesce(chars, 0)::BIGINT AS repeat_chars, coalesce(spans, 0)::BIGINT AS repeat_spans, coalesce(long, false) AS long
+            FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN long USING (doc_id)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, repeat_chars, repeat_spans,
+               n_words < {_LIMITS.min_words} OR 100 * n_repeat_words > {_LIMITS.max_percent} * n_words AS base_failed,
+               NOT (n_words < {_LIMITS.min_words} OR 100 * n_repeat_words > {_LIMITS.max_percent} * n_words)
+               AND 100 * repeat_chars <= {_LIMITS.max_char_percent} * word_bytes AND NOT long AS kept
+        FROM base
+    """,
 }
