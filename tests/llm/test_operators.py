@@ -149,6 +149,20 @@ def test_every_long_string_has_one_anchor():
     assert sorted(starts) == sorted(want)
 
 
+def test_long_rows_are_sampled_in_pieces(monkeypatch):
+    rnd = np.random.default_rng(2)
+    raw = rnd.choice(np.frombuffer(b"abcd", np.uint8), 9000)
+    offs = np.array([0, 10, 400, 5000, 5049, 9000])
+    monkeypatch.setattr(suffix_dedup, "HASH_BYTES", 700)
+    parts = list(suffix_dedup._sampled(raw, offs))
+    starts = np.concatenate([np.arange(a - b, a + f - suffix_dedup.LENGTH + 1) for p in parts for a, b, f in zip(*p)])
+    want = np.concatenate([np.arange(a, max(a, b - suffix_dedup.LENGTH + 1)) for a, b in zip(offs[:-1], offs[1:])])
+    assert sorted(starts) == sorted(want)
+    monkeypatch.setattr(suffix_dedup, "HASH_BYTES", 1 << 20)
+    whole = np.concatenate([p.at for p in suffix_dedup._sampled(raw, offs)])
+    assert set(whole) == {a for p in parts for a in p.at}
+
+
 def test_longest_repeats_are_those_of_all_pairs():
     rnd = random.Random(8)
     for _ in range(40):
@@ -281,10 +295,11 @@ def test_boilerplate_stays_only_in_its_first_document(spark):
 def test_mixed_language_spans(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     en, de = (docs.where(F.col("lang") == x).orderBy(F.length("text").desc()).first()["text"][:600] for x in ("en", "de"))
-    both = docs.union(spark.createDataFrame([(-1, f"{en} {de} {de}", None), (-2, "123 ... !!", "en"), (-3, None, "en")], "doc_id bigint, text string, lang string"))
+    both = docs.union(spark.createDataFrame([(-1, f"{en} {de} {de}", None), (-2, "123 ... !!", "en"), (-3, None, "en"), (-4, "ቋንቋ 𝒜𐌰", None)], "doc_id bigint, text string, lang string"))
     rows = language.identify(both).where("doc_id < 0").collect()
     mixed = {r["doc_id"]: r for r in rows}
     assert mixed[-1]["lang_pred"] == "de" and [s["lang"] for s in mixed[-1]["spans"]] == ["en", "de"]
+    assert mixed[-4]["lang_pred"] in ("de", "en", "es", "fr") and mixed[-4]["n_letters"] == 5
     assert mixed[-2]["lang_pred"] == mixed[-3]["lang_pred"] == "und" and mixed[-3]["score"] == 0
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,6 @@ SCRIPTS = {
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF)),
     "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
 }
-SCRIPT_NAMES = tuple(SCRIPTS)
 TABLE_BITS = 16
 #: Stands for no trigram; its scores are zero.
 NO_GRAM = 1 << TABLE_BITS
@@ -59,36 +59,45 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def script_table() -> np.ndarray:
-    """Script number + 1 of every code point of the basic plane, 0 for what is no letter there."""
-    table = np.zeros(0x10000, np.uint8)
+@lru_cache(maxsize=1)
+def letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: its script number + 1, or 0 if no word holds it; whether it is a letter.
+
+    All code points of the ranges above belong to words, marks included, and so does any other
+    letter, as the script after the named ones.
+    """
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    script = np.where(letter, len(SCRIPTS) + 1, 0).astype(np.uint8)
     for number, ranges in enumerate(SCRIPTS.values(), 1):
         for low, high in ranges:
-            table[low : high + 1] = number
-    return table
+            script[low : high + 1] = number
+    return script, letter
 
 
 def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte position and value of every code point of valid UTF-8; 0xFFFF above the basic plane."""
+    """Byte position and value of every code point of valid UTF-8."""
     at = np.flatnonzero((raw & 0xC0) != 0x80)
     b = np.zeros(len(raw) + 3, np.uint32)
     b[: len(raw)] = raw
     lead = b[at]
     value = lead.copy()
-    two, three, four = (lead >= 0xC0) & (lead < 0xE0), (lead >= 0xE0) & (lead < 0xF0), lead >= 0xF0
-    value[two] = (lead[two] & 0x1F) << 6 | b[at[two] + 1] & 0x3F
-    value[three] = (lead[three] & 0x0F) << 12 | (b[at[three] + 1] & 0x3F) << 6 | b[at[three] + 2] & 0x3F
-    value[four] = 0xFFFF
+    for low, high, mask, more in ((0xC0, 0xE0, 0x1F, 1), (0xE0, 0xF0, 0x0F, 2), (0xF0, 0x100, 0x07, 3)):
+        own = np.flatnonzero((lead >= low) & (lead < high))
+        code = lead[own] & mask
+        for step in range(1, more + 1):
+            code = code << 6 | b[at[own] + step] & 0x3F
+        value[own] = code
     return at, value
 
 
 class Words:
     """The letter words of a slice of documents with their trigram features and script."""
 
-    def __init__(self, text: pa.Array, scripts: np.ndarray) -> None:
+    def __init__(self, text: pa.Array) -> None:
         raw, offs = A.utf8(text)
         at, value = code_points(raw)
-        kind = scripts[np.minimum(value, 0xFFFF)]
+        scripts, letters = letter_tables()
+        kind = scripts[value]
         letter = np.zeros(len(raw), bool)
         letter[at] = kind > 0
         # continuation bytes go with their letter
@@ -99,7 +108,7 @@ class Words:
         self.starts, self.lengths = A.runs(letter, offs)
         self.row = np.searchsorted(offs, self.starts, "right") - 1
         letter_points = np.zeros(len(raw), np.int64)
-        letter_points[at] = kind > 0
+        letter_points[at] = letters[value]
         self.letters = A.range_sums(letter_points, self.starts, self.starts + self.lengths)
         script_at = np.zeros(len(raw), np.uint8)
         script_at[at] = kind
@@ -138,12 +147,11 @@ class Model:
     def fit(cls, texts: list[str], labels: list[str], how: Training) -> Model:
         languages = sorted(set(labels))
         counts = np.zeros((1 << TABLE_BITS, len(languages)))
-        scripts = np.zeros((len(SCRIPT_NAMES) + 1, len(languages)))
-        table = script_table()
+        scripts = np.zeros((len(SCRIPTS) + 2, len(languages)))
         for number, language in enumerate(languages):
             own = [t for t, x in zip(texts, labels, strict=True) if x == language]
             for start in range(0, len(own), 200):
-                words = Words(pa.array(own[start : start + 200]), table)
+                words = Words(pa.array(own[start : start + 200]))
                 counts[:, number] += np.bincount(words.grams, minlength=NO_GRAM + 1)[:NO_GRAM]
                 scripts[:, number] += np.bincount(words.script, weights=words.letters, minlength=len(scripts))
         smooth = counts + how.smoothing
@@ -182,9 +190,9 @@ class Model:
         return scores, chosen
 
 
-def detect(text: pa.Array, model: Model, penalty: float, scripts: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, list]:
+def detect(text: pa.Array, model: Model, penalty: float) -> tuple[list, np.ndarray, np.ndarray, list]:
     n = len(text)
-    words = Words(text, scripts)
+    words = Words(text)
     k = len(model.languages)
     scores, chosen = model.label(words, n, penalty)
     letters = np.bincount(words.row * k + chosen, weights=words.letters, minlength=n * k).reshape(n, k)
@@ -230,14 +238,14 @@ def identify(docs: DataFrame, how: Training = Training(), parts: int = 4, held:
     penalty = how.switch_penalty
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned, scripts = packed.value, script_table()
+        learned = packed.value
         for batch in batches:
             for part in A.slices(batch, limit=SLICE):
                 n = part.num_rows
                 if learned is None:
                     found = ["und"] * n, np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)]
                 else:
-                    found = detect(part.column(1), learned, penalty, scripts)
+                    found = detect(part.column(1), learned, penalty)
                 span = pa.struct([("lang", pa.string()), ("start", pa.int32()), ("words", pa.int32())])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), part.column(2), pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()),

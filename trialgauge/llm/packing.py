@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordering import with_position
 from ..plans.staging import stage
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 CAPACITY = 2048
 CLOSING_ID = 1
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
-#: Ranks within a length are counted in so many buckets, so that a frequent length is spread.
-BUCKETS = 64
 
 
 def tokenizer_path() -> str:
@@ -153,38 +152,28 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, wit
 
     Null and empty texts are a single closing id. Repeated rows are packed each on its own;
     null ids are kept. Other columns are ignored. An empty table gives an empty result. The
-    driver holds a count per length and bucket (at most capacity x BUCKETS numbers) and the plan.
+    driver holds a count per length (at most ``capacity`` numbers) and the plan.
     Remainder windows come first; whole windows follow, one sequence each. ``with_ids`` adds
     the ids themselves.
     """
     pieces = stage(token_pieces(docs, capacity, path or tokenizer_path(), with_ids), "pieces")
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(BUCKETS)).cast("int")
-    pieces = pieces.withColumn("_bucket", bucket)
-    counted = pieces.groupBy("length", "_bucket").count().collect()
-    table = np.zeros((capacity + 1, BUCKETS), np.int64)
-    for r in counted:
-        table[r["length"], r["_bucket"]] = r["count"]
-    before = np.cumsum(table, axis=1) - table
-    patterns = plan({length: int(table[length].sum()) for length in range(1, capacity)}, capacity)
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    whole = histogram.pop(capacity, 0)
+    patterns = plan(histogram, capacity)
     places = _places(patterns)
-    # a whole window is a pattern of its own
-    places = np.vstack([places, [[capacity, 0, 1, sum(times for times, _ in patterns), 0]]]).astype(np.int64)
+    if whole:
+        # a whole window is a pattern of its own
+        places = np.vstack([places, [[capacity, 0, 1, sum(times for times, _ in patterns), 0]]]).astype(np.int64)
     schema = f"{PIECES}{', ids array<int>' if with_ids else ''}, sequence_id bigint, offset bigint"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-            lengths, bucket, rank = (got[n].to_numpy() for n in ("length", "_bucket", "_rank"))
-            got["sequence_id"], got["offset"] = map(pa.array, place(lengths, before[lengths, bucket] + rank - 1, places))
+            lengths, rank = (got[n].to_numpy() for n in ("length", "_rank"))
+            got["sequence_id"], got["offset"] = map(pa.array, place(lengths, rank - 1, places))
             yield pa.RecordBatch.from_arrays([got[n] for n in names], names=names)
 
-    return _ranked(pieces).mapInArrow(assign, schema)
-
-
-def _ranked(pieces: DataFrame) -> DataFrame:
-    """Number the pieces inside each length and bucket; ties in every column are alike."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    return pieces.withColumn("_rank", F.row_number().over(order))
+    # a frequent length is ranked over many ranges; pieces alike in all of these are interchangeable
+    order = [F.asc(c) for c in ("doc_id", "start", "ids_crc32", "doc_tokens")]
+    return with_position(pieces, order, ["length"], "_rank", None).mapInArrow(assign, schema)

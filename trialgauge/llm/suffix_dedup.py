@@ -39,6 +39,8 @@ GRAM = 8
 BACK = LENGTH - GRAM
 RUN_BYTES = 8 << 20
 HASH_BYTES = 1 << 20
+#: Anchors of one run at most.
+RUN_ANCHORS = 500_000
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 BLOCK = "part int, kind int, block binary"
@@ -160,16 +162,32 @@ def _unite(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 def make_runs(raw: np.ndarray, offs: np.ndarray, ids: np.ndarray, keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
     """Sorted front-coded runs of a few megabytes of text, one per share of the grams, and the
     spans that these texts settle among themselves."""
-    found: list[Anchors] = []
-    row = 0
-    while row < len(ids):
-        stop = max(row + 1, int(np.searchsorted(offs, offs[row] + HASH_BYTES, "right")) - 1)
-        own = anchors(raw[offs[row] : offs[stop]], offs[row : stop + 1] - offs[row])
-        found.append(Anchors(own.at + offs[row], own.back, own.ahead))
-        row = stop
+    found = list(_sampled(raw, offs))
     if not found:
         return
     at, back, ahead = (np.concatenate(x) for x in zip(*found, strict=True))
+    for first in range(0, len(at), RUN_ANCHORS):
+        part = slice(first, first + RUN_ANCHORS)
+        yield from _run_blocks(raw, offs, ids, keys, parts, Anchors(at[part], back[part], ahead[part]))
+
+
+def _sampled(raw: np.ndarray, offs: np.ndarray) -> Iterator[Anchors]:
+    """Anchors of all rows, hashed a bounded number of bytes at a time; longer rows in pieces
+    that overlap by a string less a byte."""
+    row = 0
+    while row < len(offs) - 1:
+        stop = max(row + 1, int(np.searchsorted(offs, offs[row] + HASH_BYTES, "right")) - 1)
+        low, high = int(offs[row]), int(offs[stop])
+        for start in range(low, max(low + 1, high - LENGTH + 1), HASH_BYTES if stop == row + 1 else high - low + 1):
+            end = min(high, start + HASH_BYTES + LENGTH - 1) if stop == row + 1 else high
+            inner = np.clip(offs[row : stop + 1], start, end) - start
+            own = anchors(raw[start:end], inner)
+            yield Anchors(own.at + start, own.back, own.ahead)
+        row = stop
+
+
+def _run_blocks(raw, offs, ids, keys, parts, own_anchors: Anchors) -> Iterator[tuple[int, int, bytes]]:
+    at, back, ahead = own_anchors
     docs = np.searchsorted(offs, at, "right") - 1
     gram = np.ascontiguousarray(A.lanes(raw)[at])
     share = (A.mix(gram ^ A.U64(0xA5A5A5A5)) % A.U64(parts)).astype(np.int64)
