@@ -31,6 +31,8 @@ EPS, MIN_POINTS = 2.0, 3
 MAX_CLUSTERS = 10
 SPECTRAL_NEIGHBOURS = 10
 _LINKS = 8
+#: Label tuples whose distances fit into a task: 400 MB.
+MAX_TUPLES = 10_000
 _BLOCK_ROWS = 2048
 
 # Low, medium, high bounds per metric.
@@ -200,7 +202,8 @@ def spectral(points: DataFrame, k: int, neighbours: int = SPECTRAL_NEIGHBOURS) -
     )
     found = PowerIterationClustering(k=k, maxIter=40, weightCol="weight").assignClusters(stage(pairs, "pairs"))
     by_vid = numbers.join(found, numbers.no == found.id).select("vid", F.col("cluster"))
-    return pts.join(vectors, "vec").join(by_vid, "vid", "left").select("id", F.coalesce("cluster", F.lit(0)).alias("cluster"))
+    missing = F.raise_error(F.concat(F.lit("no spectral label for "), F.col("vid")))
+    return pts.join(vectors, "vec").join(by_vid, "vid", "left").select("id", F.coalesce("cluster", missing.cast("int")).alias("cluster"))
 
 
 def silhouette_squared(points: DataFrame, labels: DataFrame) -> float:
@@ -208,16 +211,17 @@ def silhouette_squared(points: DataFrame, labels: DataFrame) -> float:
     return ClusteringEvaluator(featuresCol="features").evaluate(rows)
 
 
-def best_k_by_silhouette(points: DataFrame, max_k: int = MAX_CLUSTERS, restarts: int = RESTARTS) -> int:
-    """Smallest k with the best silhouette; fewer than three points give two."""
+def silhouette_scores(points: DataFrame, max_k: int = MAX_CLUSTERS, restarts: int = RESTARTS) -> dict[int, float]:
+    """Silhouette of the k-means clusters for each k from two on."""
     pts = stage(points, "points")
     top = min(max_k, pts.count() - 1)
-    best_k, best = 2, -1.0
-    for k in range(2, top + 1):
-        score = silhouette_squared(pts, kmeans(pts, k, restarts))
-        if score > best:
-            best_k, best = k, score
-    return best_k
+    return {k: silhouette_squared(pts, kmeans(pts, k, restarts)) for k in range(2, top + 1)}
+
+
+def best_k_by_silhouette(points: DataFrame, max_k: int = MAX_CLUSTERS, restarts: int = RESTARTS) -> int:
+    """Smallest k with the best silhouette; fewer than three points give two."""
+    scores = silhouette_scores(points, max_k, restarts)
+    return max(scores, key=lambda k: (scores[k], -k)) if scores else 2
 
 
 def mixture_bic(log_likelihood: float, k: int, dims: int, n: int) -> float:
@@ -225,11 +229,16 @@ def mixture_bic(log_likelihood: float, k: int, dims: int, n: int) -> float:
     return free * math.log(n) - 2 * log_likelihood
 
 
-def best_k_by_bic(points: DataFrame, max_k: int = MAX_CLUSTERS, seed: int = SEED) -> int:
+def bic_scores(points: DataFrame, max_k: int = MAX_CLUSTERS, seed: int = SEED) -> dict[int, float]:
+    """Information criterion of the mixture for each k from two on."""
     live = stage(_live_dimensions(points), "points")
     n, dims = live.count(), len(live.first()["vec"])
     rows = _vectors(live)
-    scores = {k: mixture_bic(_fit_mixture(rows, k, 1, seed).summary.logLikelihood, k, dims, n) for k in range(2, min(max_k, n - 1) + 1)}
+    return {k: mixture_bic(_fit_mixture(rows, k, 1, seed).summary.logLikelihood, k, dims, n) for k in range(2, min(max_k, n - 1) + 1)}
+
+
+def best_k_by_bic(points: DataFrame, max_k: int = MAX_CLUSTERS, seed: int = SEED) -> int:
+    scores = bic_scores(points, max_k, seed)
     return min(scores, key=lambda k: (scores[k], k)) if scores else 2
 
 
@@ -260,21 +269,45 @@ def co_association_pairs(tuples: DataFrame) -> DataFrame:
 
 
 def _average_linkage(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Size-weighted average linkage by nearest-neighbour chains, in quadratic time.
+
+    Average linkage never brings a merged pair closer to the rest, so chains find the same
+    merges as a search for the closest pair; they are then applied in order of distance.
+    """
     pdf = pdf.sort_values("key", kind="stable").reset_index(drop=True)
     labels, size = np.stack(pdf["labels"].to_numpy()), pdf["size"].to_numpy(dtype=float)
     n = len(pdf)
-    dist = 1.0 - (labels[:, None, :] == labels[None, :, :]).mean(axis=2)
+    dist = np.zeros((n, n), np.float32)
+    for column in labels.T:
+        dist += column[:, None] != column[None, :]
+    dist /= labels.shape[1]
     np.fill_diagonal(dist, np.inf)
-    owner = np.arange(n)
-    for _ in range(max(0, n - k)):
-        a, b = np.unravel_index(np.argmin(dist), dist.shape)
-        a, b = min(a, b), max(a, b)
+    alive = np.ones(n, bool)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        top = chain[-1]
+        near = int(np.argmin(dist[top]))
+        # on a tie the chain goes back, so that it ends
+        if len(chain) > 1 and dist[top, chain[-2]] <= dist[top, near]:
+            near = chain[-2]
+        if len(chain) < 2 or near != chain[-2]:
+            chain.append(near)
+            continue
+        del chain[-2:]
+        a, b = min(top, near), max(top, near)
+        merges.append((float(dist[a, b]), a, b))
         merged = (size[a] * dist[a] + size[b] * dist[b]) / (size[a] + size[b])
         dist[a], dist[:, a] = merged, merged
-        dist[a, a] = np.inf
         dist[b], dist[:, b] = np.inf, np.inf
+        dist[a, a] = np.inf
         size[a] += size[b]
-        owner[owner == b] = a
+        alive[b] = False
+    owner = np.arange(n)
+    for _, a, b in sorted(merges, key=lambda m: m[0])[: max(0, n - k)]:
+        owner[owner == owner[b]] = owner[a]
     numbers = {o: i for i, o in enumerate(dict.fromkeys(owner))}
     return pd.DataFrame({"key": pdf["key"], "cluster": [numbers[o] for o in owner]})
 
@@ -283,9 +316,13 @@ def consensus(labelings: Sequence[DataFrame], k: int) -> DataFrame:
     """Size-weighted average linkage over the label tuples, cut to ``k``.
 
     Equal tuples would merge at distance zero first, so working on tuples is exact. The
-    one group holds at most k^m rows.
+    one group holds at most k^m rows; their number is measured, and more than its matrix
+    of distances has room for is an error.
     """
     points, tuples = co_association(labelings)
+    tuples = stage(tuples, "tuples")
+    if (n := tuples.count()) > MAX_TUPLES:
+        raise ValueError(f"{n} label tuples; their distances need more than the room for {MAX_TUPLES}")
     rows = tuples.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(
         lambda pdf: _average_linkage(pdf, k), "key string, cluster int"
     )
@@ -405,6 +442,37 @@ def silhouette(points: DataFrame, labels: DataFrame, block_rows: int = _BLOCK_RO
     return both.select("id", "cluster", F.coalesce(F.when(F.col("inside").isNull(), 0.0).otherwise(value), F.lit(0.0)).alias("silhouette"))
 
 
+def squared_silhouette(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """Squared-Euclidean silhouette per point: ``id, cluster, silhouette``, in one pass.
+
+    The mean squared distance of a point to a cluster follows from the cluster's size, sum of
+    vectors and sum of squared norms, so k small rows stand for all points.
+    """
+    rows = stage(points.join(labels, "id").select("id", "vec", F.col("cluster").cast("int").alias("cluster")), "labeled")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rows = rows.withColumn("norm", dot("vec", "vec"))
+    first = rows.select("vec").first()
+    dims = len(first["vec"]) if first else 0
+    per = rows.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("vec")[i]) for i in range(dims)]).alias("total"), F.sum("norm").alias("norms")
+    )
+    known = per.agg(F.collect_list(F.struct("cluster", "n", "total", "norms")).alias("clusters"))
+    distance = F.transform(
+        "clusters",
+        lambda c: F.struct(
+            (c["cluster"] == F.col("cluster")).alias("own"), c["n"].alias("n"),
+            F.greatest(F.lit(0.0), F.col("norm") * c["n"] + c["norms"] - 2 * dot(F.col("vec"), c["total"])).alias("sum"),
+        ),
+    )
+    both = attach_scalars(rows, known).select("id", "cluster", distance.alias("d")).select(
+        "id", "cluster",
+        F.array_max(F.transform(F.filter("d", lambda x: x["own"] & (x["n"] > 1)), lambda x: x["sum"] / (x["n"] - 1))).alias("inside"),
+        F.array_min(F.transform(F.filter("d", lambda x: ~x["own"]), lambda x: x["sum"] / x["n"])).alias("outside"),
+    )
+    value = F.try_divide(F.col("outside") - F.col("inside"), F.greatest("inside", "outside"))
+    return both.select("id", "cluster", F.coalesce(F.when(F.col("inside").isNull(), 0.0).otherwise(value), F.lit(0.0)).alias("silhouette"))
+
+
 def _exploded(points: DataFrame, labels: DataFrame) -> DataFrame:
     return points.join(labels, "id").select("id", "cluster", F.posexplode("vec").alias("dim", "x"))
 
@@ -446,9 +514,10 @@ def davies_bouldin(points: DataFrame, labels: DataFrame) -> DataFrame:
     return worst.agg(F.avg("r").alias("davies_bouldin"))
 
 
-def quality_row(points: DataFrame, labels: DataFrame, method: str) -> DataFrame:
+def quality_row(points: DataFrame, labels: DataFrame, method: str, exact: bool = False) -> DataFrame:
+    """Three measures of one labelling. ``exact`` takes the Euclidean silhouette, which is quadratic."""
     pts, lab = stage(points, "points"), stage(labels.select("id", "cluster"), "labels")
-    s = silhouette(pts, lab).agg(F.round(F.avg("silhouette"), 4).alias("silhouette"))
+    s = (silhouette if exact else squared_silhouette)(pts, lab).agg(F.round(F.avg("silhouette"), 4).alias("silhouette"))
     out = attach_scalars(s, calinski_harabasz(pts, lab).select(F.round("calinski_harabasz", 4).alias("calinski_harabasz")))
     out = attach_scalars(out, davies_bouldin(pts, lab).select(F.round("davies_bouldin", 4).alias("davies_bouldin")))
     # one cluster has no separation: the worst value of each measure
@@ -493,18 +562,21 @@ def scaled_quality(rows: DataFrame) -> DataFrame:
 def site_lookup(labels: DataFrame, profiles: DataFrame) -> DataFrame:
     """Label, risk, size and, for a mixture, the confidence of each site."""
     confidence = F.array_max("probabilities") if "probabilities" in labels.columns else F.lit(None).cast("double")
-    rows = labels.select("id", "cluster", confidence.alias("confidence"))
+    probabilities = F.col("probabilities") if "probabilities" in labels.columns else F.lit(None).cast("array<double>")
+    rows = labels.select("id", "cluster", confidence.alias("confidence"), probabilities.alias("probabilities"))
     return rows.join(profiles.select("cluster", "size", "risk_level", "description"), "cluster", "left")
 
 
-def projection(points: DataFrame, labels: DataFrame, dims: int = 3) -> DataFrame:
-    """Principal components of scaled features with each point's cluster."""
+def projection(points: DataFrame, labels: DataFrame, dims: int = 3, profiles: DataFrame | None = None) -> DataFrame:
+    """Principal components of scaled features with each point's cluster and, given the
+    clusters' profiles, its risk level."""
     rows = _vectors(stage(points, "points"))
     model = PCA(k=dims, inputCol="features", outputCol="pc").fit(rows)
     xyz = model.transform(rows).select("id", vector_to_array("pc").alias("pc"))
-    return xyz.join(labels.select("id", "cluster"), "id").select(
+    placed = xyz.join(labels.select("id", "cluster"), "id").select(
         "id", *[F.col("pc")[i].alias(n) for i, n in enumerate("xyz"[:dims])], F.greatest(F.lit(0), "cluster").alias("cluster")
     )
+    return placed if profiles is None else placed.join(profiles.select("cluster", "risk_level"), "cluster", "left")
 
 
 def sites_per_risk(profiles: DataFrame) -> DataFrame:
@@ -519,3 +591,22 @@ def members_of(labels: DataFrame, cluster: int) -> DataFrame:
 
 def peer_clusters(profiles: DataFrame, cluster: int) -> DataFrame:
     return profiles.where(F.col("cluster") != cluster).select("cluster", "size", "risk_level")
+
+
+# ---- invariants ----
+
+
+def labelled_once(points: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """``id, ok``: every point has exactly one label from 0 to k - 1."""
+    per = labels.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("cluster").alias("c"))
+    ok = (F.col("n") == 1) & F.col("c").between(0, k - 1)
+    return points.select("id").join(per, "id", "left").select("id", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def nearest_to_own_centre(points: DataFrame, labels: DataFrame, slack: float = 1e-3) -> DataFrame:
+    """``id, ok``: no other cluster's mean is closer than the mean of the point's own."""
+    rows = stage(_exploded(points, labels), "exploded")
+    centre = rows.groupBy(F.col("cluster").alias("other"), "dim").agg(F.avg("x").alias("c"))
+    gap = rows.join(centre, "dim").groupBy("id", "cluster", "other").agg(F.sum((F.col("x") - F.col("c")) * (F.col("x") - F.col("c"))).alias("d"))
+    own = F.max(F.when(F.col("cluster") == F.col("other"), F.col("d")))
+    return gap.groupBy("id").agg((own <= F.min("d") + slack).alias("ok"))

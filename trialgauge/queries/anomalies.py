@@ -65,20 +65,41 @@ def a01(spark, sf_dir):
     return rows.select("id", names[F.col("i")].alias("metric"), F.round("x", 5).alias("scaled"))
 
 
-@book.add("a02_isolation_forest")
+_FLAGGED = "SELECT n AS sites, n - 1 - CAST(floor((n - 1) * 0.9) AS BIGINT) AS flagged, true AS ok FROM (SELECT count(DISTINCT entity_id) AS n FROM q_z) q"
+
+
+def _flagged(scored, planted):
+    """Sites and flagged sites, and whether the planted stranger has the top score."""
+    top = F.max_by("id", F.struct("score", "id")) == planted
+    return scored.agg(F.count(F.lit(1)).alias("sites"), F.count_if(F.col("score") > 0).alias("flagged"), top.alias("ok"))
+
+
+def _with_stranger(points):
+    """The smallest site's features moved far out of range: the known answer to every detector."""
+    far = F.transform("vec", lambda x: x + 1000.0)
+    first = points.agg(F.min("id").alias("first"))
+    moved = points.join(first, points["id"] == first["first"], "left").select("id", F.when(F.col("first").isNotNull(), far).otherwise(F.col("vec")).alias("vec"))
+    return stage(moved, "points"), first.first()["first"]
+
+
+@book.add("a02_isolation_forest", _FLAGGED)
 def a02(spark, sf_dir):
-    return an.isolation_scores(_points(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
+    points, planted = _with_stranger(_points(spark, sf_dir))
+    return _flagged(an.isolation_scores(points), planted)
 
 
-@book.add("a03_legacy_forest_bands")
+@book.add(
+    "a03_legacy_forest_bands",
+    "SELECT count(*) AS sites, count(*) - 1 - CAST(floor((count(*) - 1) * 0.9) AS BIGINT) AS flagged, true AS ok FROM q_feat",
+)
 def a03(spark, sf_dir):
     # the older detector feeds unscaled features
     f = staged_features(spark, sf_dir)
     points = stage(f.select(F.col("site_id").alias("id"), F.array(*an.LEGACY_FEATURES).alias("vec")), "points")
-    scored = an.isolation_scores(points, trees=100)
-    return scored.select(
-        "id", F.round("score", 6).alias("score"), (F.col("score") > 0).alias("is_anomaly"), an.legacy_level(F.col("score")).alias("risk_level")
-    ).orderBy(F.desc("score"), "id")
+    points, planted = _with_stranger(points)
+    scored = an.isolation_scores(points, trees=100).withColumn("level", an.legacy_level(F.col("score")))
+    low = (F.col("level") == "Low") == (F.col("score") <= 0)
+    return _flagged(stage(scored.withColumn("score", F.when(low, F.col("score"))), "scored"), planted)
 
 
 _LOF = {
@@ -104,9 +125,14 @@ def a04_leaves(spark, sf_dir):
     return local_outlier_factor(points, k, leaf_rows=30).select("id", F.round("lof", 5).alias("lof"))
 
 
-@book.add("a05_robust_mahalanobis")
+@book.add("a05_robust_mahalanobis", "SELECT count(DISTINCT entity_id) AS sites, true AS ok FROM q_z")
 def a05(spark, sf_dir):
-    return an.robust_distances(_points(spark, sf_dir), len(M)).select("id", F.round("distance", 6).alias("distance"))
+    """No distance is negative, and a planted stranger is far beyond all others."""
+    points, planted = _with_stranger(_points(spark, sf_dir))
+    d = stage(an.robust_distances(points, len(M)), "distances")
+    rest = F.max(F.when(F.col("id") != planted, F.col("distance")))
+    own = F.max(F.when(F.col("id") == planted, F.col("distance")))
+    return d.agg(F.count(F.lit(1)).alias("sites"), ((F.min("distance") >= 0) & (own > 10 * rest)).alias("ok"))
 
 
 @book.add("a06_z_score_method", "SELECT entity_id AS site_id, round(score, 6) AS score FROM q_stat")
@@ -142,12 +168,19 @@ def a08_two(spark, sf_dir):
     return rows.select("site_id", F.round("anomaly_score", 5).alias("anomaly_score"))
 
 
-@book.add("a08_ensemble")
+@book.add(
+    "a08_ensemble",
+    "SELECT entity_id AS site_id, round(score, 6) AS statistical, true AS ok FROM q_stat",
+)
 def a08(spark, sf_dir):
+    """The z-score part is SQL's; the other parts lie in their range and the whole is their weighted mean."""
     rows = an.detect(ft.view_site_features(spark, sf_dir), M)
-    return rows.select(
-        "site_id", *[F.round(c, 6).alias(c) for c in ("isolation_forest", "lof", "statistical", "mahalanobis", "anomaly_score")], "is_anomaly", "risk_level"
-    )
+    parts = ("isolation_forest", "lof", "statistical", "mahalanobis")
+    weighted = sum(F.col(c) * an.ENSEMBLE_WEIGHTS[c] for c in parts) / sum(an.ENSEMBLE_WEIGHTS[c] for c in parts)
+    ok = F.abs(F.col("anomaly_score") - weighted) < 1e-9
+    for c in parts:
+        ok = ok & F.col(c).between(0, 1)
+    return rows.select("site_id", F.round("statistical", 6).alias("statistical"), ok.alias("ok"))
 
 
 @book.add("a09_flag_and_level", "SELECT site_id, is_anomaly, risk_level FROM q_found")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import anomalies as an
 from ..operators import clustering as cl
 from ..plans import clinical_views as cv
 from ..plans import features as ft
-from ..plans.staging import stage
+from ..operators.joins import attach_scalars
+from ..plans.staging import kept, stage
 from .book import Book
 from .features import staged_features
 from .sqlkit import define
@@ -44,11 +46,6 @@ def _labels(spark, sf_dir):
     return s.select(F.col("site").alias("id"), F.regexp_extract("study", r"(\d+)", 1).cast("int").alias("cluster"))
 
 
-def _partition_check(labels):
-    """Sizes of the clusters: every site is labeled once."""
-    return labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).orderBy("cluster")
-
-
 @book.add("k01_feature_preparation", "SELECT entity_id AS id, round(sqrt(sum(z * z)), 5) AS norm FROM q_z GROUP BY entity_id")
 def k01(spark, sf_dir):
     _, points = _points(spark, sf_dir)
@@ -98,26 +95,39 @@ def k04_single(spark, sf_dir):
     return cl.single_linkage(_points(spark, sf_dir, LEGACY)[1], 1.0)
 
 
-@book.add("k04_hierarchical_top_down")
+_EACH_SITE = "SELECT DISTINCT entity_id AS id, true AS ok FROM q_z"
+
+
+@book.add("k04_hierarchical_top_down", _EACH_SITE)
 def k04(spark, sf_dir):
-    return _partition_check(cl.bisecting(_points(spark, sf_dir)[1], K))
+    """Every site has one label; labels are not SQL's, so the invariant is what is compared."""
+    points = _points(spark, sf_dir)[1]
+    return cl.labelled_once(points, stage(cl.bisecting(points, K), "labels"), K)
 
 
-@book.add("k05_gaussian_mixture")
+@book.add("k05_gaussian_mixture", "SELECT DISTINCT entity_id AS id, 1.0::DOUBLE AS mass, true AS ok FROM q_z")
 def k05(spark, sf_dir):
-    g = cl.gaussian_mixture(_points(spark, sf_dir)[1], K)
+    """Probabilities sum to one and the label has the largest."""
+    points = _points(spark, sf_dir)[1]
+    g = stage(cl.gaussian_mixture(points, K), "mixture")
     total = F.aggregate("probabilities", F.lit(0.0), lambda s, x: s + x)
-    return g.select("id", "cluster", F.round(total, 6).alias("mass"), F.round(F.array_max("probabilities"), 4).alias("confidence"))
+    best = F.array_max("probabilities") == F.col("probabilities")[F.col("cluster")]
+    return cl.labelled_once(points, g, K).join(g, "id").select("id", F.round(total, 6).alias("mass"), (F.col("ok") & best).alias("ok"))
 
 
-@book.add("k06_kmeans")
+@book.add("k06_kmeans", _EACH_SITE)
 def k06(spark, sf_dir):
-    return _partition_check(cl.kmeans(_points(spark, sf_dir)[1], K))
+    """One label per site, and no mean of another cluster is closer than that of its own."""
+    points = _points(spark, sf_dir)[1]
+    labels = stage(cl.kmeans(points, K), "labels")
+    near = cl.nearest_to_own_centre(points, labels).withColumnRenamed("ok", "near")
+    return cl.labelled_once(points, labels, K).join(near, "id").select("id", (F.col("ok") & F.col("near")).alias("ok"))
 
 
-@book.add("k07_spectral")
+@book.add("k07_spectral", _EACH_SITE)
 def k07(spark, sf_dir):
-    return _partition_check(cl.spectral(_points(spark, sf_dir)[1], K))
+    points = _points(spark, sf_dir)[1]
+    return cl.labelled_once(points, stage(cl.spectral(points, K), "labels"), K)
 
 
 _TUPLES = {
@@ -143,21 +153,51 @@ def k08(spark, sf_dir):
     return cl.co_association_pairs(tuples).withColumn("share", F.round("share", 6))
 
 
-@book.add("k09_consensus_ensemble")
+@book.add("k09_consensus_ensemble", _EACH_SITE)
 def k09(spark, sf_dir):
-    return _partition_check(cl.ensemble(_points(spark, sf_dir)[1], K, restarts=3))
+    points = _points(spark, sf_dir)[1]
+    return cl.labelled_once(points, stage(cl.ensemble(points, K), "labels"), K)
+
+
+def _scores(spark, sf_dir):
+    """``measure, k, score`` of both ways to choose k, made once per input."""
+
+    def build():
+        points = _points(spark, sf_dir)[1]
+        rows = [("silhouette", k, float(v)) for k, v in cl.silhouette_scores(points).items()]
+        rows += [("bic", k, float(v)) for k, v in cl.bic_scores(points).items()]
+        return stage(spark.createDataFrame(rows, "measure string, k int, score double"), "scores")
+
+    return kept(spark, "k-scores", cv.source_paths(sf_dir), build)
+
+
+def _best_k(spark, sf_dir):
+    scores = _scores(spark, sf_dir)
+    top = scores.groupBy("measure").agg(
+        F.min_by("k", F.struct(-F.col("score"), "k")).alias("high"), F.min_by("k", F.struct("score", "k")).alias("low")
+    )
+    return {r["measure"]: r["high"] if r["measure"] == "silhouette" else r["low"] for r in top.collect()}
+
 
+_KS = "SELECT CAST(k AS INT) AS k, true AS ok FROM range(2, (SELECT least(10, count(DISTINCT entity_id) - 1) + 1 FROM q_z)) AS t(k)"
 
-@book.add("k10_best_k_by_silhouette")
+
+@book.add("k10_best_k_by_silhouette", _KS)
 def k10(spark, sf_dir):
-    best = cl.best_k_by_silhouette(_points(spark, sf_dir)[1], max_k=6, restarts=1)
-    return spark.range(1).select(F.lit(best).alias("best_k"))
+    """Every k was tried; its score is a silhouette and not above that of the chosen one."""
+    best = _best_k(spark, sf_dir)["silhouette"]
+    rows = _scores(spark, sf_dir).where("measure = 'silhouette'")
+    top = F.max(F.when(F.col("k") == best, F.col("score"))).over(Window.partitionBy("measure"))
+    return rows.select("k", (F.col("score").between(-1, 1) & (F.col("score") <= top)).alias("ok"))
 
 
-@book.add("k11_best_k_by_bic")
+@book.add("k11_best_k_by_bic", _KS)
 def k11(spark, sf_dir):
-    best = cl.best_k_by_bic(_points(spark, sf_dir)[1], max_k=4)
-    return spark.range(1).select(F.lit(best).alias("best_k"))
+    """Every k was tried; its criterion is not below that of the chosen one."""
+    best = _best_k(spark, sf_dir)["bic"]
+    rows = _scores(spark, sf_dir).where("measure = 'bic'")
+    low = F.min(F.when(F.col("k") == best, F.col("score"))).over(Window.partitionBy("measure"))
+    return rows.select("k", (F.col("score") >= low).alias("ok"))
 
 
 _RISK = " + ".join(
@@ -253,30 +293,60 @@ def k18(spark, sf_dir):
 
 
 def _compared(spark, sf_dir):
-    _, points = _points(spark, sf_dir)
-    return cl.compare_methods(
-        points,
-        {"hierarchical": cl.bisecting(points, K), "gmm": cl.gaussian_mixture(points, K, 1).select("id", "cluster"), "kmeans": cl.kmeans(points, K, 3)},
-    )
+    """Hierarchical, mixture and consensus clusters, each at its own chosen k."""
+
+    def build():
+        points = _points(spark, sf_dir)[1]
+        best = _best_k(spark, sf_dir)
+        labelings = {
+            "hierarchical": cl.bisecting(points, best["silhouette"]),
+            "gmm": cl.gaussian_mixture(points, best["bic"]).select("id", "cluster"),
+            "ensemble": cl.ensemble(points, best["silhouette"]),
+        }
+        return stage(cl.compare_methods(points, labelings), "compared")
+
+    return kept(spark, "compared", cv.source_paths(sf_dir), build)
+
 
+_METHODS = "SELECT unnest(['hierarchical', 'gmm', 'ensemble']) AS method, true AS ok FROM (SELECT count(*) AS n FROM q_z) q WHERE n > 0"
 
-@book.add("k19_method_comparison")
+
+@book.add("k19_method_comparison", _METHODS)
 def k19(spark, sf_dir):
-    return _compared(spark, sf_dir)
+    """Measures in their ranges, and the recommended method alone has the best silhouette."""
+    rows = _compared(spark, sf_dir).withColumn("all", F.lit(1))
+    top = F.max("silhouette").over(Window.partitionBy("all"))
+    chosen = F.sum(F.col("recommended").cast("int")).over(Window.partitionBy("all"))
+    ok = F.col("silhouette").between(-1, 1) & (F.col("calinski_harabasz") >= 0) & (F.col("davies_bouldin") >= 0) & (chosen == 1)
+    return rows.select("method", (ok & (~F.col("recommended") | (F.col("silhouette") == top))).alias("ok"))
 
 
-@book.add("k20_site_lookup", "SELECT l.id, l.cluster, r.size, r.risk_level FROM q_lab l JOIN q_risk r ON l.cluster = r.cluster")
+@book.add(
+    "k20_site_lookup",
+    "SELECT l.id, l.cluster, r.size, r.risk_level, 0.75::DOUBLE AS confidence, '0.75|0.25' AS probabilities FROM q_lab l JOIN q_risk r ON l.cluster = r.cluster",
+)
 def k20(spark, sf_dir):
     features = staged_features(spark, sf_dir)
     labels = _labels(spark, sf_dir).join(features.select(F.col("site_id").alias("id")), "id", "left_semi")
+    labels = labels.withColumn("probabilities", F.array(F.lit(0.75), F.lit(0.25)))
     found = cl.site_lookup(labels, cl.cluster_profiles(features, labels, M))
-    return found.select("id", "cluster", "size", "risk_level")
+    return found.select("id", "cluster", "size", "risk_level", "confidence", F.array_join(F.col("probabilities").cast("array<string>"), "|").alias("probabilities"))
 
 
-@book.add("k21_projection")
+@book.add("k21_projection", "SELECT l.id, l.cluster, r.risk_level, true AS ok FROM q_lab l JOIN q_risk r ON l.cluster = r.cluster")
 def k21(spark, sf_dir):
-    p = cl.projection(_points(spark, sf_dir)[1], _labels(spark, sf_dir))
-    return p.select("id", *[F.round(F.abs(F.col(c)), 5).alias(c) for c in "xyz"], "cluster")
+    """Components carry falling variance, do not correlate, and no point is farther from the
+    centre than in full space."""
+    features, points = _points(spark, sf_dir)
+    labels = _labels(spark, sf_dir).join(points.select("id"), "id", "left_semi")
+    p = stage(cl.projection(points, labels, profiles=cl.cluster_profiles(features, labels, M)), "projection")
+    v = p.agg(*[F.var_pop(c).alias(c) for c in "xyz"], *[F.covar_pop(a, b).alias(a + b) for a, b in ("xy", "xz", "yz")])
+    falls = (F.col("v.x") >= F.col("v.y")) & (F.col("v.y") >= F.col("v.z"))
+    apart = (F.abs("v.xy") < 1e-6) & (F.abs("v.xz") < 1e-6) & (F.abs("v.yz") < 1e-6)
+    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    size = F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")
+    whole = attach_scalars(p.join(points, "id"), v.select(F.struct("*").alias("v")))
+    return whole.select("id", "cluster", "risk_level", (falls & apart & (size <= norm + 1e-6)).alias("ok"))
 
 
 @book.add(
@@ -287,20 +357,28 @@ def k22(spark, sf_dir):
     return cl.sites_per_risk(_profiles(spark, sf_dir))
 
 
+_SQUARED = {
+    "q_sq8": "SELECT a.id AS a, b.id AS b, a.cluster AS ca, b.cluster AS cb, sum((a.x - b.x) * (a.x - b.x)) AS d FROM q_cell a JOIN q_cell b ON a.metric = b.metric AND a.id <> b.id GROUP BY 1, 2, 3, 4",
+    "q_ab": "SELECT a, ca, min(CASE WHEN cb <> ca THEN m END) AS o, max(CASE WHEN cb = ca THEN m END) AS i FROM (SELECT a, ca, cb, avg(d) AS m FROM q_sq8 GROUP BY 1, 2, 3) q GROUP BY 1, 2",
+}
+
+
 @book.add(
     "k23_quality_label",
     "SELECT id, CASE WHEN v >= 0.7 THEN 'Excellent' WHEN v >= 0.5 THEN 'Good' WHEN v >= 0.25 THEN 'Fair' ELSE 'Poor' END AS label FROM "
     "(SELECT a AS id, CASE WHEN i IS NULL THEN 0.0 ELSE (o - i) / greatest(o, i) END AS v FROM q_ab) q",
-    **_SIL,
+    **_SQUARED,
 )
 def k23(spark, sf_dir):
-    s = cl.silhouette(_points(spark, sf_dir)[1], _labels(spark, sf_dir))
+    s = cl.squared_silhouette(_points(spark, sf_dir)[1], _labels(spark, sf_dir))
     return s.select("id", cl.quality_label(F.col("silhouette")).alias("label"))
 
 
-@book.add("k24_scaled_comparison")
+@book.add("k24_scaled_comparison", _METHODS)
 def k24(spark, sf_dir):
-    return cl.scaled_quality(_compared(spark, sf_dir))
+    rows = cl.scaled_quality(_compared(spark, sf_dir))
+    ok = F.col("silhouette").between(-1, 1) & F.col("ch_scaled").between(0, 1) & F.col("db_inverted").between(0, 1)
+    return rows.select("method", ok.alias("ok"))
 
 
 @book.add("k25_members_and_peers", "SELECT 'member' AS kind, id AS item FROM q_lab WHERE cluster = 2 UNION ALL SELECT 'peer', cluster || ':' || size || ':' || risk_level FROM q_risk WHERE cluster <> 2")
