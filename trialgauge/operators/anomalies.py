@@ -192,6 +192,30 @@ def score_isolation_forest(points: DataFrame, model: tuple[list[list[tuple]], in
     return points.select("id", "vec").mapInPandas(score, "id string, raw double")
 
 
+FOREST_SCHEMA = "tree int, at int, dim int, cut double, `left` int, `right` int, value double, size int"
+
+
+def save_isolation_forest(spark, model: tuple[list[list[tuple]], int], path: str) -> None:
+    """One row per node; ``size`` is the sample the trees were grown from."""
+    trees, size = model
+    rows = [(t, at, *map(float_or_int, node), size) for t, nodes in enumerate(trees) for at, node in enumerate(nodes)]
+    spark.createDataFrame(rows, FOREST_SCHEMA).write.mode("overwrite").parquet(path)
+
+
+def float_or_int(x):
+    """A node's number without its numpy type."""
+    return x.item() if hasattr(x, "item") else x
+
+
+def load_isolation_forest(spark, path: str) -> tuple[list[list[tuple]], int]:
+    """The model is bounded by its trees and their samples, whatever data it was fitted on."""
+    rows = spark.read.schema(FOREST_SCHEMA).parquet(path).orderBy("tree", "at").collect()
+    trees: dict[int, list[tuple]] = {}
+    for r in rows:
+        trees.setdefault(r["tree"], []).append((r["dim"], r["cut"], r["left"], r["right"], r["value"]))
+    return list(trees.values()), rows[0]["size"] if rows else 0
+
+
 def isolation_scores(points: DataFrame, trees: int = TREES, contamination: float = CONTAMINATION) -> DataFrame:
     """``id, score``: positive for the ``contamination`` share of strangest points."""
     raw = stage(score_isolation_forest(points, fit_isolation_forest(points, trees)), "forest")
@@ -261,19 +285,50 @@ def _distance_sql(mean: np.ndarray, inverse: np.ndarray) -> str:
 
 
 def robust_distances(points: DataFrame, dims: int, steps: int = 100) -> DataFrame:
-    """``id, distance``: squared distance under the minimum-covariance-determinant fit.
+    """``id, distance`` to the fit of the same points."""
+    pts = stage(points, "points")
+    return distances_to(pts, fit_robust(pts, dims, steps))
+
+
+#: Live coordinates, their mean, and the inverse covariance.
+RobustFit = tuple[list[int], np.ndarray, np.ndarray]
+
+
+def distances_to(points: DataFrame, fit: RobustFit) -> DataFrame:
+    """``id, distance``: squared distance of each point under a fit, its own or a loaded one."""
+    live, mean, inverse = fit
+    if not live:
+        return points.select("id", F.lit(0.0).alias("distance"))
+    rows = points.select("id", F.array(*[F.col("vec")[i] for i in live]).alias("vec"))
+    return rows.select("id", F.expr(_distance_sql(mean, inverse)).alias("distance"))
+
+
+def save_robust_fit(spark, fit: RobustFit, path: str) -> None:
+    live, mean, inverse = fit
+    rows = [(i, dim, float(mean[i]), [float(x) for x in inverse[i]]) for i, dim in enumerate(live)]
+    spark.createDataFrame(rows, "at int, dim int, mean double, inverse array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_robust_fit(spark, path: str) -> RobustFit:
+    rows = spark.read.parquet(path).orderBy("at").collect()  # a row per coordinate
+    return [r["dim"] for r in rows], np.array([r["mean"] for r in rows]), np.array([r["inverse"] for r in rows])
+
+
+def fit_robust(points: DataFrame, dims: int, steps: int = 100) -> RobustFit:
+    """Minimum covariance determinant.
 
     Concentration steps (Rousseeuw & Van Driessen, 1999) from two deterministic starts:
     all points, and the half closest to the coordinate-wise centre. One aggregate and one
     exact quantile per step; an 8×8 inverse is all the driver computes. The fit is made
-    consistent by the chi-square median and reweighted at its 97.5 % point.
+    consistent by the chi-square median and reweighted at its 97.5 % point. Steps that have
+    not settled after ``steps`` are an error.
     """
     pts = stage(points, "points")
     n = pts.count()
     mean, cov, _ = _moments(pts, dims)
     live = [i for i in range(dims) if cov[i, i] > 1e-12]
     if not live:
-        return pts.select("id", F.lit(0.0).alias("distance"))
+        return [], np.zeros(0), np.zeros((0, 0))
     pts = stage(pts.select("id", F.array(*[F.col("vec")[i] for i in live]).alias("vec")), "points")
     d = len(live)
     h = min(n, (n + d + 1) // 2)
@@ -295,6 +350,8 @@ def robust_distances(points: DataFrame, dims: int, steps: int = 100) -> DataFram
             if not det < last - 1e-7:
                 break
             last = det
+        else:
+            raise RuntimeError(f"concentration did not settle in {steps} steps")
         if best is None or det < best[0]:
             best = (det, mean, cov)
     _, mean, cov = best
@@ -303,7 +360,7 @@ def robust_distances(points: DataFrame, dims: int, steps: int = 100) -> DataFram
     cov = cov * max(median / chi2_quantile(0.5, d), 1e-12)
     scored = pts.withColumn("distance", F.expr(_distance_sql(mean, np.linalg.pinv(cov))))
     mean, cov, _ = _moments(scored, d, F.col("distance") <= chi2_quantile(0.975, d))
-    return pts.select("id", F.expr(_distance_sql(mean, np.linalg.pinv(cov))).alias("distance"))
+    return live, mean, np.linalg.pinv(cov)
 
 
 # ---- ensemble ----

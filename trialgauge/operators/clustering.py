@@ -23,7 +23,7 @@ from ..plans.ordering import top_per_group
 from ..plans.staging import stage
 from .components import connected_components
 from .joins import attach_scalars
-from .neighbours import effective_neighbours, nearest, weighted_vectors
+from .neighbours import bridges, effective_neighbours, nearest, weighted_vectors
 
 SEED, RESTARTS = 42, 10
 GMM_RESTARTS = 5
@@ -51,8 +51,8 @@ def eps_components(vectors: DataFrame, near: DataFrame, core: DataFrame, eps: fl
     """``id, component`` of core vectors linked by distance ≤ ``eps``; exact.
 
     The nearest-neighbour lists link almost everything. What they leave apart can only be
-    joined by a pair from two different components, so the final check looks at boundary
-    cells of unlike components and nothing inside a component.
+    joined by a pair from two different components, so the final check sends the points of
+    all but the largest component to the leaves of the neighbour tree within ``eps``.
     """
     links = (
         near.where((F.col("vid") != F.col("nid")) & (F.col("distance") <= eps))
@@ -64,23 +64,11 @@ def eps_components(vectors: DataFrame, near: DataFrame, core: DataFrame, eps: fl
     if part.select("component").distinct().limit(2).count() < 2:
         return part
     placed = part.join(vectors.select(F.col("vid").alias("id"), "vec"), "id")
-    # coarse cells of side eps over up to three coordinates: points within eps of each
-    # other lie in the same or an adjacent cell
-    cell = F.transform(F.slice("vec", 1, 3), lambda x: F.floor(x / F.lit(eps)))
-    placed = stage(placed.withColumn("cell", cell), "cells")
-    steps = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-    near_cells = placed.select("id", "component", "vec", "cell", F.explode(steps).alias("a")).select("*", F.explode(steps).alias("b"))
-    near_cells = near_cells.select("*", F.explode(steps).alias("c"))
-    moved = F.zip_with("cell", F.slice(F.array("a", "b", "c"), 1, F.size("cell")), lambda x, s: x + s)
+    placed = stage(placed.select(F.col("id").alias("vid"), "vec", "component"), "placed")
     # only the smaller components ask; the largest is the one being asked
     largest = part.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
-    asking = near_cells.join(largest, "component", "left_anti").select(
-        F.col("id").alias("a_id"), F.col("component").alias("u"), F.col("vec").alias("a_vec"), moved.alias("cell")
-    ).distinct()
-    asked = placed.select(F.col("component").alias("v"), F.col("vec").alias("b_vec"), "cell")
-    gap = F.sqrt(F.aggregate(F.zip_with("a_vec", "b_vec", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    bridges = asking.join(asked, "cell").where((F.col("u") != F.col("v")) & (gap <= eps)).select("u", "v").distinct()
-    merged = connected_components(part.select(F.col("component").alias("id")).distinct(), bridges)
+    links = bridges(placed, placed.join(largest, "component", "left_anti"), eps)
+    merged = connected_components(part.select(F.col("component").alias("id")).distinct(), links)
     return part.join(merged.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component").select(
         "id", F.col("whole").alias("component")
     )
@@ -178,6 +166,15 @@ def _fit_mixture(rows: DataFrame, k: int, restarts: int, seed: int):
     return best
 
 
+def fit_mixture(points: DataFrame, k: int, restarts: int = GMM_RESTARTS, seed: int = SEED):
+    """The model itself, to be saved and used on other points (all coordinates are kept)."""
+    return _fit_mixture(with_features(stage(points, "points")), k, restarts, seed)
+
+
+def with_features(points: DataFrame) -> DataFrame:
+    return _vectors(points)
+
+
 def gaussian_mixture(points: DataFrame, k: int, restarts: int = GMM_RESTARTS, seed: int = SEED) -> DataFrame:
     """``id, cluster, probabilities``."""
     rows = _vectors(stage(_live_dimensions(points), "points"))

@@ -87,16 +87,15 @@ class Source:
     rows: DataFrame
     elements: list[Element]
 
-    def written(self) -> list[DataFrame]:
-        """One narrow projection per element over the staged source rows: its joins run
-        once, and each element scans only the columns it names."""
-        rows = stage(self.rows, "source")
-        return [
-            rows.where(e.when).select(
-                "row_ord", e.src.alias("src"), e.dst.alias("dst"), F.lit(e.type).alias("type"), e.entries.alias("entries")
-            )
-            for e in self.elements
-        ]
+    def written(self) -> DataFrame:
+        """Every element of every row in one scan: a row unfolds into the elements it writes."""
+        elements = F.array(
+            *[
+                F.struct(e.when.alias("when"), e.src.alias("src"), e.dst.alias("dst"), F.lit(e.type).alias("type"), e.entries.alias("entries"))
+                for e in self.elements
+            ]
+        )
+        return self.rows.select("row_ord", F.inline(elements)).where("when").drop("when")
 
 
 def _people_and_places(study: str, subject: str, site: str | None = None, country: str | None = None, **subject_props: Column) -> list[Element]:
@@ -212,7 +211,7 @@ def first_writer(sources: list[Source], study_metrics: DataFrame | None = None)
     metrics travel in the same aggregate: they overwrite properties of studies that some
     source wrote and add none of their own.
     """
-    written = [df.withColumn("source_ord", F.lit(i)) for i, s in enumerate(sources) for df in s.written()]
+    written = [s.written().withColumn("source_ord", F.lit(i)) for i, s in enumerate(sources)]
     if study_metrics is not None:
         written.append(_metric_rows(study_metrics).withColumn("source_ord", F.lit(-1)))
     whole = reduce(DataFrame.unionByName, written)
@@ -334,18 +333,19 @@ def nearest_targets(nodes: DataFrame, edges: DataFrame, target_type: str, max_ho
     so a hub's edges cost one aggregate row per neighbour.
     """
     links = stage(both_directions(edges).select("node", "neighbour").distinct(), "links")
-    found = stage(by_type(nodes, target_type).select("id", F.col("id").alias("target"), F.lit(0).alias("hops")), "hops")
-    layers = [found]
+    last = stage(by_type(nodes, target_type).select("id", F.col("id").alias("target"), F.lit(0).alias("hops")), "hops")
+    seen = last
     for hop in range(1, max_hops + 1):
         reached = (
-            links.join(layers[-1].select(F.col("id").alias("node"), "target"), "node")
+            links.join(last.select(F.col("id").alias("node"), "target"), "node")
             .groupBy(F.col("neighbour").alias("id"))
             .agg(F.min("target").alias("target"))
         )
-        for layer in layers:
-            reached = reached.join(layer.select("id"), "id", "left_anti")
-        layers.append(stage(reached.withColumn("hops", F.lit(hop)), "hops"))
-    return reduce(DataFrame.unionByName, layers)
+        last = stage(reached.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)), "hops")
+        if last.isEmpty():
+            break
+        seen = seen.unionByName(last)
+    return seen
 
 
 def count_by_target(

@@ -236,6 +236,48 @@ def nearest(vectors: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame
     return _ranked(local.unionByName(remote), k)
 
 
+def bridges(points: DataFrame, asking: DataFrame, eps: float, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """``u, v``: pairs of different components with two points at most ``eps`` apart.
+
+    ``points(vid, vec, component)`` are distinct vectors, ``asking`` some of them. An asking
+    point visits the leaves whose boxes lie within ``eps`` of it; busy leaves are split as in
+    ``nearest``. A task puts out pairs of components, never of points.
+    """
+    nodes = grow_tree(points.withColumn("weight", F.lit(1).cast("long")), leaf_rows)
+    tree = points.sparkSession.sparkContext.broadcast(nodes)
+
+    def leaves(reach: float):
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                r, c = _reached(_matrix(pdf["vec"]), np.full(len(pdf), reach), tree.value)
+                yield pdf.iloc[r].assign(target=c)
+
+        return place
+
+    schema = "vid string, vec array<double>, component string, target long"
+    rows = lambda df: df.select("vid", "vec", "component")
+    trips = stage(rows(asking).mapInPandas(leaves(eps), schema), "visits")
+    load = trips.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).cast("int").alias("copies"))
+    copy = F.pmod(F.xxhash64("vid"), F.col("copies")).cast("int").alias("copy")
+    asked = trips.join(load, "target").select("vid", "vec", "component", "target", copy)
+    own = _placed(points.withColumn("weight", F.lit(1).cast("long")), nodes).select("vid", F.col("leaf").alias("target"))
+    every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
+    held = rows(points).join(own, "vid").join(load, "target").select("vid", "vec", "component", "target", every)
+
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found: set[tuple[str, str]] = set()
+        x, y = _matrix(q["vec"]), _matrix(b["vec"])
+        u, v = q["component"].to_numpy(), b["component"].to_numpy()
+        for at in range(0, len(q) if len(b) else 0, _BLOCK):
+            near = (_distances(x[at : at + _BLOCK], y) <= eps) & (u[at : at + _BLOCK, None] != v[None, :])
+            r, c = np.nonzero(near)
+            found |= set(zip(u[at + r], v[c]))
+        return pd.DataFrame(sorted(found), columns=["u", "v"])
+
+    pairs = asked.groupBy("target", "copy").cogroup(held.groupBy("target", "copy")).applyInPandas(meet, "u string, v string")
+    return pairs.distinct()
+
+
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
     self_first = (F.col("vid") != F.col("nid")).cast("int")
     return top_per_group(rows, ["vid"], [self_first.asc(), F.asc("distance"), F.asc("nid")], k + 1)

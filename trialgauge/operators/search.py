@@ -77,23 +77,24 @@ def lsh_search(index: DataFrame, keywords: DataFrame, top_k: int = 10) -> DataFr
 
 def retrieve_entities(index: DataFrame, keywords: DataFrame, top_k: int = 10) -> DataFrame:
     """Best entities per keyword by mean of Jaccard and edit similarity; keywords of one
-    character are skipped."""
+    character are skipped. Twice ``top_k`` index entries are rated per keyword."""
     asked = keywords.where(F.length("keyword") >= 2)
-    first = lsh_search(index, asked, top_k * 2).drop("rank")
+    entries = lsh_candidates(index, asked).join(index, "value")
+    place = [F.asc(c) for c in ("value", "table_name", "column_name")]
+    first = top_per_group(entries, ["keyword"], [F.desc("jaccard"), *place], top_k * 2).drop("rank")
     rated = first.withColumn("similarity", (F.col("jaccard") + tx.edit_similarity(F.col("keyword"), F.col("value"))) / 2)
-    placed = rated.join(index, "value")
-    return top_per_group(
-        placed, ["keyword"], [F.desc("similarity"), F.asc("value"), F.asc("table_name"), F.asc("column_name")], top_k
-    ).select("keyword", "value", "table_name", "column_name", "similarity", "rank")
+    return top_per_group(rated, ["keyword"], [F.desc("similarity"), *place], top_k).select(
+        "keyword", "value", "table_name", "column_name", "similarity", "rank"
+    )
 
 
 def vector_top_k(base: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine top-k: ``query_id, id, similarity, rank``.
 
-    ``base(id, vec)``, ``queries(query_id, vec)``. Each batch of base vectors meets a
-    block of queries as one matrix product and emits only its best k per query. A counted,
-    small query set is broadcast; a larger one is cut into blocks that are joined to
-    copies of base blocks, so no task holds either side whole.
+    ``base(id, vec)``, ``queries(query_id, vec)``. Both sides are cut into blocks; each pair of
+    blocks is one matrix product that emits its best k per query, so no task holds either side
+    whole. The work is the product of both sizes: for many queries ``bucketed_top_k`` is the
+    operator to use.
     """
     n = queries.count()
     schema = "query_id long, id long, similarity double"
@@ -109,58 +110,84 @@ def vector_top_k(base: DataFrame, queries: DataFrame, k: int = 5, query_block: i
     def matrix(series: pd.Series) -> np.ndarray:
         return np.stack(series.to_numpy()).astype(float)
 
-    if n <= query_block:
-        rows = queries.select("query_id", "vec").collect()
-        shared = base.sparkSession.sparkContext.broadcast(
-            (np.array([r["query_id"] for r in rows]), np.array([r["vec"] for r in rows], dtype=float))
-        )
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q_ids, q = shared.value
-            for pdf in batches:
-                if len(pdf) and len(q_ids):
-                    yield product(q_ids, q, pdf["id"].to_numpy(), matrix(pdf["vec"]))
-
-        found = base.select("id", "vec").mapInPandas(scan, schema)
-    else:
-        left, right = -(-n // query_block), max(1, -(-base.count() // query_block))
-        both = lambda df, key, own, other, size, count: df.withColumn(
-            own, F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
-        ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-        q_side = both(queries.select("query_id", "vec"), "query_id", "qb", "bb", left, right)
-        b_side = both(base.select("id", "vec"), "id", "bb", "qb", right, left)
-
-        def block(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if q.empty or b.empty:
-                return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-            return product(q["query_id"].to_numpy(), matrix(q["vec"]), b["id"].to_numpy(), matrix(b["vec"]))
-
-        found = q_side.groupBy("qb", "bb").cogroup(b_side.groupBy("qb", "bb")).applyInPandas(block, schema)
+    left, right = max(1, -(-n // query_block)), max(1, -(-base.count() // query_block))
+    both = lambda df, key, own, other, size, count: df.withColumn(
+        own, F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
+    ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    q_side = both(queries.select("query_id", "vec"), "query_id", "qb", "bb", left, right)
+    b_side = both(base.select("id", "vec"), "id", "bb", "qb", right, left)
+
+    def block(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or b.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+        return product(q["query_id"].to_numpy(), matrix(q["vec"]), b["id"].to_numpy(), matrix(b["vec"]))
+
+    found = q_side.groupBy("qb", "bb").cogroup(b_side.groupBy("qb", "bb")).applyInPandas(block, schema)
     return top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 
 
-def table_profile(df: DataFrame, name: str, descriptions: DataFrame | None = None) -> DataFrame:
-    """Columns with type, nulls, row count and up to three sample values (smallest first).
+def bucketed_top_k(
+    base: DataFrame, queries: DataFrame, k: int = 5, planes: int = 6, tables: int = 48, seed: int = 42
+) -> DataFrame:
+    """Cosine top-k among vectors that share a bucket: ``query_id, id, similarity, rank``.
 
-    Samples come from the first few rows only, as the feature asks; the counts are whole.
+    In each of ``tables`` tables a vector's bucket is the signs of its products with ``planes``
+    random directions. A query meets only its own buckets, so the work per query falls with
+    the number of buckets; ``planes`` should grow with the logarithm of ``base``. Approximate: the
+    registered query measures the recall against the exact scan.
     """
+    first = base.select("vec").first()
+    dims = len(first["vec"]) if first else 0
+    directions = np.random.default_rng(seed).normal(size=(tables, planes, dims))
+
+    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        power = 1 << np.arange(planes)
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["vec"].to_numpy()).astype(float)
+                sign = np.einsum("tpd,nd->ntp", directions, x) > 0
+                yield pdf.assign(bucket=list((sign @ power + np.arange(tables) * (1 << planes)).astype(np.int64)))
+
+    def hashed(df: DataFrame, key: str) -> DataFrame:
+        rows = stage(df.select(key, "vec").mapInPandas(buckets, f"{key} long, vec array<double>, bucket array<long>"), "buckets")
+        return rows.select(key, F.explode("bucket").alias("bucket")), rows.select(key, "vec")
+
+    (held, b_vec), (asked, q_vec) = hashed(base, "id"), hashed(queries, "query_id")
+    pairs = asked.join(held, "bucket").select("query_id", "id").distinct()
+    both = pairs.join(q_vec, "query_id").join(b_vec.withColumnRenamed("vec", "other"), "id")
+    rated = both.select("query_id", "id", tx.cosine("vec", "other").alias("similarity"))
+    return top_per_group(rated, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+
+
+def _columns_long(df: DataFrame) -> DataFrame:
+    """``column, value`` of every cell that is not null, as text; one scan."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    text = df.select(*[F.col(f"`{c}`").cast("string").alias(n) for c, n in zip(df.columns, names)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(n).alias("value")) for c, n in zip(df.columns, names)])
+    return text.select(F.inline(cells)).where(F.col("value").isNotNull())
+
+
+def smallest_values(df: DataFrame, k: int) -> DataFrame:
+    """``column, samples``: the k smallest distinct values of every column, as text."""
+    first = top_per_group(_columns_long(df).distinct(), ["column"], [F.asc("value")], k)
+    return first.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+
+
+def table_profile(df: DataFrame, name: str, descriptions: DataFrame | None = None) -> DataFrame:
+    """Columns with type, nulls, row count and the three smallest values."""
     types = dict(df.dtypes)
     counts = df.agg(F.count(F.lit(1)).alias("row_count"), *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
-    few = df.limit(5).agg(
-        *[F.slice(F.array_sort(F.collect_set(F.col(c).cast("string"))), 1, 3).alias(f"s{i}") for i, c in enumerate(df.columns)]
-    )
-    from .joins import attach_scalars
-
     rows = F.array(
         *[
             F.struct(
                 F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"), (F.col(f"n{i}") > 0).alias("has_nulls"),
-                F.col(f"n{i}").alias("null_count"), F.col(f"s{i}").alias("samples"),
+                F.col(f"n{i}").alias("null_count"),
             )
             for i, c in enumerate(df.columns)
         ]
     )
-    out = attach_scalars(counts, few).select(F.lit(name).alias("table_name"), "row_count", F.inline_outer(rows))
+    out = counts.select(F.lit(name).alias("table_name"), "row_count", F.inline_outer(rows))
+    out = out.join(smallest_values(df, 3).withColumnRenamed("column", "column_name"), "column_name", "left")
     if descriptions is not None:
         out = out.join(descriptions, ["table_name", "column_name"], "left")
     return out
@@ -168,30 +195,20 @@ def table_profile(df: DataFrame, name: str, descriptions: DataFrame | None = Non
 
 def result_statistics(df: DataFrame) -> DataFrame:
     """Per column: numeric range and mean when every value is a number, else distinct
-    count and five samples; nulls skipped."""
-    parts = []
-    for c in df.columns:
-        value = F.col(c).cast("string")
-        number = value.try_cast("double")
-        parts.append(
-            df.where(F.col(c).isNotNull()).agg(
-                F.lit(c).alias("column"),
-                F.count(F.lit(1)).alias("n"),
-                (F.count_if(number.isNotNull()) == F.count(F.lit(1))).alias("numeric"),
-                F.min(number).alias("min"),
-                F.max(number).alias("max"),
-                F.avg(number).alias("avg"),
-                F.countDistinct(value).alias("unique_count"),
-            )
-        )
-    rows = reduce(DataFrame.unionByName, parts).where(F.col("n") > 0)
+    count and five samples, the smallest; nulls skipped. Two scans for all columns."""
+    number = F.col("value").try_cast("double")
+    rows = _columns_long(df).groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.count_if(number.isNotNull()) == F.count(F.lit(1))).alias("numeric"),
+        F.min(number).alias("min"),
+        F.max(number).alias("max"),
+        F.avg(number).alias("avg"),
+        F.countDistinct("value").alias("unique_count"),
+    )
+    rows = rows.join(smallest_values(df, 5), "column")
     only = lambda cond, c: F.when(cond, F.col(c)).alias(c)
     num = F.col("numeric")
     return rows.select(
         "column", "n", F.when(num, "numeric").otherwise("categorical").alias("type"),
-        only(num, "min"), only(num, "max"), only(num, "avg"), only(~num, "unique_count"),
+        only(num, "min"), only(num, "max"), only(num, "avg"), only(~num, "unique_count"), only(~num, "samples"),
     )
-
-
-def sample_values(df: DataFrame, column: str, k: int = 5) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct().orderBy("value").limit(k)

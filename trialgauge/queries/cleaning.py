@@ -172,6 +172,16 @@ def c13(spark, sf_dir):
     return cl.match_ids(s.select(loose.alias("site")), s.select("site"), "site")
 
 
+@book.add(
+    "c13_prefixed_ids",
+    "SELECT site, CASE WHEN starts_with(lower(CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE site END), 'site') THEN site ELSE 'Site ' || s_suppkey END AS full_id FROM v_sites",
+)
+def c13_prefix(spark, sf_dir):
+    s = cv.sites(spark, sf_dir)
+    loose = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(" "), F.col("s_suppkey").cast("string"))).otherwise(F.col("site"))
+    return s.select("site", cl.prefixed_id(loose, "Site").alias("full_id"))
+
+
 @book.add(
     "c14_status_predicate",
     "SELECT site, count(*) FILTER (WHERE contains(lower(review_status), 'pending')) AS pending FROM v_esae GROUP BY site",

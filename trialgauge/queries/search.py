@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import search as se
+from ..operators.joins import attach_scalars
 from ..plans import clinical_views as cv
+from ..plans.staging import stage
 from .book import Book
 from .sqlkit import define
 
@@ -137,7 +139,7 @@ def t07(spark, sf_dir):
 def _entities_sql(k: int) -> dict[str, str]:
     return {
         "q_rated": "SELECT keyword, value, table_name, column_name, (jaccard + (1.0 - levenshtein(lower(keyword), lower(value)) * 1.0::DOUBLE / greatest(length(keyword), length(value)))) / 2 AS similarity "
-        f"FROM q_lsh JOIN q_index USING (value) WHERE rank <= {2 * k}",
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY jaccard DESC, value, table_name, column_name) AS rank FROM q_jac JOIN q_index USING (value) WHERE jaccard >= 0.3) e WHERE rank <= {2 * k}",
         "q_best": "SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY round(similarity, 12) DESC, value, table_name, column_name) AS rank FROM q_rated",
     }
 
@@ -229,25 +231,53 @@ def t13_many(spark, sf_dir):
     return found.withColumn("similarity", F.round("similarity", 5))
 
 
+@book.add(
+    "t13_vector_bucketed",
+    "SELECT vec_id AS query_id, true AS ok FROM embeddings WHERE vec_id % 20 = 0",
+)
+def t13_bucketed(spark, sf_dir):
+    """Every twentieth vector asks all; the bucketed answers hold at least nine tenths of the exact ones."""
+    v = _vectors(spark, sf_dir)
+    base = v.select(F.col("vec_id").alias("id"), "vec")
+    asked = stage(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec"), "asked")
+    exact = se.vector_top_k(base, asked, 5).select("query_id", "id")
+    found = se.bucketed_top_k(base, asked, 5).select("query_id", "id", F.lit(1).alias("hit"))
+    recall = exact.join(found, ["query_id", "id"], "left").agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("ok"))
+    return attach_scalars(asked.select("query_id"), recall)
+
+
+_PAGES = {
+    "sitenumber": ("string", "site"), "formname": ("string", None), "days_missing": ("double", "age"),
+    "subjectname": ("string", None), "foldername": ("string", None), "visit_date": ("string", None), "country": ("string", None),
+}
+
+
+def _samples_sql(column, view, k):
+    return f"(SELECT list(v ORDER BY v) FROM (SELECT DISTINCT CAST({column} AS VARCHAR) AS v FROM {view} WHERE {column} IS NOT NULL ORDER BY v LIMIT {k}) s)"
+
+
 @book.add(
     "t14_table_profile",
-    "SELECT 'pages' AS table_name, c AS column_name, t AS data_type, CAST(0 AS BIGINT) AS null_count, (SELECT count(*) FROM v_pages) AS row_count, d AS description FROM "
-    "(VALUES ('sitenumber', 'string', 'site'), ('formname', 'string', NULL), ('days_missing', 'double', 'age')) q(c, t, d)",
+    " UNION ALL ".join(
+        f"SELECT 'pages' AS table_name, '{c}' AS column_name, '{t}' AS data_type, count(*) - count({c}) AS null_count, count(*) AS row_count, "
+        f"{'NULL' if d is None else repr(d)} AS description, array_to_string({_samples_sql(c, 'v_pages', 3)}, '|') AS samples FROM v_pages"
+        for c, (t, d) in _PAGES.items()
+    ),
 )
 def t14(spark, sf_dir):
-    df = cv.missing_pages(spark, sf_dir, ["sitenumber", "formname", "days_missing"])
+    df = cv.missing_pages(spark, sf_dir, list(_PAGES))
     notes = spark.createDataFrame(
-        [("pages", "sitenumber", "site"), ("pages", "days_missing", "age")], "table_name string, column_name string, description string"
+        [("pages", c, d) for c, (_, d) in _PAGES.items() if d], "table_name string, column_name string, description string"
     )
     profile = se.table_profile(df, "pages", notes)
-    return profile.select("table_name", "column_name", "data_type", "null_count", "row_count", "description")
+    return profile.select("table_name", "column_name", "data_type", "null_count", "row_count", "description", F.array_join("samples", "|").alias("samples"))
 
 
 @book.add(
     "t18_result_statistics",
-    "SELECT 'subject' AS \"column\", count(*) AS n, 'categorical' AS type, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS avg, count(DISTINCT subject) AS unique_count FROM v_edrr "
-    "UNION ALL SELECT 'issue_count', count(*), 'numeric', min(total_open_issue_count_per_subject)::DOUBLE, max(total_open_issue_count_per_subject)::DOUBLE, round(avg(total_open_issue_count_per_subject), 6), NULL FROM v_edrr",
+    "SELECT 'subject' AS \"column\", count(*) AS n, 'categorical' AS type, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS avg, count(DISTINCT subject) AS unique_count, array_to_string(" + _samples_sql("subject", "v_edrr", 5) + ", '|') AS samples FROM v_edrr "
+    "UNION ALL SELECT 'issue_count', count(*), 'numeric', min(total_open_issue_count_per_subject)::DOUBLE, max(total_open_issue_count_per_subject)::DOUBLE, round(avg(total_open_issue_count_per_subject), 6), NULL, NULL FROM v_edrr",
 )
 def t18(spark, sf_dir):
     df = cv.issues(spark, sf_dir).select("subject", F.col("total_open_issue_count_per_subject").cast("string").alias("issue_count"))
-    return se.result_statistics(df).withColumn("avg", F.round("avg", 6))
+    return se.result_statistics(df).withColumn("avg", F.round("avg", 6)).withColumn("samples", F.array_join("samples", "|"))

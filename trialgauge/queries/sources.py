@@ -269,3 +269,110 @@ def s18(spark, sf_dir):
         nodes.groupBy(F.lit("node").alias("kind"), F.col("node_type").alias("type")).agg(count)
         .unionByName(edges.groupBy(F.lit("edge").alias("kind"), F.col("edge_type").alias("type")).agg(count))
     )
+
+
+@book.add(
+    "s03_discovered_files",
+    "SELECT DISTINCT regexp_extract(study, '(\\d+)', 1) AS study_number, 'other' AS category, true AS has_rows FROM v_sites",
+)
+def s03_files(spark, sf_dir):
+    """Files that exist: one marked folder per study is written and found again."""
+    root = _folder(spark, "discover")
+    rows = cv.sites(spark, sf_dir).select("site", F.concat("study", F.lit("_CPID_Input Files")).alias("folder"))
+    rows.repartition("folder").write.partitionBy("folder").csv(root)
+    found = readers.discover_files(spark, root)
+    return found.groupBy("study_number", "category").agg((F.sum("length") > 0).alias("has_rows"))
+
+
+@book.add(
+    "s06_file_union",
+    "SELECT 'visits' AS source, count(*) AS row_count, count(visit) AS visits, CAST(0 AS BIGINT) AS forms FROM v_visit "
+    "UNION ALL SELECT 'pages', count(*), CAST(0 AS BIGINT), count(formname) FROM v_pages",
+)
+def s06_files(spark, sf_dir):
+    """Files with different columns, and one that cannot be read, in one load."""
+    root = _folder(spark, "files")
+    cv.visits(spark, sf_dir, ["site", "visit"]).write.parquet(f"{root}/visits")
+    cv.missing_pages(spark, sf_dir, ["sitenumber", "formname"]).withColumnRenamed("sitenumber", "site").write.parquet(f"{root}/pages")
+    cv.sites(spark, sf_dir).select("site").write.text(f"{root}/broken")
+    both = readers.load_files(spark, [f"{root}/visits", f"{root}/pages", f"{root}/broken"])
+    source = F.element_at(F.split("_source_file", "/"), -2)
+    return both.groupBy(source.alias("source")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.count("visit").alias("visits"), F.count("formname").alias("forms")
+    )
+
+
+@book.add(
+    "s12_safe_execute",
+    "SELECT true AS success, 'site,reviews' AS columns, count(*) AS row_count FROM (SELECT site FROM v_esae GROUP BY site) q UNION ALL SELECT false, '', 0",
+)
+def s12_safe(spark, sf_dir):
+    cv.safety(spark, sf_dir, ["site"]).createOrReplaceTempView("esae_sites")
+    good = readers.safe_execute(spark, "SELECT site, count(*) AS reviews FROM esae_sites GROUP BY site")
+    bad = readers.safe_execute(spark, "SELECT no_such_column FROM esae_sites")
+    rows = [(r["success"], ",".join(r["columns"]), r["count"]) for r in (good, bad)]
+    return spark.createDataFrame(rows, "success boolean, columns string, row_count bigint")
+
+
+@book.add(
+    "s14_catalog",
+    "SELECT 'region_df' AS table_name, 2 AS columns, count(*) AS row_count FROM region UNION ALL SELECT 'nation_df', 3, count(*) FROM nation "
+    "UNION ALL SELECT 'supplier_df', 4, count(*) FROM supplier",
+)
+def s14_catalog(spark, sf_dir):
+    readers.register_directory(spark, sf_dir)
+    known = readers.table_catalog(spark)
+    parts = [
+        spark.table(t).agg(F.lit(t).alias("table_name"), F.lit(len(known[t])).alias("columns"), F.count(F.lit(1)).alias("row_count"))
+        for t in ("region_df", "nation_df", "supplier_df")
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@book.add("s15_nested_score_sink", "SELECT entity_id, round(score, 2) AS score, grade, critical_count + warning_count AS issues FROM q_rule_scores")
+def s15_json(spark, sf_dir):
+    """Nested rows as JSON and back; the issues are counted inside the nested list."""
+    from ..functions.scoring import Config
+
+    path = _folder(spark, "nested")
+    scored = qi.score_entities(ft.view_site_features(spark, sf_dir), "site_id", "site", Config(mode="rules"))
+    writers.write_scores(scored, path, "json")
+    rows = spark.read.schema(scored.schema).json(path)
+    return rows.select("entity_id", "score", "grade", (F.col("critical_count") + F.col("warning_count")).alias("issues"))
+
+
+@book.add(
+    "s17_saved_models",
+    "SELECT entity_id AS id, true AS same FROM (SELECT DISTINCT entity_id FROM q_z) q WHERE length(entity_id) >= 0 AND right(entity_id, 1) IN ('1', '3', '5', '7', '9')",
+)
+def s17_models(spark, sf_dir):
+    """Models fitted on half of the sites, saved, loaded, and used on the other half: forest,
+    covariance and mixture score new rows alike before and after."""
+    from pyspark.ml.clustering import GaussianMixtureModel
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators import anomalies as an
+    from ..operators import clustering as cl
+
+    features = stage(ft.view_site_features(spark, sf_dir), "features")
+    points = stage(an.scaled_vectors(features, ft.METRICS, an.feature_stats(features, ft.METRICS)), "points")
+    odd = F.right("id", F.lit(1)).isin("1", "3", "5", "7", "9")
+    old, new = stage(points.where(~odd), "old"), stage(points.where(odd), "new")
+    folder = _folder(spark, "models")
+    forest, fit = an.fit_isolation_forest(old), an.fit_robust(old, len(ft.METRICS))
+    mixture = cl.fit_mixture(old, 3, 1)
+    an.save_isolation_forest(spark, forest, f"{folder}/forest")
+    an.save_robust_fit(spark, fit, f"{folder}/covariance")
+    mixture.write().overwrite().save(f"{folder}/mixture")
+    kinds = {
+        "forest": (an.score_isolation_forest(new, forest), an.score_isolation_forest(new, an.load_isolation_forest(spark, f"{folder}/forest"))),
+        "robust": (an.distances_to(new, fit), an.distances_to(new, an.load_robust_fit(spark, f"{folder}/covariance"))),
+    }
+    rows = cl.with_features(new)
+    chance = lambda m: m.transform(rows).select("id", vector_to_array("probability")[0].alias("p"))
+    kinds["mixture"] = (chance(mixture), chance(GaussianMixtureModel.load(f"{folder}/mixture")))
+    out = new.select("id", F.lit(True).alias("same"))
+    for before, after in kinds.values():
+        pair = before.toDF("id", "x").join(after.toDF("id", "y"), "id")
+        out = out.join(pair, "id", "left").select("id", (F.col("same") & (F.abs(F.col("x") - F.col("y")) < 1e-9)).alias("same"))
+    return out.select("id", F.coalesce("same", F.lit(False)).alias("same"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,14 @@ def tagged_union(frames: list[tuple[str, DataFrame]], tag: str = "_source_study"
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
+def load_files(spark: SparkSession, paths: list[str], tag: str = "_source_file", fmt: str = "parquet") -> DataFrame:
+    """Union by name of many files in one scan, tagged with the folder or file each row is
+    from. Columns missing in a file are null; unreadable files are skipped."""
+    reader = spark.read.format(fmt).option("mergeSchema", True).option("ignoreCorruptFiles", True)
+    df = reader.load(paths)
+    return df.select("*", F.url_decode(F.col("_metadata.file_path")).alias(tag))
+
+
 def with_provenance(df: DataFrame) -> DataFrame:
     """Study number, source file and category taken from the scan's file metadata."""
     path = F.url_decode(F.col("_metadata.file_path"))
@@ -112,6 +121,15 @@ def run_sql(spark: SparkSession, text: str) -> DataFrame:
     return spark.sql(text)
 
 
+def safe_execute(spark: SparkSession, text: str, limit: int = 1000) -> dict:
+    """Rows (``limit`` at most), columns and whole row count of a statement, or its error."""
+    try:
+        df = spark.sql(text)
+        return {"success": True, "rows": [r.asDict() for r in df.limit(limit).collect()], "columns": df.columns, "count": df.count(), "error": None}
+    except PySparkException as error:
+        return {"success": False, "rows": [], "columns": [], "count": 0, "error": str(error).splitlines()[0]}
+
+
 def table_sample(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 
