@@ -40,6 +40,7 @@ RECOMMENDATIONS: dict[str, str] = {
     "days_pages_missing_avg": "Expedite resolution of aged missing pages",
 }
 
+# Grade floors, status floors, shares of the two scores in a hybrid one, outlier limit.
 GRADES = [("A", 90.0), ("B", 75.0), ("C", 60.0), ("D", 45.0), ("F", 0.0)]
 READY, AT_RISK, CLEAN = 85.0, 60.0, 90.0
 RULE_SHARE, STAT_SHARE = 0.6, 0.4

@@ -18,7 +18,8 @@ from .neighbours import local_outlier_factor
 
 Stats = Mapping[str, Mapping[str, float]]
 
-# Share of each method in the ensemble.
+# Share of each method in the ensemble, level floors, features of the older detector,
+# trees, their sample, share of anomalies, seed, neighbours, and the least contribution that is named.
 ENSEMBLE_WEIGHTS = {"isolation_forest": 0.4, "lof": 0.3, "statistical": 0.2, "mahalanobis": 0.1}
 LEVELS = [("Critical", 0.3), ("High", 0.2), ("Medium", 0.1), ("Low", 0.0)]
 LEGACY_FEATURES = [

@@ -353,6 +353,7 @@ def cluster_risk() -> Column:
     return F.when(mean >= 2.5, "Critical").when(mean >= 1.5, "High").when(mean >= 0.5, "Medium").otherwise("Low")
 
 
+# The limits and phrases of the description.
 def cluster_description(risk: Column) -> Column:
     # summation noise must not move a printed digit
     mv, oi, sp = (F.round(F.col(c), 9) for c in ("missing_visits_pct", "open_issues_per_subject", "safety_pending_pct"))

@@ -38,6 +38,7 @@ def portfolio_digest(metrics: DataFrame, subjects: DataFrame) -> DataFrame:
     return attach_scalars(totals, people)
 
 
+# The bands and texts of the two functions below.
 def issue_band(issues: Column) -> Column:
     return (
         F.when(issues == 0, "No open issues. Site is in good standing.")

@@ -18,6 +18,7 @@ from ..operators.cleaning import FEATURE_DEFAULTS, coded, status_contains
 from . import clinical_views as cv
 from .ordering import exact_quantiles
 
+# The metrics in their order.
 METRICS = [
     "missing_visits_pct",
     "missing_pages_pct",
