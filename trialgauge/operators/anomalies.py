@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import fixed
-from ..plans.ordering import exact_quantiles, top_per_group, with_running_totals
+from ..plans.ordering import drawn, exact_quantiles, top_per_group, with_running_totals
 from ..plans.staging import stage
 from .joins import attach_scalars
 from .neighbours import local_outlier_factor
@@ -138,20 +138,16 @@ def fit_isolation_forest(
 
     A tree's sample are the rows with its ``subsample`` smallest hashes of row and tree, so
     samples are independent and neither layout nor size of the input changes how they are
-    drawn. A row names only the trees for which its hash lies in the lowest
-    ``2 × subsample / n`` share: twice the rows a tree needs, so that more than ten standard
-    deviations separate it from too few. Trees grow in parallel tasks; the model that returns
+    drawn. A row names only the trees for which its hash may be among the smallest. Trees grow in parallel tasks; the model that returns
     is bounded by ``trees × 2 × subsample`` nodes.
     """
     points = stage(points.select("id", "vec"), "points")
     n = points.count()
     size = min(subsample, n)
     draw = F.xxhash64(F.col("id"), F.col("tree"), F.lit(seed))
-    share = min(1.0, 2.0 * subsample / max(1, n))
-    highest = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
-    named = points.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    named = named.withColumn("draw", draw).where(F.col("draw") <= F.lit(highest))
-    picked = top_per_group(named, ["tree"], [F.asc("draw"), F.asc("id")], size)
+    named = points.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("draw", draw)
+    order = [F.shiftrightunsigned("draw", 1).asc(), F.asc("id")]
+    picked = top_per_group(named.where(drawn(F.col("draw"), subsample, n)), ["tree"], order, size)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordering import top_per_group
+from ..plans.ordering import drawn, top_per_group
 from ..plans.staging import stage
 
 LEAF_ROWS = 2048
@@ -86,7 +86,9 @@ def grow_tree(vectors: DataFrame, leaf_rows: int) -> list[tuple[int, float, int,
     while True:
         placed = _placed(vectors, nodes)
         full = placed.groupBy("leaf").count().where(F.col("count") > leaf_rows)
-        sampled = top_per_group(placed.join(full, "leaf"), ["leaf"], [F.xxhash64("vid").asc(), F.asc("vid")], SAMPLE_ROWS)
+        draw = F.xxhash64("vid")
+        some = placed.join(full, "leaf").where(drawn(draw, SAMPLE_ROWS, F.col("count")))
+        sampled = top_per_group(some, ["leaf"], [F.shiftrightunsigned(draw, 1).asc(), F.asc("vid")], SAMPLE_ROWS)
 
         def split(pdf: pd.DataFrame) -> pd.DataFrame:
             rows = _matrix(pdf.sort_values("vid", kind="stable")["vec"])

@@ -174,6 +174,16 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     return found.groupBy(*groups).agg(*named).select(*[F.col(g).alias(c) for c, g in zip(by, groups)], *probs)
 
 
+def drawn(hash_: Column, wanted: int, total: Column | int) -> Column:
+    """Whether a row may be among the ``wanted`` smallest of ``total`` evenly spread hashes.
+
+    About twice as many rows as wanted pass, whatever the total, so that a sort or a limit
+    after it gets a bounded input, and far more than chance could leave short.
+    """
+    total = F.lit(total) if isinstance(total, int) else total
+    return F.shiftrightunsigned(hash_, 1) / F.lit(float(1 << 63)) <= F.lit(2.0 * wanted + 64.0) / F.greatest(total, F.lit(1))
+
+
 def top_per_group(df: DataFrame, within: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows per group. Spark prunes to ``k`` rows per map task before the shuffle."""
     w = Window.partitionBy(*[F.col(c) for c in within]).orderBy(*order)
