@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordering import drawn
 from . import arrays as A
 
 #: First and last code point of the ranges told apart.
@@ -44,8 +45,8 @@ SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, n_let
 
 @dataclass(frozen=True)
 class Training:
-    """``max_docs`` labelled documents at most, those with the smallest hash of their text, and
-    ``max_bytes`` of each are learned from: the documented bound of the training sample."""
+    """``max_docs`` labelled documents at most, those with the smallest hashes, and the first
+    ``max_bytes`` characters of each are learned from: the documented bound of the training sample."""
 
     max_docs: int = 4000
     max_bytes: int = 4000
@@ -217,10 +218,12 @@ def detect(text: pa.Array, model: Model, penalty: float) -> tuple[list, np.ndarr
 
 
 def training_sample(docs: DataFrame, how: Training, held_out: Column) -> list:
-    """At most ``how.max_docs`` labelled rows outside the held-out fold, the smallest text hashes first."""
+    """At most ``how.max_docs`` labelled rows outside the held-out fold, those with the smallest hashes."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
-    ranked = known.select("lang", F.substring("text", 1, how.max_bytes).alias("text"), F.xxhash64("text").alias("_h"))
-    return ranked.orderBy("_h", "lang").limit(how.max_docs).collect()
+    draw = F.xxhash64("doc_id", F.substring("text", 1, how.max_bytes))
+    some = known.where(drawn(draw, how.max_docs, known.count()))
+    ranked = some.select("lang", F.substring("text", 1, how.max_bytes).alias("text"), F.shiftrightunsigned(draw, 1).alias("draw"))
+    return ranked.orderBy("draw", "lang", "text").limit(how.max_docs).collect()
 
 
 def identify(docs: DataFrame, how: Training = Training(), parts: int = 4, held: int = 2) -> DataFrame:

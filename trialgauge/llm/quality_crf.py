@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordering import drawn
 from . import arrays as A
 from .language import fold
 
@@ -41,8 +42,8 @@ class Training:
     smallest hash of their id, and the first ``max_bytes`` characters of each. ``decay`` is
     the weight of the squared parameters, ``steps`` and ``rate`` those of the gradient method."""
 
-    max_docs: int = 6000
-    max_bytes: int = 20_000
+    max_docs: int = 4000
+    max_bytes: int = 10_000
     decay: float = 1e-3
     steps: int = 150
     rate: float = 0.1
@@ -229,12 +230,16 @@ def score(text: pa.Array, field: Field) -> tuple[np.ndarray, np.ndarray, Lines]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, how: Training, held_out: Column) -> list:
-    """At most ``max_docs`` labels outside the held-out fold, and the text of their documents."""
+    """At most ``max_docs`` labels outside the held-out fold, and the text of their documents; of
+    several rows with one id the smallest text."""
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out)
-    chosen = chosen.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(how.max_docs)
+    draw = F.xxhash64("doc_id")
+    some = chosen.where(drawn(draw, how.max_docs, chosen.count())).select("doc_id", "quality")
+    chosen = some.orderBy(F.shiftrightunsigned(draw, 1), "doc_id", "quality").limit(how.max_docs)
     texts = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, how.max_bytes).alias("text"))
     # the other side has max_docs rows of two numbers at most
-    return texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "quality", F.xxhash64("text")).limit(2 * how.max_docs).collect()
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    return sorted(rows, key=lambda r: (r["doc_id"], r["quality"], r["text"]))
 
 
 def line_quality(docs: DataFrame, labels: DataFrame, how: Training = Training(), parts: int = 5, held: int = 0) -> DataFrame:
