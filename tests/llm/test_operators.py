@@ -227,6 +227,9 @@ def test_nested_secrets_are_found_at_the_outer_stretch(spark):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == (0, 0, 0)
         assert f"{kind}:2:{len(text) - 2}" in r["spans"].split(","), text
         assert secret_scan.redact(text) == "a [secret] b"
+    # long runs without a blank take time in proportion
+    for run in ("z" * 400_000 + " 5%", "\\u" + "z" * 400_000, "%4" * 200_000):
+        assert secret_scan.secret_row(run)[:3] == (0, 0, 0)
     loop = "%25" * 50
     assert secret_scan.secret_row(loop)[4] == ""
 

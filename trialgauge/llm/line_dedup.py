@@ -46,6 +46,8 @@ def _lines(docs: DataFrame, min_chars: int, *carry: Column | str) -> DataFrame:
 def boilerplate(rows: DataFrame, how: Spread = Spread()) -> DataFrame:
     """From ``_id, site, text``, ``a, b, first``: hash of each line on ``min_sites`` sites or more, and the smallest id
     that has it. Rows without a site count for no spread but may be the first."""
+    if how.min_sites < 2:
+        raise ValueError("a line on one site is no boilerplate")
     lines = _lines(rows, how.min_chars, F.xxhash64(F.col("site").cast("string")).alias("_site"), F.col("site").isNull().alias("_none"), "_id")
     spread = lines.groupBy("a", "b", "_site", "_none").agg(F.min("_id").alias("low"))
     spread = stage(spread, "spread")

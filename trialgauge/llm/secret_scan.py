@@ -32,8 +32,9 @@ KINDS = ("assign", "access", "hex")
 
 #: A text without any of these, in lower case, has no assignment.
 _ASSIGN_HINT = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"'\x20]*[:=]")
-_URL = re.compile(r"[A-Za-z0-9+/_.=:-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9+/_.=:-]*)+")
-_UNICODE = re.compile(r"[\x21-\x5B\x5D-\x7E]*(?:\\u[0-9A-Fa-f]{4}[\x21-\x5B\x5D-\x7E]*)+")
+# runs that may hold escapes; each is one linear match, and looked into afterwards
+_URL_RUN, _URL_ESCAPE = re.compile(r"[A-Za-z0-9+/_.=:%-]+"), re.compile(r"%[0-9A-Fa-f]{2}")
+_UNICODE_RUN = re.compile(r"[\x21-\x7E]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
 
@@ -103,12 +104,12 @@ def _from_unicode(piece: str) -> str | None:
 def layers(text: str) -> Iterator[tuple[int, int, str]]:
     """Start, end and decoded form of every encoded stretch of a text."""
     if "%" in text:
-        for m in _URL.finditer(text):
-            if (out := _from_url(m[0])) is not None:
+        for m in _URL_RUN.finditer(text):
+            if _URL_ESCAPE.search(m[0]) and (out := _from_url(m[0])) is not None:
                 yield m.start(), m.end(), out
     if "\\u" in text:
-        for m in _UNICODE.finditer(text):
-            if (out := _from_unicode(m[0])) is not None:
+        for m in _UNICODE_RUN.finditer(text):
+            if _ESCAPE.search(m[0]) and (out := _from_unicode(m[0])) is not None:
                 yield m.start(), m.end(), out
     for m in _BASE64.finditer(text):
         if (out := _from_base64(m[0])) is not None:
