@@ -48,20 +48,6 @@ def digests(grams: str) -> Column:
     )
 
 
-def signature(hashed: str) -> Column:
-    """Smallest permuted digest per permutation.
-
-    The fold runs over the digests, so the expression behind ``hashed`` is evaluated once
-    per row even when the optimizer inlines it.
-    """
-    a, b = coefficients()
-    pairs = "arrays_zip(array(" + ", ".join(f"{x}L" for x in a) + "), array(" + ", ".join(f"{x}L" for x in b) + "))"
-    start = f"array_repeat({PRIME}L, {PERMUTATIONS})"
-    return F.expr(
-        f"aggregate({hashed}, {start}, (m, h) -> zip_with(m, {pairs}, (x, c) -> least(x, (c['0'] * h + c['1']) % {PRIME})))"
-    )
-
-
 def bands(sig: str) -> Column:
     """One hash per band of four signature rows."""
     return F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(slice({sig}, i * {ROWS_PER_BAND} + 1, {ROWS_PER_BAND})))")

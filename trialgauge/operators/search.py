@@ -39,12 +39,34 @@ def value_index(tables: dict[str, DataFrame], per_column: int | None = None) ->
     return top_per_group(whole, ["table_name", "column_name"], [F.asc("value")], per_column).drop("rank")
 
 
+#: Shingles times permutations held at a time while signatures are made.
+_SIGNATURE_CELLS = 1 << 22
+
+
+def _signatures(digests: pd.Series) -> pd.Series:
+    """Smallest permuted digest per permutation, for all values of a batch in array steps."""
+    a, b = (np.array(x, np.int64) for x in tx.coefficients())
+    out: list[np.ndarray | None] = []
+    for h in digests:
+        if h is None or not len(h):
+            out.append(None if h is None else np.full(len(a), tx.PRIME, np.int64))
+            continue
+        best = np.full(len(a), tx.PRIME, np.int64)
+        step = max(1, _SIGNATURE_CELLS // len(a))
+        for at in range(0, len(h), step):
+            part = np.asarray(h[at : at + step], np.int64)[:, None]
+            best = np.minimum(best, ((part * a + b) % tx.PRIME).min(axis=0))
+        out.append(best)
+    return pd.Series(out)
+
+
 def with_signature(values: DataFrame, column: str = "value") -> DataFrame:
-    """Add ``grams, digests, signature`` in separate steps, each computed once."""
+    """Add ``grams`` and ``signature``; digests are computed once, signatures in Arrow batches."""
+    signature = F.pandas_udf(_signatures, "array<bigint>")
     return (
         values.withColumn("grams", tx.shingles(column))
         .withColumn("digests", tx.digests("grams"))
-        .withColumn("signature", tx.signature("digests"))
+        .withColumn("signature", signature("digests"))
         .drop("digests")
     )
 

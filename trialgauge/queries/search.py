@@ -136,6 +136,25 @@ def t07(spark, sf_dir):
     return _index(spark, sf_dir)
 
 
+_TEXT_COLUMNS = [
+    (name, column.split()[0]) for name, schema in cv.TABLE_SCHEMAS.items() for column in schema.split(", ") if column.endswith(" string")
+]
+
+
+@book.add(
+    "t07_value_index_all_tables",
+    "SELECT table_name, column_name, count(*) AS n, min(value) AS first, max(value) AS last FROM ("
+    + " UNION ALL ".join(f"SELECT DISTINCT {c} AS value, '{t}' AS table_name, '{c}' AS column_name FROM {t} WHERE length({c}) BETWEEN 2 AND 199" for t, c in _TEXT_COLUMNS)
+    + ") q GROUP BY table_name, column_name",
+)
+def t07_all(spark, sf_dir):
+    """The index of every text column of every table, summed up per column."""
+    index = se.value_index({name: cv.table(spark, sf_dir, name) for name in cv.TABLE_SCHEMAS})
+    return index.groupBy("table_name", "column_name").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("first"), F.max("value").alias("last")
+    )
+
+
 def _entities_sql(k: int) -> dict[str, str]:
     return {
         "q_rated": "SELECT keyword, value, table_name, column_name, (jaccard + (1.0 - levenshtein(lower(keyword), lower(value)) * 1.0::DOUBLE / greatest(length(keyword), length(value)))) / 2 AS similarity "
