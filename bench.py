@@ -24,9 +24,8 @@ HEADLINE = [
     "b04_cohort_statistics", "b10_study_benchmark", "a04_local_outlier_factor", "a14_control_chart", "a15_ks_drift",
     "k02_dbscan", "g10_build_statistics", "g18_safety_reviews_by_site", "g21_count_by_nearest_target",
     "t08_entity_retrieval", "t13_vector_top_k", "p06_region_rollup",
-    "a02_isolation_forest", "a05_robust_mahalanobis", "a08_ensemble", "k05_gaussian_mixture", "k06_kmeans", "k07_spectral",
-    "k09_consensus_ensemble", "k16_silhouette", "t13_vector_top_k_many_queries", "t13_vector_bucketed", "g25_beam_expansion",
-    "s17_saved_models",
+    "a02_isolation_forest", "a05_robust_mahalanobis", "k05_gaussian_mixture", "k06_kmeans", "k07_spectral", "k16_silhouette",
+    "t13_vector_top_k_many_queries", "t13_vector_bucketed", "g25_beam_expansion",
 ]
 
 
