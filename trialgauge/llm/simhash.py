@@ -16,7 +16,7 @@ of a point loses no component and lists no pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -153,10 +153,10 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.where(F.col("u") != F.col("v")).union(through)
 
 
-def near_duplicates(rows: DataFrame) -> DataFrame:
-    """``fp, lowest``: the smallest id reachable from each fingerprint of ``rows(_id, _fp)``."""
+def near_duplicates(rows: DataFrame, link: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """``fp, lowest``: the smallest id reachable over ``link`` from each fingerprint of ``rows(_id, _fp)``."""
     distinct = stage(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("low")), "fps")
-    linked = stage(links(distinct), "links")
+    linked = stage(link(distinct), "links")
     nodes = linked.select(F.col("u").alias("id")).union(linked.select(F.col("v").alias("id"))).distinct()
     parts = connected_components(nodes, linked)
     named = distinct.join(parts, distinct["fp"] == parts["id"], "left")
@@ -185,9 +185,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     the one with the smallest hash of its text, of equal rows any one."""
     rows = wrapped(docs)
     table = stage(fingerprint_table(rows, ["_id", "_hash"]), "fingerprints")
-    lowest = near_duplicates(table)
+    return first_rows(rows, table, near_duplicates(table), docs.columns)
+
+
+def first_rows(rows: DataFrame, table: DataFrame, lowest: DataFrame, columns: list[str]) -> DataFrame:
+    """One of the wrapped ``rows`` of each component, from ``table(_id, _hash, _fp)`` and ``lowest(fp, lowest)``."""
     first = table.join(lowest, (table["_fp"] == lowest["fp"]) & (table["_id"] == lowest["lowest"]))
     stay = first.groupBy("lowest").agg(F.min("_hash").alias("_hash")).withColumnRenamed("lowest", "_id")
     kept = rows.join(stay, ["_id", "_hash"], "left_semi")
     turn = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
-    return unwrapped(kept.withColumn("_turn", turn).where("_turn = 1"), docs.columns)
+    return unwrapped(kept.withColumn("_turn", turn).where("_turn = 1"), columns)
