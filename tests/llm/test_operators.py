@@ -321,3 +321,14 @@ def test_without_labels_nothing_is_learned(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert {r["score"] for r in quality_crf.line_quality(docs, none).collect()} == {0.5}
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_the_added_token_in_a_text_is_its_own_id(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext|", "<|ENDOFTEXT|> é", " <|endoftext|>  x"]
+    rows = packing.pack(frame(spark, list(enumerate(texts))), with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [3826, 220, 50256, 994]
