@@ -332,3 +332,19 @@ def test_the_added_token_in_a_text_is_its_own_id(spark):
     rows = packing.pack(frame(spark, list(enumerate(texts))), with_ids=True).collect()
     assert {r["doc_id"]: r["ids"] for r in rows} == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
     assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [3826, 220, 50256, 994]
+
+
+def test_secrets_in_nested_and_broken_layers_are_found(monkeypatch):
+    secret = b"password=abcdef123xyz"
+    noise = random.Random(6).randbytes(300_000)
+    b64 = lambda data: base64.b64encode(data).decode()
+    texts = [
+        b64(gzip.compress(gzip.compress(secret))), b64(zlib.compress(gzip.compress(zlib.compress(secret)))),
+        b64(gzip.compress(b"first member ") + gzip.compress(secret)), b64(gzip.compress(bytes(40 << 20) + b" " + secret)),
+        b64(b"\x00\xff \x01 " + secret), "x=caf%E9/password%3Dabcdef123", b64(gzip.compress(noise + b" " + secret)),
+        b64(gzip.compress(b"see " + secret + noise)[:-9]), "\\ud800" + "".join(f"\\u{c:04x}" for c in secret),
+    ]
+    for text in texts:
+        assert f"assign:2:{len(text) + 2}" in secret_scan.secret_row(f"a {text} b")[4].split(","), text[:60]
+    # a stretch of plain letters is no layer
+    assert secret_scan.secret_row("a Donaudampfschifffahrtsgesellschaft b")[4:] == ("", 0)

@@ -14,8 +14,8 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -38,8 +38,9 @@ _UNICODE_RUN = re.compile(r"[\x21-\x7E]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
 
-#: A compressed layer may grow to so many times its size and this many bytes: longer output is not text of a secret.
-MAX_GROWTH, MAX_LAYER = 1000, 16 << 20
+#: Compressed data is inflated in pieces and read in windows of about this many bytes that overlap: a secret longer than
+#: the overlap, or an encoded stretch longer than a window, can be cut where two windows meet.
+PIECE, WINDOW, OVERLAP = 1 << 20, 16 << 20, 1 << 16
 
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_layers bigint"
 
@@ -57,78 +58,129 @@ def scan(text: str) -> list[Span]:
     return found
 
 
-def _as_text(data: bytes) -> str | None:
+def _is_text(data: bytes) -> bool:
     try:
-        return data.decode("utf-8")
+        return all(c >= " " or c in "\t\r\n" for c in data.decode("utf-8"))
     except UnicodeDecodeError:
-        return None
-
-
-def _inflate(data: bytes) -> bytes | None:
-    # 47 accepts both the zlib and the gzip header
-    if data[:2] != b"\x1f\x8b" and data[:1] != b"\x78":
-        return None
-    engine = zlib.decompressobj(47)
-    try:
-        out = engine.decompress(data, min(MAX_LAYER, MAX_GROWTH * len(data)))
-    except zlib.error:
-        return None
-    return out if engine.eof else None
-
-
-def _from_base64(piece: str) -> str | None:
+        return False
+
+
+def _compressed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and int.from_bytes(data[:2]) % 31 == 0)
+
+
+def _inflate(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Output of all members in bounded pieces, and what follows the last; up to the first fault."""
+    engine = None
+    for data in pieces:
+        out = b""
+        while data or len(out) == PIECE:
+            if engine is None:
+                if not _compressed(data):
+                    if data:
+                        yield data
+                    break
+                # 47 accepts both the zlib and the gzip header
+                engine = zlib.decompressobj(47)
+            try:
+                out = engine.decompress(data, PIECE)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            data = engine.unused_data if engine.eof else engine.unconsumed_tail
+            if engine.eof:
+                engine, out = None, b""
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    held = b""
+    for piece in pieces:
+        held += piece
+        if len(held) >= WINDOW:
+            yield held
+            held = held[-OVERLAP:]
+    yield held
+
+
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """Windows of the data, inflated for as long as it is compressed."""
+    pieces, head, seen = iter((data,)), data, set()
+    while _compressed(head) and (digest := hashlib.sha256(head).digest()) not in seen:
+        seen.add(digest)
+        inner = _inflate(pieces)
+        first = next(inner, None)
+        if first is None:
+            pieces = chain((head,), pieces)
+            break
+        head, pieces = first, chain((first,), inner)
+    return _windows(pieces)
+
+
+def _from_base64(piece: str) -> Iterator[bytes]:
     body = piece.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+    # one character too many holds no byte
+    body = body[: len(body) - (len(body) % 4 == 1)]
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except binascii.Error:
-        return None
-    inner = _inflate(data)
-    out = _as_text(data if inner is None else inner)
-    return out if out and all(c >= " " or c in "\t\r\n" for c in out) else None
+        return iter(())
+    return _unpacked(data)
 
 
-def _from_url(piece: str) -> str | None:
-    return _as_text(unquote_to_bytes(piece))
+def _from_url(piece: str) -> str:
+    return unquote_to_bytes(piece).decode("utf-8", "replace")
 
 
-def _from_unicode(piece: str) -> str | None:
+def _from_unicode(piece: str) -> str:
     out = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), piece)
-    try:
-        return out.encode("utf-16", "surrogatepass").decode("utf-16")
-    except UnicodeDecodeError:
-        return None
+    return out.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def layers(text: str) -> Iterator[tuple[int, int, str]]:
-    """Start, end and decoded form of every encoded stretch of a text."""
+def layers(text: str) -> Iterator[tuple[int, int, str, bool]]:
+    """Start, end and decoded form of every encoded stretch of a text, and whether it is text for sure;
+    undecodable bytes become replacement characters."""
     if "%" in text:
         for m in _URL_RUN.finditer(text):
-            if _URL_ESCAPE.search(m[0]) and (out := _from_url(m[0])) is not None:
-                yield m.start(), m.end(), out
+            if _URL_ESCAPE.search(m[0]):
+                yield m.start(), m.end(), _from_url(m[0]), True
     if "\\u" in text:
         for m in _UNICODE_RUN.finditer(text):
-            if _ESCAPE.search(m[0]) and (out := _from_unicode(m[0])) is not None:
-                yield m.start(), m.end(), out
+            if _ESCAPE.search(m[0]):
+                yield m.start(), m.end(), _from_unicode(m[0]), True
     for m in _BASE64.finditer(text):
-        if (out := _from_base64(m[0])) is not None:
-            yield m.start(), m.end(), out
+        for data in _from_base64(m[0]):
+            if data:
+                yield m.start(), m.end(), data.decode("utf-8", "replace"), _is_text(data)
 
 
 def unwrap(text: str) -> tuple[list[Span], int]:
-    """Findings inside decoded layers, at the outermost stretch, and the number of layers."""
+    """Findings inside decoded layers, at the outermost stretch, and the number of layers.
+
+    Any long word passes for base64, so a decoded stretch that is not all text counts as a layer only if
+    it has a finding; it is searched for further stretches all the same.
+    """
     found: set[Span] = set()
-    seen: set[tuple[int, int, str]] = set()
-    work = deque(layers(text))
+    seen: set[tuple[int, int, bytes]] = set()
+    n_layers = 0
+    work: list[tuple[tuple[int, int] | None, Iterator]] = [(None, layers(text))]
     while work:
-        start, end, layer = work.popleft()
-        if (start, end, layer) in seen:
+        outer, source = work[-1]
+        item = next(source, None)
+        if item is None:
+            work.pop()
+            continue
+        start, end = outer or item[:2]
+        layer, sure = item[2:]
+        key = start, end, hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest()
+        if key in seen:
             continue
-        seen.add((start, end, layer))
-        found |= {(start, kind, end) for _, kind, _ in scan(layer)}
-        work.extend((start, end, inner) for _, _, inner in layers(layer))
-    return sorted(found), len(seen)
+        seen.add(key)
+        hits = scan(layer)
+        found |= {(start, kind, end) for _, kind, _ in hits}
+        n_layers += sure or bool(hits)
+        work.append(((start, end), layers(layer)))
+    return sorted(found), n_layers
 
 
 def _joined(spans: list[Span]) -> str:
