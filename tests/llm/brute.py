@@ -121,3 +121,25 @@ def base_secrets(text):
     names = ("assign", "access", "hex")
     joined = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(spans))
     return [sum(k == kind for _, k, _ in spans) for kind in range(3)], joined
+
+
+UNIT = re.compile(r"[A-Za-z]+|[^A-Za-z]", re.S)
+
+
+def fill_middle(docs):
+    out = []
+    for doc, text in docs:
+        text = text or ""
+        units = UNIT.findall(text)
+        n = len(units)
+        digest = sha(f"1:{'null' if doc is None else doc}")
+        h1, h2, h3, h4 = (int(digest[8 * i : 8 * i + 8], 16) for i in range(4))
+        low, high = sorted((h1 % (n + 1), h2 % (n + 1)))
+        before, within, after = ("".join(units[a:b]) for a, b in ((0, low), (low, high), (high, n)))
+        if not text or any(s in text for s in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+            form, output, chars = "plain", text, (None, None)
+        else:
+            form, chars = ("spm" if h4 % 100 < 20 else "psm"), (len(before), len(within))
+            output = f"<S>{after}<P>{before}<M>{within}" if form == "spm" else f"<P>{before}<S>{after}<M>{within}"
+        out.append((doc, n, form, *chars, sha(output), sha(text), output))
+    return out

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, packing, quality_crf, quality_rules, secret_scan, sharding, simhash, suffix_dedup
+from . import (
+    decontaminate, fill_middle, language, line_dedup, packing, quality_crf, quality_rules, secret_scan, sharding, simhash, suffix_dedup,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +56,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_middle(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_quality_classifier, op3_simhash, op4_sharding, op5_language, op6_line_dedup, op7_decontamination, op8_packing, op9_secrets, op10_quality_rules)
+    for f in (
+        op1_suffix_dedup, op2_quality_classifier, op3_simhash, op4_sharding, op5_language, op6_line_dedup, op7_decontamination,
+        op8_packing, op9_secrets, op10_quality_rules, op13_fill_middle,
+    )
 }
 
 _SPREAD = line_dedup.Spread()
@@ -147,4 +156,25 @@ ORACLES = {
                AND 100 * repeat_chars <= {_LIMITS.max_char_percent} * word_bytes AND NOT long AS kept
         FROM base
     """,
+    "op13_fill_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                   sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents
+        ),
+        k AS (
+            SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+                   ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d
+        ),
+        c AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k
+        ),
+        s AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 : n], '') AS x FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m
+                      ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM s
+    """,
 }
