@@ -143,3 +143,28 @@ def fill_middle(docs):
             output = f"<S>{after}<P>{before}<M>{within}" if form == "spm" else f"<P>{before}<S>{after}<M>{within}"
         out.append((doc, n, form, *chars, sha(output), sha(text), output))
     return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k=20):
+    """(item id, rank, doc id, score) of every distinct item."""
+    import math
+
+    bags = [(LAST if d is None else d, Counter(TERM.findall((t or "").translate(LOWER)))) for d, t in docs]
+    n_docs, n_terms = sum(bool(b) for _, b in bags), sum(b.total() for _, b in bags)
+    df = Counter(t for _, b in bags for t in b)
+    out = []
+    for item, text in set(items):
+        scores = []
+        for d, bag in bags:
+            score = 0
+            for term, times in Counter(TERM.findall((text or "").translate(LOWER))).items():
+                if tf := bag[term]:
+                    weight = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[term] + 1)))
+                    score += times * weight * (1_000_000_000 * tf // (1000 * tf + 12 * (75 + 25 * bag.total() * n_docs // n_terms)))
+            if score > 0:
+                scores.append((-score, d))
+        out += [(item, r + 1, None if d == LAST else d, -s) for r, (s, d) in enumerate(sorted(scores)[:k])]
+    return out

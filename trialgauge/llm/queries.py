@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, fill_middle, language, line_dedup, packing, quality_crf, quality_rules, secret_scan, sharding, simhash, suffix_dedup,
+    decontaminate, fill_middle, language, lexical_search, line_dedup, packing, quality_crf, quality_rules, secret_scan, sharding, simhash, suffix_dedup,
 )
 
 
@@ -56,6 +56,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(_table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, _table(spark, sf_dir, "benchmark"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_middle(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_quality_classifier, op3_simhash, op4_sharding, op5_language, op6_line_dedup, op7_decontamination,
-        op8_packing, op9_secrets, op10_quality_rules, op13_fill_middle,
+        op8_packing, op9_secrets, op10_quality_rules, op12_lexical_search, op13_fill_middle,
     )
 }
 
@@ -72,6 +77,7 @@ _SPREAD = line_dedup.Spread()
 _LIMITS = quality_rules.Limits()
 _NOT_SPACE = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
@@ -156,6 +162,24 @@ ORACLES = {
                AND 100 * repeat_chars <= {_LIMITS.max_char_percent} * word_bytes AND NOT long AS kept
         FROM base
     """,
+    "op12_lexical_search": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_TERM}') AS w FROM documents),
+        c AS (SELECT count(*) FILTER (WHERE len(w) > 0)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d),
+        q AS (SELECT item_id, unnest(regexp_extract_all({_FOLD}, '{_TERM}')) AS term FROM benchmark),
+        qt AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+        p AS (
+            SELECT doc_id, len(w)::BIGINT AS n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d)
+            WHERE term IN (SELECT term FROM q) GROUP BY ALL
+        ),
+        df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        wt AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, c),
+        s AS (
+            SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // terms)))))::BIGINT AS score
+            FROM qt JOIN wt USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id
+        ),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+    """,
     "op13_fill_middle": """
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
