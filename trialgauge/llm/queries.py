@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     decontaminate, fill_middle, language, lexical_search, line_dedup, packing, quality_crf, quality_rules, secret_scan, sharding, simhash, suffix_dedup,
+    web_archive,
 )
 
 
@@ -56,6 +57,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op11_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    found = web_archive.read_urls(web_archive.write_archive(spark, pages), pages.select("url"), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical_search.build_index(_table(spark, sf_dir, "documents"))
     return lexical_search.search(index, _table(spark, sf_dir, "benchmark"))
@@ -69,7 +76,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_quality_classifier, op3_simhash, op4_sharding, op5_language, op6_line_dedup, op7_decontamination,
-        op8_packing, op9_secrets, op10_quality_rules, op12_lexical_search, op13_fill_middle,
+        op8_packing, op9_secrets, op10_quality_rules, op11_web_archive, op12_lexical_search, op13_fill_middle,
     )
 }
 
@@ -162,6 +169,16 @@ ORACLES = {
                AND 100 * repeat_chars <= {_LIMITS.max_char_percent} * word_bytes AND NOT long AS kept
         FROM base
     """,
+    "op11_web_archive": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+        s AS (SELECT *, sha1(html) AS h FROM p)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, i // 4 * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)
+                                FOR i IN range(32)], '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM s
+    """,
     "op12_lexical_search": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '{_TERM}') AS w FROM documents),
         c AS (SELECT count(*) FILTER (WHERE len(w) > 0)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d),
