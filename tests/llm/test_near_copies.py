@@ -3,7 +3,6 @@
 import random
 
 import corpus_pipeline
-import numpy as np
 from tests.llm import brute
 from trialgauge.llm import near_copies, simhash
 
@@ -15,7 +14,8 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def lowest_of_groups(rows):
+def grouped(rows):
+    """The number of the group of every row: those that pairs with a similarity of 0.8 or more join."""
     sets = [shingles(t) for _, t in rows]
     part = list(range(len(rows)))
 
@@ -28,9 +28,13 @@ def lowest_of_groups(rows):
         for b in range(a):
             if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
                 part[root(a)] = root(b)
+    return [root(n) for n in range(len(rows))]
+
+
+def lowest_of_groups(rows):
     low = {}
-    for n, (doc, _) in enumerate(rows):
-        low[root(n)] = min(low.get(root(n), doc), doc)
+    for (doc, _), group in zip(rows, grouped(rows), strict=True):
+        low[group] = min(low.get(group, doc), doc)
     return sorted(low.values())
 
 
@@ -61,12 +65,42 @@ def test_one_of_each_group_of_near_copies_is_left(spark):
     assert simhash.drop_near_duplicates(docs).count() > len(want)
 
 
-def test_pairs_of_a_bucket():
-    rnd = np.random.default_rng(1)
-    pairs = lambda n, key: {tuple(sorted(p)) for a, b in near_copies.bucket_pairs(np.arange(n), key) for p in zip(a.tolist(), b.tolist())}
-    assert pairs(5, np.zeros(5)) == {(a, b) for b in range(5) for a in range(b)}
-    n = 50 * near_copies.CROWD
-    key = np.sort(rnd.integers(0, n // 4, n))
-    found = pairs(n, key)
-    assert {(a, b) for a in range(n) for b in range(a + 1, min(n, a + near_copies.CROWD)) if key[a] == key[b]} <= found
-    assert len(found) <= near_copies.CROWD * n
+def groups_of(spark, rows):
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], SCHEMA)
+    return sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect())
+
+
+def test_a_third_of_all_texts_in_one_bucket_loses_no_group(spark):
+    """Texts of one template: many groups of copies with a common half, and a crowd of close copies."""
+    rnd = random.Random(12)
+    common = [f"c{i}" for i in range(160)]
+    texts = []
+    for group in range(45):
+        own = [f"g{group}x{i}" for i in range(rnd.randint(30, 50))]
+        texts += [" ".join(common + own[: len(own) - k]) for k in range(4)]
+    texts += [edited(rnd, common, rnd.randint(1, 5)) for _ in range(150)]
+    texts += [" ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(60)) for _ in range(300)]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert groups_of(spark, rows) == lowest_of_groups(rows)
+
+
+def test_crowds_without_a_link_are_left_apart(spark):
+    rnd = random.Random(13)
+    common = [f"c{i}" for i in range(200)]
+    # similarity about 0.7 to each other: they share bands and no link; each has one copy
+    texts = [" ".join(common + [f"u{i}x{j}" for j in range(40)]) for i in range(80)]
+    texts += [t + " end" for t in texts]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert groups_of(spark, rows) == lowest_of_groups(rows)
+    assert len(lowest_of_groups(rows)) == 80
+
+
+def test_pairs_of_small_buckets_and_members_of_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CROWD", 3)
+    entries = spark.createDataFrame([(f, [1, 2 if f < 3 else 10 + f, 20 + f // 3]) for f in range(6)], "fp bigint, bands array<bigint>")
+    small, crowd = near_copies.buckets(entries)
+    found = {(r["u"], r["v"]) for r in near_copies.small_pairs(small).collect()}
+    assert found == {(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5)}
+    assert {tuple(r) for r in crowd.collect()} == {(1, f, 0) for f in range(6)}

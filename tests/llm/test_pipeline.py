@@ -4,10 +4,12 @@ import math
 from collections import defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
+from tests.llm.test_near_copies import grouped
 from tests.llm.test_operators import odd_rows
 from trialgauge.llm import line_dedup, quality_rules
 from trialgauge.plans.staging import stage
@@ -15,6 +17,12 @@ from trialgauge.plans.staging import stage
 SF = "/root/testdata/sf0.001"
 
 
+def text_hash(text):
+    """Of rows that tie in their id the one with the smaller hash of its text counts."""
+    signed = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return signed - (1 << 64) if signed >> 63 else signed
+
+
 def kept_by_rules(rows):
     limits = quality_rules.Limits()
     out = []
@@ -51,13 +59,13 @@ def without_boilerplate(rows):
 
 
 def one_of_each(rows):
-    seen, out = set(), []
-    parts = brute.components([r[:2] for r in rows])
-    for row, (doc, _, part) in sorted(zip(rows, parts, strict=True), key=lambda x: brute.LAST if x[0][0] is None else x[0][0]):
-        if doc == part and part not in seen:
-            seen.add(part)
-            out.append(row)
-    return out
+    """The row with the smallest id of each group that similar pairs join; of rows with one id the smallest text hash."""
+    groups = grouped([r[:2] for r in rows])
+    best: dict = {}
+    for n, row in enumerate(rows):
+        key = (brute.LAST if row[0] is None else row[0], text_hash(row[1]))
+        best[groups[n]] = min(best.get(groups[n], (key, row)), (key, row), key=lambda x: x[0])
+    return [row for _, row in best.values()]
 
 
 def uncontaminated(rows, bench):
