@@ -229,13 +229,15 @@ def _roles(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     # equal payloads agree in both digests; the second one is there for made-up collisions of the first
     named = named.withColumns({"size": F.length("payload").cast("long"), "sha1": F.sha1("payload"), "same": F.unhex(F.sha2("payload", 256))})
     named = stage(named, "pages")
-    first = named.where(F.col("size") >= min_revisit_bytes).groupBy("same").agg(F.min(F.struct("_id", "number")).alias("first"), F.count("*").alias("n"))
+    same = named.where(F.col("size") >= min_revisit_bytes)
+    first = same.groupBy("same").agg(F.min(F.struct("_id", "number")).alias("first"), F.count("*").alias("n"))
     first = first.where("n > 1").select("same", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    roles = named.withColumn("salt", F.pmod("number", F.lit(SALTS)).cast("int")).join(first, ["same", "salt"], "left")
-    again = F.col("first").isNotNull() & (F.col("first.number") != F.col("number"))
-    return roles.select(
-        "number", "_id", "url", "sha1", "size", F.when(~again, F.col("payload")).alias("payload"),
-        F.when(again, F.col("first.number")).alias("refers_to"), F.when(again, F.col("first._id")).alias("refers_to_id"), url_key(F.col("url")).alias("key"),
+    again = same.select("number", "same", F.pmod("number", F.lit(SALTS)).cast("int").alias("salt")).join(first, ["same", "salt"])
+    # one narrow row per revisit, keyed by the page's own number: where they are few, Spark joins without moving a payload
+    again = stage(again.where("first.number != number").select("number", F.col("first.number").alias("refers_to"), F.col("first._id").alias("refers_to_id")), "revisits")
+    return named.join(again, "number", "left").select(
+        "number", "_id", "url", "sha1", "size", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"),
+        "refers_to", "refers_to_id", url_key(F.col("url")).alias("key"),
     )
 
 
