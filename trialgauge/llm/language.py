@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordering import drawn
+from ..plans.ordering import drawn, top_per_group
 from . import arrays as A
 
 #: First and last code point of the ranges told apart.
@@ -45,11 +45,11 @@ SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, n_let
 
 @dataclass(frozen=True)
 class Training:
-    """``max_docs`` labelled documents at most, those with the smallest hashes, and the first
-    ``max_bytes`` characters of each are learned from: the documented bound of the training sample."""
+    """The documented bound of the training sample: ``max_docs`` labelled documents of each language, those with the
+    smallest hashes, so that a rare language is learned however large the table is. Their texts are
+    learned from as a whole, in tasks; the driver gets one sum per trigram and language."""
 
-    max_docs: int = 4000
-    max_bytes: int = 4000
+    max_docs: int = 1000
     smoothing: float = 0.5
     switch_penalty: float = 12.0
     script_share: float = 0.001
@@ -145,16 +145,18 @@ class Model:
     allowed: np.ndarray  # script x language
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[str], how: Training) -> Model:
-        languages = sorted(set(labels))
+    def fit(cls, rows: list, how: Training) -> Model:
+        """From the sums that ``feature_counts`` gathered."""
+        languages = sorted({r["lang"] for r in rows})
+        number = {x: i for i, x in enumerate(languages)}
         counts = np.zeros((1 << TABLE_BITS, len(languages)))
         scripts = np.zeros((len(SCRIPTS) + 2, len(languages)))
-        for number, language in enumerate(languages):
-            own = [t for t, x in zip(texts, labels, strict=True) if x == language]
-            for start in range(0, len(own), 200):
-                words = Words(pa.array(own[start : start + 200]))
-                counts[:, number] += np.bincount(words.grams, minlength=NO_GRAM + 1)[:NO_GRAM]
-                scripts[:, number] += np.bincount(words.script, weights=words.letters, minlength=len(scripts))
+        for r in rows:
+            at = np.array([x["at"] for x in r["sums"]], np.int64)
+            n = np.array([x["n"] for x in r["sums"]], float)
+            grams = at < NO_GRAM
+            counts[at[grams], number[r["lang"]]] = n[grams]
+            scripts[at[~grams] - NO_GRAM, number[r["lang"]]] = n[~grams]
         smooth = counts + how.smoothing
         # a language is a candidate for a script that makes up some share of its letters; an unseen script rules out none
         share = scripts / np.maximum(scripts.sum(0), 1)
@@ -172,7 +174,7 @@ class Model:
         length = n[by_size]
         best = np.zeros((n_rows, len(self.languages)), np.float32)
         stays = np.zeros((len(scores), len(self.languages)), bool)
-        came = np.zeros(len(scores), np.int8)
+        came = np.zeros(len(scores), np.int32)
         live = np.searchsorted(-length, -np.arange(1, (length[0] if n_rows else 0) + 1), "right")
         for step, count in enumerate(live):
             now, state = first[:count] + step, best[:count]
@@ -181,7 +183,7 @@ class Model:
             stay = state >= jump[:, None]
             stays[now], came[now] = stay, top
             best[:count] = np.where(stay, state, jump[:, None]) + scores[now]
-        chosen = np.zeros(len(scores), np.int8)
+        chosen = np.zeros(len(scores), np.int32)
         state = best.argmax(1)
         for step in range(len(live) - 1, -1, -1):
             count = live[step]
@@ -191,7 +193,7 @@ class Model:
         return scores, chosen
 
 
-def detect(text: pa.Array, model: Model, penalty: float) -> tuple[list, np.ndarray, np.ndarray, list]:
+def detect(text: pa.Array, model: Model, penalty: float, with_spans: bool = True) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, list]:
     n = len(text)
     words = Words(text)
     k = len(model.languages)
@@ -209,50 +211,81 @@ def detect(text: pa.Array, model: Model, penalty: float) -> tuple[list, np.ndarr
     edge = np.ones(len(chosen), bool)
     edge[1:] = (chosen[1:] != chosen[:-1]) | (words.row[1:] != words.row[:-1])
     at = np.flatnonzero(edge)
+    n_spans = np.bincount(words.row[at], minlength=n)
+    if not with_spans:
+        return predicted, score, total.astype(np.int64), n_spans, [None] * n
     size = np.diff(np.r_[at, len(chosen)])
     order = np.arange(len(chosen)) - (np.cumsum(np.bincount(words.row, minlength=n)) - np.bincount(words.row, minlength=n))[words.row]
     spans: list[list[dict]] = [[] for _ in range(n)]
     for i, s in zip(at, size, strict=True):
         spans[words.row[i]].append({"lang": model.languages[chosen[i]], "start": int(order[i]), "words": int(s)})
-    return predicted, score, total.astype(np.int64), spans
+    return predicted, score, total.astype(np.int64), n_spans, spans
 
 
-def training_sample(docs: DataFrame, how: Training, held_out: Column) -> list:
-    """At most ``how.max_docs`` labelled rows outside the held-out fold, those with the smallest hashes."""
+def training_rows(docs: DataFrame, how: Training, held_out: Column) -> DataFrame:
+    """``lang, text``: of each language the ``how.max_docs`` different rows with the smallest hashes outside the held-out fold."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
-    draw = F.xxhash64("doc_id", F.substring("text", 1, how.max_bytes))
-    some = known.where(drawn(draw, how.max_docs, known.count()))
-    ranked = some.select("lang", F.substring("text", 1, how.max_bytes).alias("text"), F.shiftrightunsigned(draw, 1).alias("draw"))
-    return ranked.orderBy("draw", "lang", "text").limit(how.max_docs).collect()
+    known = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
+    # one row per language
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
+    some = known.select("lang", "draw").join(F.broadcast(counts), "lang").where(drawn(F.col("draw"), how.max_docs, F.col("total")))
+    chosen = top_per_group(some.select("lang", "draw").distinct(), ["lang"], [F.shiftrightunsigned("draw", 1), F.asc("draw")], how.max_docs)
+    # max_docs numbers per language at most
+    texts = known.join(F.broadcast(chosen.select("lang", "draw")), ["lang", "draw"])
+    return texts.groupBy("lang", "draw").agg(F.min("text").alias("text")).select("lang", "text")
 
 
-def identify(docs: DataFrame, how: Training = Training(), parts: int = 4, held: int = 2) -> DataFrame:
+def feature_counts(rows: DataFrame) -> list:
+    """Per language, how often each trigram (``at``) and, above ``NO_GRAM``, the letters of each script occur in ``rows(lang, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in A.slices(batch, limit=SLICE):
+                langs = np.array(part.column(0).to_pylist(), object)
+                for language in sorted(set(langs)):
+                    words = Words(part.column(1).filter(pa.array(langs == language)))
+                    grams = np.bincount(words.grams, minlength=NO_GRAM + 1)[:NO_GRAM]
+                    scripts = np.bincount(words.script, weights=words.letters, minlength=len(SCRIPTS) + 2)
+                    both = np.concatenate([grams, scripts]).astype(np.int64)
+                    at = np.flatnonzero(both)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([language] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(both[at])], names=["lang", "at", "n"]
+                    )
+
+    sums = rows.mapInArrow(run, "lang string, at int, n bigint").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    return sums.groupBy("lang").agg(F.collect_list(F.struct("at", "n")).alias("sums")).collect()
+
+
+def identify(docs: DataFrame, how: Training = Training(), parts: int = 4, held: int = 2, with_spans: bool = True) -> DataFrame:
     """Language, confidence and spans of every row of ``docs(doc_id, text, lang)``.
 
     Learns from text and ``lang`` outside the held-out fold only. Null or empty texts and texts
     without a letter are ``und`` with score 0; with nothing to learn from every row is. Repeated
     rows and null ids are judged row by row, other columns are ignored, an empty table gives an
-    empty result. Spans count letter words from 0. No shuffle but the bounded training sample.
+    empty result. Spans count letter words from 0; without ``with_spans`` they are only counted.
+    No shuffle but the bounded training sample and its sums.
     """
     held_out = fold(F.col("doc_id"), parts) == held
-    sample = training_sample(docs.select("doc_id", "text", "lang"), how, held_out)
-    model = Model.fit([r["text"] for r in sample], [r["lang"] for r in sample], how) if sample else None
+    sums = feature_counts(training_rows(docs.select("doc_id", "text", "lang"), how, held_out))
+    model = Model.fit(sums, how) if sums else None
     packed = docs.sparkSession.sparkContext.broadcast(model)
     penalty = how.switch_penalty
+    # tables of words by languages stay of one size however many languages there are
+    limit = SLICE // max(1, -(-len(sums) // 16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = packed.value
         for batch in batches:
-            for part in A.slices(batch, limit=SLICE):
+            for part in A.slices(batch, limit=limit):
                 n = part.num_rows
                 if learned is None:
-                    found = ["und"] * n, np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)]
+                    found = ["und"] * n, np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), [[] for _ in range(n)]
                 else:
-                    found = detect(part.column(1), learned, penalty)
+                    found = detect(part.column(1), learned, penalty, with_spans)
                 span = pa.struct([("lang", pa.string()), ("start", pa.int32()), ("words", pa.int32())])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), part.column(2), pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()),
-                     pa.array(found[2], pa.int64()), pa.array([len(s) for s in found[3]], pa.int64()), pa.array(found[3], pa.list_(span))],
+                     pa.array(found[2], pa.int64()), pa.array(found[3], pa.int64()), pa.array(found[4], pa.list_(span))],
                     names=["doc_id", "held_out", "lang_pred", "score", "n_letters", "n_spans", "spans"],
                 )
 

@@ -32,7 +32,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "n_letters", "n_spans")
+    found = language.identify(_table(spark, sf_dir, "documents"), with_spans=False)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "n_letters", "n_spans")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
