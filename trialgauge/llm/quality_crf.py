@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordering import drawn
+from ..plans.ordering import drawn, top_per_group
+from ..plans.staging import stage
 from . import arrays as A
 from .language import fold
 
@@ -38,12 +39,14 @@ CLASSES = (LETTER, UPPER, LOWER, DIGIT, SENTENCE, MARK, PIPE, BANG)
 
 @dataclass(frozen=True)
 class Training:
-    """The documented bound of the training sample: ``max_docs`` labelled documents, those with the
-    smallest hash of their id, and the first ``max_bytes`` characters of each. ``decay`` is
-    the weight of the squared parameters, ``steps`` and ``rate`` those of the gradient method."""
-
-    max_docs: int = 4000
-    max_bytes: int = 10_000
+    """The documented bound of the training sample: of each quality ``max_docs`` labelled documents, those with the
+    smallest hash of their id, taken as whole texts while they hold ``max_chars`` characters together; a
+    document that would pass that bound is left out, but each quality keeps its shortest one. A
+    quality with more labels than were drawn weighs as many. ``decay`` is the weight of the
+    squared parameters, ``steps`` and ``rate`` those of the gradient method."""
+
+    max_docs: int = 2000
+    max_chars: int = 16_000_000
     decay: float = 1e-3
     steps: int = 150
     rate: float = 0.1
@@ -133,8 +136,8 @@ class Field:
         return (lines.features @ self.weights + self.bias).astype(np.float64)
 
 
-def marginals(evidence: np.ndarray, count: np.ndarray, moves: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Chance of good for every line, and expected transitions; documents advance side by side.
+def marginals(evidence: np.ndarray, count: np.ndarray, moves: np.ndarray, by_line: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of good for every line, and expected transitions, each weighted ``by_line``; documents advance side by side.
 
     ``evidence`` is the score of good against bad; documents follow one another with ``count``
     lines each, at least one.
@@ -162,7 +165,8 @@ def marginals(evidence: np.ndarray, count: np.ndarray, moves: np.ndarray, start:
     inner[np.cumsum(count) - count] = False
     at = np.flatnonzero(inner)
     pair = forward[at - 1][:, :, None] + moves[None] + (score[at] + backward[at])[:, None, :]
-    expected = np.exp(pair - total[at][:, None, None]).sum(0)
+    each = np.exp(pair - total[at][:, None, None])
+    expected = each.sum(0) if by_line is None else np.tensordot(by_line[at], each, 1)
     return good, expected
 
 
@@ -190,9 +194,10 @@ class _Adam:
         return self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def fit(texts: list[str], quality: np.ndarray, how: Training = Training()) -> Field:
-    """Conditional likelihood of the lines' labels, which are those of their document."""
+def fit(texts: list[str], quality: np.ndarray, how: Training = Training(), weight: np.ndarray | None = None) -> Field:
+    """Conditional likelihood of the lines' labels, which are those of their document; ``weight`` says for how many documents one stands."""
     lines = Lines(pa.array(texts, pa.large_string()))
+    weight = np.ones(len(texts)) if weight is None else weight / weight.mean()
     x = lines.features.astype(np.float64)
     mean, spread = x.mean(0), np.maximum(x.std(0), 1e-3)
     x = np.hstack([(x - mean) / spread, np.ones((len(x), 1))])
@@ -200,15 +205,16 @@ def fit(texts: list[str], quality: np.ndarray, how: Training = Training()) -> Fi
     inner = np.ones(len(truth), bool)
     inner[lines.first] = False
     at = np.flatnonzero(inner)
+    by_line = weight[lines.row]
     seen = np.zeros((2, 2))
-    np.add.at(seen, (truth[at - 1].astype(int), truth[at].astype(int)), 1)
+    np.add.at(seen, (truth[at - 1].astype(int), truth[at].astype(int)), by_line[at])
     theta = np.zeros(x.shape[1] + 4)
     descent = _Adam(len(theta), how.rate)
     n = len(texts)
     for _ in range(how.steps):
         moves = theta[-4:].reshape(2, 2)
-        good, expected = marginals(x @ theta[:-4], lines.count, moves)
-        gradient = np.r_[x.T @ (good - truth), (expected - seen).ravel()] / n + how.decay * theta
+        good, expected = marginals(x @ theta[:-4], lines.count, moves, by_line)
+        gradient = np.r_[x.T @ ((good - truth) * by_line), (expected - seen).ravel()] / n + how.decay * theta
         theta -= descent.step(gradient)
     weights = theta[:-5] / spread
     field = Field(weights.astype(np.float32), float(theta[-5] - mean @ weights), theta[-4:].reshape(2, 2))
@@ -217,7 +223,7 @@ def fit(texts: list[str], quality: np.ndarray, how: Training = Training()) -> Fi
     curve, descent = np.array([0.5, 0.0]), _Adam(2, 0.05)
     for _ in range(400):
         p = 1 / (1 + np.exp(-(curve[0] * z + curve[1])))
-        curve -= descent.step(np.array([((p - quality) * z).mean(), (p - quality).mean()]) + 1e-4 * curve)
+        curve -= descent.step(np.array([(weight * (p - quality) * z).mean(), (weight * (p - quality)).mean()]) + 1e-4 * curve)
     field.slope, field.shift = max(float(curve[0]), 1e-3), float(curve[1])
     return field
 
@@ -229,17 +235,40 @@ def score(text: pa.Array, field: Field) -> tuple[np.ndarray, np.ndarray, Lines]:
     return 1 / (1 + np.exp(-(field.slope * z + field.shift))), good, lines
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, how: Training, held_out: Column) -> list:
-    """At most ``max_docs`` labels outside the held-out fold, and the text of their documents; of
-    several rows with one id the smallest text."""
+def within_bound(rows: list, limit: int) -> list:
+    """Rows in their order while their ``size`` adds up to ``limit`` at most, and the shortest of each quality."""
+    kept, total = {min((r for r in rows if r["quality"] == q), key=lambda r: r["size"]) for q in {r["quality"] for r in rows}}, 0
+    total = sum(r["size"] for r in kept)
+    for r in rows:
+        if r not in kept and total + r["size"] <= limit:
+            kept.add(r)
+            total += r["size"]
+    return [r for r in rows if r in kept]
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, how: Training, held_out: Column) -> tuple[list, np.ndarray]:
+    """Labels outside the held-out fold with the whole text of their document, within the bounds of ``how``, and for how
+    many labels each stands; of several rows with one id the smallest text."""
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out)
-    draw = F.xxhash64("doc_id")
-    some = chosen.where(drawn(draw, how.max_docs, chosen.count())).select("doc_id", "quality")
-    chosen = some.orderBy(F.shiftrightunsigned(draw, 1), "doc_id", "quality").limit(how.max_docs)
-    texts = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, how.max_bytes).alias("text"))
-    # the other side has max_docs rows of two numbers at most
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
-    return sorted(rows, key=lambda r: (r["doc_id"], r["quality"], r["text"]))
+    chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("draw"))
+    counts = {r["quality"]: r["total"] for r in chosen.groupBy("quality").agg(F.count(F.lit(1)).alias("total")).collect()}
+    if not counts:
+        return [], np.zeros(0)
+    wanted = F.when(F.lit(False), F.lit(True))
+    for quality, total in counts.items():
+        wanted = wanted.when(F.col("quality") == quality, drawn(F.col("draw"), how.max_docs, total))
+    some = chosen.where(wanted).distinct()
+    some = top_per_group(some, ["quality"], [F.shiftrightunsigned("draw", 1), F.asc("doc_id")], how.max_docs).select("doc_id", "quality", "draw")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # the other side has two numbers for each of 2 * max_docs rows at most
+    texts = stage(texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality", "draw").agg(F.min("text").alias("text")), "sample")
+    sizes = sorted(texts.select("doc_id", "quality", "draw", F.length("text").alias("size")).collect(), key=lambda r: (r["draw"] % (1 << 64), r["doc_id"], r["quality"]))
+    kept = within_bound(sizes, how.max_chars)
+    keys = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in kept], "doc_id long, quality int") if kept else None
+    rows = texts.join(F.broadcast(keys), ["doc_id", "quality"]).collect() if kept else []
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
+    drawn_of = {q: sum(r["quality"] == q for r in rows) for q in counts}
+    return rows, np.array([counts[r["quality"]] / drawn_of[r["quality"]] for r in rows])
 
 
 def line_quality(docs: DataFrame, labels: DataFrame, how: Training = Training(), parts: int = 5, held: int = 0) -> DataFrame:
@@ -251,8 +280,8 @@ def line_quality(docs: DataFrame, labels: DataFrame, how: Training = Training(),
     empty table gives an empty result. Only the bounded training sample is shuffled or gathered.
     """
     held_out = fold(F.col("doc_id"), parts) == held
-    sample = training_sample(docs, labels, how, held_out)
-    field = fit([r["text"] for r in sample], np.array([r["quality"] for r in sample]), how) if sample else None
+    sample, weight = training_sample(docs, labels, how, held_out)
+    field = fit([r["text"] for r in sample], np.array([r["quality"] for r in sample]), how, weight) if sample else None
     packed = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
