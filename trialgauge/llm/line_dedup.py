@@ -21,11 +21,11 @@ from .rows import wrapped
 class Spread:
     """``band``: estimates within this share of ``min_sites``, and at least one site, are counted
     exactly. A sketch of 2**``lg_k`` cells has a standard error of about 1.04 / sqrt(2**lg_k)
-    (1.6 % at 12), so the default band is twelve of them. Lines of fewer than ``min_chars``
-    characters without the blanks around them are never boilerplate."""
+    (1.6 % at 12), so the default band is twelve of them. Every line that is not blank counts by
+    default; ``min_chars`` is the least length, without the blanks around it, of a line that may be boilerplate."""
 
     min_sites: int = 10
-    min_chars: int = 12
+    min_chars: int = 1
     lg_k: int = 12
     band: float = 0.2
 
