@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import fixed
-from ..plans.ordering import drawn, exact_quantiles, top_per_group, with_running_totals
+from ..plans.ordering import exact_quantiles, top_per_group, with_running_totals
 from ..plans.staging import stage
 from .joins import attach_scalars
 from .neighbours import local_outlier_factor
@@ -108,26 +109,34 @@ def _path_constant(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
-def _grow_tree(rows: np.ndarray, seed: int) -> list[tuple[int, float, int, int, float]]:
-    """``(dim, cut, left, right, value)``; leaves have dim -1 and carry their path length."""
-    rng = np.random.default_rng(seed)
+def _share(*parts: object) -> float:
+    """A number in [0, 1) that follows from its parts, by the first 32 bits of their digest."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+
+
+def _grow_tree(rows: np.ndarray, seed: int, tree: int) -> list[tuple[int, float, int, int, float]]:
+    """``(dim, cut, left, right, value)``; leaves have dim -1 and carry their path length.
+
+    Dimension and cut of a node follow from seed, tree and the way to it, so that a tree is the
+    same wherever it grows.
+    """
     limit = math.ceil(math.log2(max(2, len(rows))))
     nodes: list[tuple[int, float, int, int, float]] = []
 
-    def grow(part: np.ndarray, depth: int) -> int:
+    def grow(part: np.ndarray, way: str) -> int:
         at = len(nodes)
-        nodes.append((-1, 0.0, 0, 0, depth + _path_constant(len(part))))
+        nodes.append((-1, 0.0, 0, 0, len(way) + _path_constant(len(part))))
         lo, hi = part.min(axis=0), part.max(axis=0)
         usable = np.nonzero(hi > lo)[0]
-        if depth < limit and len(part) > 1 and len(usable):
-            dim = int(rng.choice(usable))
-            cut = float(rng.uniform(lo[dim], hi[dim]))
+        if len(way) < limit and len(usable):
+            dim = int(usable[int(_share(seed, tree, way, "dim") * len(usable))])
+            cut = float(lo[dim] + _share(seed, tree, way, "cut") * (hi[dim] - lo[dim]))
             low = part[:, dim] <= cut
-            if low.any() and not low.all():
-                nodes[at] = (dim, cut, grow(part[low], depth + 1), grow(part[~low], depth + 1), 0.0)
+            if not low.all():
+                nodes[at] = (dim, cut, grow(part[low], way + "l"), grow(part[~low], way + "r"), 0.0)
         return at
 
-    grow(rows, 0)
+    grow(rows, "")
     return nodes
 
 
@@ -136,23 +145,23 @@ def fit_isolation_forest(
 ) -> tuple[list[list[tuple]], int]:
     """Trees over subsamples (Liu et al., 2008).
 
-    A tree's sample are the rows with its ``subsample`` smallest hashes of row and tree, so
+    A tree's sample are the rows with its ``subsample`` smallest digests of seed, tree and id, so
     samples are independent and neither layout nor size of the input changes how they are
-    drawn. A row names only the trees for which its hash may be among the smallest. Trees grow in parallel tasks; the model that returns
-    is bounded by ``trees × 2 × subsample`` nodes.
+    drawn. Ids alone are drawn; their vectors join the few that are left. Trees grow in parallel
+    tasks; the model that returns is bounded by ``trees × 2 × subsample`` nodes.
     """
     points = stage(points.select("id", "vec"), "points")
     n = points.count()
     size = min(subsample, n)
-    draw = F.xxhash64(F.col("id"), F.col("tree"), F.lit(seed))
-    named = points.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("draw", draw)
-    order = [F.shiftrightunsigned("draw", 1).asc(), F.asc("id")]
-    picked = top_per_group(named.where(drawn(F.col("draw"), subsample, n)), ["tree"], order, size)
+    named = points.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    named = named.withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"), F.col("id").cast("string"))))
+    few = F.conv(F.substring("draw", 1, 15), 16, 10).cast("double") / float(1 << 60) <= (2.0 * subsample + 64.0) / max(n, 1)
+    picked = top_per_group(named.where(few), ["tree"], [F.asc("draw"), F.asc("id")], size).join(points, "id")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         tree = int(pdf["tree"].iloc[0])
-        nodes = _grow_tree(np.stack(pdf["vec"].to_numpy()), seed * 100_003 + tree)
+        nodes = _grow_tree(np.stack(pdf["vec"].to_numpy()), seed, tree)
         return pd.DataFrame(nodes, columns=["dim", "cut", "left", "right", "value"]).assign(tree=tree, at=range(len(nodes)))
 
     schema = "dim int, cut double, left int, right int, value double, tree int, at int"

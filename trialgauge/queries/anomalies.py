@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import anomalies as an
@@ -65,41 +67,55 @@ def a01(spark, sf_dir):
     return rows.select("id", names[F.col("i")].alias("metric"), F.round("x", 5).alias("scaled"))
 
 
-_FLAGGED = "SELECT n AS sites, n - 1 - CAST(floor((n - 1) * 0.9) AS BIGINT) AS flagged, true AS ok FROM (SELECT count(DISTINCT entity_id) AS n FROM q_z) q"
-
-
-def _flagged(scored, planted):
-    """Sites and flagged sites, and whether the planted stranger has the top score."""
-    top = F.max_by("id", F.struct("score", "id")) == planted
-    return scored.agg(F.count(F.lit(1)).alias("sites"), F.count_if(F.col("score") > 0).alias("flagged"), top.alias("ok"))
-
-
-def _with_stranger(points):
-    """The smallest site's features moved far out of range: the known answer to every detector."""
-    far = F.transform("vec", lambda x: x + 1000.0)
-    first = points.agg(F.min("id").alias("first"))
-    moved = points.join(first, points["id"] == first["first"], "left").select("id", F.when(F.col("first").isNotNull(), far).otherwise(F.col("vec")).alias("vec"))
-    return stage(moved, "points"), first.first()["first"]
+def _forest_sql(values: str, trees: int, dims: int) -> dict[str, str]:
+    """Tables up to ``q_forest(id, score)`` that grow every tree level by level over ``values`` (id, xs)."""
+    share = lambda what: f"('0x' || substr(md5('{an.SEED}:' || tree || ':' || way || ':{what}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+    path = "CASE WHEN {n} <= 1 THEN 0.0::DOUBLE WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * ({n} - 1.0::DOUBLE) / {n} END"
+    ends = lambda f: "[" + ", ".join(f"{f}(xs[{j}]) FILTER (WHERE s) OVER w" for j in range(1, dims + 1)) + "]"
+    depth = math.ceil(math.log2(an.SUBSAMPLE))
+    out = {
+        "q_fval": values,
+        "q_f0": f"SELECT tree, id, xs, least({an.SUBSAMPLE}, count(*) OVER (PARTITION BY tree)) AS size, '' AS way, true AS live, "
+        f"row_number() OVER (PARTITION BY tree ORDER BY md5('{an.SEED}:' || tree || ':' || id), id) <= {an.SUBSAMPLE} AS s FROM q_fval, range({trees}) AS t(tree)",
+    }
+    for i in range(depth):
+        out[f"q_f{i + 1}"] = (
+            "SELECT tree, id, xs, size, s, k IS NOT NULL AS live, "
+            f"way || CASE WHEN k IS NULL THEN '' WHEN xs[k] <= lo[k] + {share('cut')} * (hi[k] - lo[k]) THEN 'l' ELSE 'r' END AS way FROM ("
+            f"SELECT *, CASE WHEN live AND len(us) > 0 AND {i} < ceil(log2(greatest(2, size))) THEN us[1 + floor({share('dim')} * len(us))::INT] END AS k FROM ("
+            f"SELECT *, list_filter(range(1, {dims + 1}), lambda j: hi[j] > lo[j]) AS us FROM ("
+            f"SELECT *, {ends('min')} AS lo, {ends('max')} AS hi FROM q_f{i} WINDOW w AS (PARTITION BY tree, way)) a) b) c"
+        )
+    return out | {
+        "q_leaf": f"SELECT id, size, length(way) + {path.format(n='n')} AS value FROM (SELECT id, size, way, count(*) FILTER (WHERE s) OVER (PARTITION BY tree, way) AS n FROM q_f{depth}) q",
+        "q_raw": f"SELECT id, pow(2.0::DOUBLE, -(sum(value) / {trees}) / max({path.format(n='size')})) AS raw FROM q_leaf GROUP BY id",
+        "q_forest": f"SELECT id, raw - (SELECT quantile_cont(raw, {1 - an.CONTAMINATION}::DOUBLE) FROM q_raw) AS score FROM q_raw",
+    }
+
+
+_SCALED = _forest_sql("SELECT entity_id AS id, list(z ORDER BY ord) AS xs FROM q_z JOIN q_ord USING (metric) GROUP BY entity_id", an.TREES, len(M))
+_UNSCALED = _forest_sql(
+    "SELECT site_id AS id, [" + ", ".join(f"{m}::DOUBLE" for m in an.LEGACY_FEATURES) + "] AS xs FROM q_feat", 100, len(an.LEGACY_FEATURES)
+)
 
 
-@book.add("a02_isolation_forest", _FLAGGED)
+@book.add("a02_isolation_forest", "SELECT id, round(score, 6) AS score, score > 0 AS flagged FROM q_forest", **_SCALED)
 def a02(spark, sf_dir):
-    points, planted = _with_stranger(_points(spark, sf_dir))
-    return _flagged(an.isolation_scores(points), planted)
+    scored = an.isolation_scores(_points(spark, sf_dir))
+    return scored.select("id", F.round("score", 6).alias("score"), (F.col("score") > 0).alias("flagged"))
 
 
 @book.add(
     "a03_legacy_forest_bands",
-    "SELECT count(*) AS sites, count(*) - 1 - CAST(floor((count(*) - 1) * 0.9) AS BIGINT) AS flagged, true AS ok FROM q_feat",
+    "SELECT id, round(score, 6) AS score, CASE WHEN score > 0.2 THEN 'Critical' WHEN score > 0.1 THEN 'High' WHEN score > 0 THEN 'Medium' ELSE 'Low' END AS level FROM q_forest",
+    **_UNSCALED,
 )
 def a03(spark, sf_dir):
     # the older detector feeds unscaled features
     f = staged_features(spark, sf_dir)
     points = stage(f.select(F.col("site_id").alias("id"), F.array(*an.LEGACY_FEATURES).alias("vec")), "points")
-    points, planted = _with_stranger(points)
-    scored = an.isolation_scores(points, trees=100).withColumn("level", an.legacy_level(F.col("score")))
-    low = (F.col("level") == "Low") == (F.col("score") <= 0)
-    return _flagged(stage(scored.withColumn("score", F.when(low, F.col("score"))), "scored"), planted)
+    scored = an.isolation_scores(points, trees=100)
+    return scored.select("id", F.round("score", 6).alias("score"), an.legacy_level(F.col("score")).alias("level"))
 
 
 _LOF = {
