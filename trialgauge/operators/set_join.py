@@ -25,43 +25,47 @@ def _least_overlap(x: Column, y: Column, percent: int) -> Column:
 
 
 def listed(sets: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """``item, id, size, at, tag``: the items every set of ``sets(id, items, tag)`` is listed under."""
-    items = sets.select("id", "tag", F.size("items").alias("size"), F.explode("items").alias("item"))
-    ranked = items.join(counts, "item").groupBy("id", "tag", "size").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("order"))
+    """``item, id, size, at, asks, tag``: the items every set of ``sets(id, items, asks, tag)`` is listed under."""
+    items = sets.select("id", "asks", "tag", F.size("items").alias("size"), F.explode("items").alias("item"))
+    ranked = items.join(counts, "item").groupBy("id", "asks", "tag", "size").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("order"))
     first = F.col("size") - F.ceil(percent * F.col("size") / 100).cast("int") + 1
-    return ranked.select("id", "tag", "size", F.posexplode(F.slice("order", F.lit(1), first)).alias("at", "o")).select(
-        F.col("o.item").alias("item"), "id", "size", "at", "tag"
+    return ranked.select("id", "asks", "tag", "size", F.posexplode(F.slice("order", F.lit(1), first)).alias("at", "o")).select(
+        F.col("o.item").alias("item"), "id", "size", "at", "asks", "tag"
     )
 
 
 def candidates(left: DataFrame, right: DataFrame | None, percent: int) -> DataFrame:
-    """``u, v``: pairs that may be similar enough. Sides are ``(id, items, tag)``; with one side the pairs are
-    ``u < v`` among its sets, and pairs of one tag that is not null are left out."""
+    """``u, v``: pairs that may be similar enough. Sides are ``(id, items)``. With one side the pairs are ``u < v``
+    among its sets; if it has columns ``asks`` and ``tag``, those of which at least one set asks and the tags differ."""
+    every_pair = right is not None or "asks" not in left.columns
     sides = [left] if right is None else [left, right]
+    if every_pair:
+        sides = [side.withColumns({"asks": F.lit(True), "tag": F.lit(None).cast("long")}) for side in sides]
     whole = sides[0] if right is None else left.select("items").union(right.select("items"))
     counts = whole.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    counts = stage(counts, "items")
     lists = [stage(listed(side, counts, percent), "listed") for side in sides]
-    l_list, r_list = lists[0], lists[-1]
+    l_list, r_list = lists[0].where("asks"), lists[-1]
     # items that both sides list, and how many tiles their lists are cut into
-    n = [x.groupBy("item").agg(F.count(F.lit(1)).alias(c)) for x, c in zip((l_list, r_list), ("nl", "nr"), strict=True)]
-    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
-    both = n[0].join(n[1], "item").select("item", tiles("nl").alias("tl"), tiles("nr").alias("tr"))
-    if right is None:
-        both = n[0].where("nl > 1").select("item", tiles("nl").alias("tl"), tiles("nl").alias("tr"))
-    both = stage(both, "tiles")
+    tiles = lambda c: F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(c)
+    both = l_list.groupBy("item").agg(tiles("tl")).join(r_list.groupBy("item").agg(tiles("tr"), F.count(F.lit(1)).alias("n")), "item")
+    both = (both.where("n > 1") if right is None else both).select("item", "tl", "tr")
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     l_tiles = l_list.join(both, "item").select("item", own("tl").alias("i"), every("tr").alias("j"), *[F.col(c).alias(f"{c}_u") for c in ("id", "size", "at", "tag")])
-    r_tiles = r_list.join(both, "item").select("item", own("tr").alias("j"), every("tl").alias("i"), *[F.col(c).alias(f"{c}_v") for c in ("id", "size", "at", "tag")])
+    r_tiles = r_list.join(both, "item").select("item", own("tr").alias("j"), every("tl").alias("i"), *[F.col(c).alias(f"{c}_v") for c in ("id", "size", "at", "tag", "asks")])
     met = l_tiles.join(r_tiles, ["item", "i", "j"])
+    u, v = F.col("id_u"), F.col("id_v")
+    if not every_pair:
+        met = met.where(F.col("tag_u") != F.col("tag_v"))
     if right is None:
-        met = met.where((F.col("id_u") < F.col("id_v")) & ~F.coalesce(F.col("tag_u") == F.col("tag_v"), F.lit(False)))
+        # a pair of which both sets ask is met from either side
+        met = met.where((u < v) | ((u > v) & ~F.col("asks_v")))
+        u, v = F.least(u, v), F.greatest(u, v)
     x, y = F.col("size_u"), F.col("size_v")
     near = 100 * F.least(x, y) >= percent * F.greatest(x, y)
     reach = 1 + F.least(x - F.col("at_u") - 1, y - F.col("at_v") - 1)
     able = met.where(near & (reach >= _least_overlap(x, y, percent)))
-    return able.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
+    return able.select(u.alias("u"), v.alias("v")).distinct()
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
@@ -82,7 +86,7 @@ def similar_sets(left: DataFrame, right: DataFrame | None = None, percent: int =
     if not 0 < percent <= 100:
         raise ValueError("a similarity in hundredths lies above 0 and up to 100")
     clean = lambda df: stage(
-        df.select("id", F.array_distinct(F.array_compact("items")).alias("items"), F.lit(None).cast("long").alias("tag")).where(F.size("items") > 0), "sets"
+        df.select("id", F.array_distinct(F.array_compact("items")).alias("items")).where(F.size("items") > 0), "sets"
     )
     one = clean(left)
     other = None if right is None else clean(right)
