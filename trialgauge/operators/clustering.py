@@ -567,12 +567,15 @@ def site_lookup(labels: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def projection(points: DataFrame, labels: DataFrame, dims: int = 3, profiles: DataFrame | None = None) -> DataFrame:
     """Principal components of scaled features with each point's cluster and, given the
-    clusters' profiles, its risk level."""
+    clusters' profiles, its risk level. The largest loading of a component is positive."""
     rows = _vectors(stage(points, "points"))
     model = PCA(k=dims, inputCol="features", outputCol="pc").fit(rows)
+    loadings = model.pc.toArray()
+    largest = np.abs(loadings).round(9).argmax(axis=0)
+    sign = np.sign(loadings[largest, np.arange(loadings.shape[1])])
     xyz = model.transform(rows).select("id", vector_to_array("pc").alias("pc"))
     placed = xyz.join(labels.select("id", "cluster"), "id").select(
-        "id", *[F.col("pc")[i].alias(n) for i, n in enumerate("xyz"[:dims])], F.greatest(F.lit(0), "cluster").alias("cluster")
+        "id", *[(F.col("pc")[i] * float(sign[i])).alias(n) for i, n in enumerate("xyz"[:dims])], F.greatest(F.lit(0), "cluster").alias("cluster")
     )
     return placed if profiles is None else placed.join(profiles.select("cluster", "risk_level"), "cluster", "left")
 

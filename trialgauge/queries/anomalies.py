@@ -141,14 +141,10 @@ def a04_leaves(spark, sf_dir):
     return local_outlier_factor(points, k, leaf_rows=30).select("id", F.round("lof", 5).alias("lof"))
 
 
-@book.add("a05_robust_mahalanobis", "SELECT count(DISTINCT entity_id) AS sites, true AS ok FROM q_z")
+@book.add("a05_robust_mahalanobis")
 def a05(spark, sf_dir):
-    """No distance is negative, and a planted stranger is far beyond all others."""
-    points, planted = _with_stranger(_points(spark, sf_dir))
-    d = stage(an.robust_distances(points, len(M)), "distances")
-    rest = F.max(F.when(F.col("id") != planted, F.col("distance")))
-    own = F.max(F.when(F.col("id") == planted, F.col("distance")))
-    return d.agg(F.count(F.lit(1)).alias("sites"), ((F.min("distance") >= 0) & (own > 10 * rest)).alias("ok"))
+    """Squared distance of every site under the fit of the best of many starts."""
+    return an.robust_distances(_points(spark, sf_dir), len(M)).select("id", F.round("distance", 6).alias("distance"))
 
 
 @book.add("a06_z_score_method", "SELECT entity_id AS site_id, round(score, 6) AS score FROM q_stat")
@@ -184,19 +180,12 @@ def a08_two(spark, sf_dir):
     return rows.select("site_id", F.round("anomaly_score", 5).alias("anomaly_score"))
 
 
-@book.add(
-    "a08_ensemble",
-    "SELECT entity_id AS site_id, round(score, 6) AS statistical, true AS ok FROM q_stat",
-)
+@book.add("a08_ensemble")
 def a08(spark, sf_dir):
-    """The z-score part is SQL's; the other parts lie in their range and the whole is their weighted mean."""
+    """The four normalised parts of every site, their weighted sum and its level."""
     rows = an.detect(ft.view_site_features(spark, sf_dir), M)
-    parts = ("isolation_forest", "lof", "statistical", "mahalanobis")
-    weighted = sum(F.col(c) * an.ENSEMBLE_WEIGHTS[c] for c in parts) / sum(an.ENSEMBLE_WEIGHTS[c] for c in parts)
-    ok = F.abs(F.col("anomaly_score") - weighted) < 1e-9
-    for c in parts:
-        ok = ok & F.col(c).between(0, 1)
-    return rows.select("site_id", F.round("statistical", 6).alias("statistical"), ok.alias("ok"))
+    parts = [F.round(c, 6).alias(c) for c in ("isolation_forest", "lof", "statistical", "mahalanobis", "anomaly_score")]
+    return rows.select("site_id", *parts, "is_anomaly", "risk_level")
 
 
 @book.add("a09_flag_and_level", "SELECT site_id, is_anomaly, risk_level FROM q_found")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import anomalies as an
 from ..operators import clustering as cl
 from ..plans import clinical_views as cv
 from ..plans import features as ft
-from ..operators.joins import attach_scalars
 from ..plans.staging import kept, stage
 from .book import Book
 from .features import staged_features
@@ -95,39 +93,25 @@ def k04_single(spark, sf_dir):
     return cl.single_linkage(_points(spark, sf_dir, LEGACY)[1], 1.0)
 
 
-_EACH_SITE = "SELECT DISTINCT entity_id AS id, true AS ok FROM q_z"
-
-
-@book.add("k04_hierarchical_top_down", _EACH_SITE)
+@book.add("k04_hierarchical_top_down")
 def k04(spark, sf_dir):
-    """Every site has one label; labels are not SQL's, so the invariant is what is compared."""
-    points = _points(spark, sf_dir)[1]
-    return cl.labelled_once(points, stage(cl.bisecting(points, K), "labels"), K)
+    return cl.bisecting(_points(spark, sf_dir)[1], K)
 
 
-@book.add("k05_gaussian_mixture", "SELECT DISTINCT entity_id AS id, 1.0::DOUBLE AS mass, true AS ok FROM q_z")
+@book.add("k05_gaussian_mixture")
 def k05(spark, sf_dir):
-    """Probabilities sum to one and the label has the largest."""
-    points = _points(spark, sf_dir)[1]
-    g = stage(cl.gaussian_mixture(points, K), "mixture")
-    total = F.aggregate("probabilities", F.lit(0.0), lambda s, x: s + x)
-    best = F.array_max("probabilities") == F.col("probabilities")[F.col("cluster")]
-    return cl.labelled_once(points, g, K).join(g, "id").select("id", F.round(total, 6).alias("mass"), (F.col("ok") & best).alias("ok"))
+    """Cluster of every site and its probabilities in each."""
+    return cl.gaussian_mixture(_points(spark, sf_dir)[1], K).select("id", "cluster", F.transform("probabilities", lambda p: F.round(p, 6)).alias("probabilities"))
 
 
-@book.add("k06_kmeans", _EACH_SITE)
+@book.add("k06_kmeans")
 def k06(spark, sf_dir):
-    """One label per site, and no mean of another cluster is closer than that of its own."""
-    points = _points(spark, sf_dir)[1]
-    labels = stage(cl.kmeans(points, K), "labels")
-    near = cl.nearest_to_own_centre(points, labels).withColumnRenamed("ok", "near")
-    return cl.labelled_once(points, labels, K).join(near, "id").select("id", (F.col("ok") & F.col("near")).alias("ok"))
+    return cl.kmeans(_points(spark, sf_dir)[1], K)
 
 
-@book.add("k07_spectral", _EACH_SITE)
+@book.add("k07_spectral")
 def k07(spark, sf_dir):
-    points = _points(spark, sf_dir)[1]
-    return cl.labelled_once(points, stage(cl.spectral(points, K), "labels"), K)
+    return cl.spectral(_points(spark, sf_dir)[1], K)
 
 
 _TUPLES = {
@@ -153,10 +137,9 @@ def k08(spark, sf_dir):
     return cl.co_association_pairs(tuples).withColumn("share", F.round("share", 6))
 
 
-@book.add("k09_consensus_ensemble", _EACH_SITE)
+@book.add("k09_consensus_ensemble")
 def k09(spark, sf_dir):
-    points = _points(spark, sf_dir)[1]
-    return cl.labelled_once(points, stage(cl.ensemble(points, K), "labels"), K)
+    return cl.ensemble(_points(spark, sf_dir)[1], K)
 
 
 def _scores(spark, sf_dir):
@@ -179,25 +162,18 @@ def _best_k(spark, sf_dir):
     return {r["measure"]: r["high"] if r["measure"] == "silhouette" else r["low"] for r in top.collect()}
 
 
-_KS = "SELECT CAST(k AS INT) AS k, true AS ok FROM range(2, (SELECT least(10, count(DISTINCT entity_id) - 1) + 1 FROM q_z)) AS t(k)"
-
-
-@book.add("k10_best_k_by_silhouette", _KS)
+@book.add("k10_best_k_by_silhouette")
 def k10(spark, sf_dir):
-    """Every k was tried; its score is a silhouette and not above that of the chosen one."""
+    """The silhouette at every k that was tried, and the k that is chosen."""
     best = _best_k(spark, sf_dir)["silhouette"]
-    rows = _scores(spark, sf_dir).where("measure = 'silhouette'")
-    top = F.max(F.when(F.col("k") == best, F.col("score"))).over(Window.partitionBy("measure"))
-    return rows.select("k", (F.col("score").between(-1, 1) & (F.col("score") <= top)).alias("ok"))
+    return _scores(spark, sf_dir).where("measure = 'silhouette'").select("k", F.round("score", 6).alias("silhouette"), (F.col("k") == best).alias("chosen"))
 
 
-@book.add("k11_best_k_by_bic", _KS)
+@book.add("k11_best_k_by_bic")
 def k11(spark, sf_dir):
-    """Every k was tried; its criterion is not below that of the chosen one."""
+    """The information criterion at every k that was tried, and the k that is chosen."""
     best = _best_k(spark, sf_dir)["bic"]
-    rows = _scores(spark, sf_dir).where("measure = 'bic'")
-    low = F.min(F.when(F.col("k") == best, F.col("score"))).over(Window.partitionBy("measure"))
-    return rows.select("k", (F.col("score") >= low).alias("ok"))
+    return _scores(spark, sf_dir).where("measure = 'bic'").select("k", F.round("score", 4).alias("bic"), (F.col("k") == best).alias("chosen"))
 
 
 _RISK = " + ".join(
@@ -308,45 +284,65 @@ def _compared(spark, sf_dir):
     return kept(spark, "compared", cv.source_paths(sf_dir), build)
 
 
-_METHODS = "SELECT unnest(['hierarchical', 'gmm', 'ensemble']) AS method, true AS ok FROM (SELECT count(*) AS n FROM q_z) q WHERE n > 0"
-
-
-@book.add("k19_method_comparison", _METHODS)
+@book.add("k19_method_comparison")
 def k19(spark, sf_dir):
-    """Measures in their ranges, and the recommended method alone has the best silhouette."""
-    rows = _compared(spark, sf_dir).withColumn("all", F.lit(1))
-    top = F.max("silhouette").over(Window.partitionBy("all"))
-    chosen = F.sum(F.col("recommended").cast("int")).over(Window.partitionBy("all"))
-    ok = F.col("silhouette").between(-1, 1) & (F.col("calinski_harabasz") >= 0) & (F.col("davies_bouldin") >= 0) & (chosen == 1)
-    return rows.select("method", (ok & (~F.col("recommended") | (F.col("silhouette") == top))).alias("ok"))
+    """Quality of every method's clusters, and the one with the best silhouette."""
+    measures = [F.round(c, 6).alias(c) for c in ("silhouette", "calinski_harabasz", "davies_bouldin")]
+    return _compared(spark, sf_dir).select("method", *measures, "recommended")
 
 
-@book.add(
-    "k20_site_lookup",
-    "SELECT l.id, l.cluster, r.size, r.risk_level, 0.75::DOUBLE AS confidence, '0.75|0.25' AS probabilities FROM q_lab l JOIN q_risk r ON l.cluster = r.cluster",
-)
+@book.add("k20_site_lookup")
 def k20(spark, sf_dir):
-    features = staged_features(spark, sf_dir)
-    labels = _labels(spark, sf_dir).join(features.select(F.col("site_id").alias("id")), "id", "left_semi")
-    labels = labels.withColumn("probabilities", F.array(F.lit(0.75), F.lit(0.25)))
+    """Cluster, size, risk, confidence and probabilities of every site under the mixture."""
+    features, points = _points(spark, sf_dir)
+    labels = stage(cl.gaussian_mixture(points, K), "mixture")
     found = cl.site_lookup(labels, cl.cluster_profiles(features, labels, M))
-    return found.select("id", "cluster", "size", "risk_level", "confidence", F.array_join(F.col("probabilities").cast("array<string>"), "|").alias("probabilities"))
+    probabilities = F.transform("probabilities", lambda p: F.round(p, 6)).alias("probabilities")
+    return found.select("id", "cluster", "size", "risk_level", F.round("confidence", 6).alias("confidence"), probabilities)
+
+
+def _projection_sql(dims: int, wanted: int, doublings: int = 24) -> dict[str, str]:
+    """Principal components by repeated squaring of the covariance, each taken away before the next."""
+    n = f"range(1, {dims + 1})"
+    times = f"list_transform(m, lambda r: list_transform({n}, lambda j: list_dot_product(r, list_transform(m, lambda q: q[j]))))"
+    trace = f"list_sum(list_transform({n}, lambda i: m[i][i]))"
+    out = {
+        "q_xs": "SELECT entity_id AS id, list(z ORDER BY ord) AS x FROM q_z JOIN q_ord USING (metric) GROUP BY entity_id",
+        "q_cov": "SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(v ORDER BY j) AS r FROM (SELECT i, j, covar_samp(x[i], x[j]) AS v "
+        f"FROM q_xs, {n} AS a(i), {n} AS b(j) GROUP BY i, j) e GROUP BY i) f",
+    }
+    for k in range(wanted):
+        own = "q_cov" if k == 0 else f"q_rest{k}"
+        out[f"q_pow{k}x0"] = f"SELECT c, c AS m FROM {own}"
+        for d in range(doublings):
+            out[f"q_pow{k}x{d + 1}"] = (
+                f"SELECT c, list_transform(p, lambda r: list_transform(r, lambda v: v / t)) AS m FROM (SELECT c, {times} AS p, pow({trace}, 2) AS t FROM q_pow{k}x{d}) q"
+            )
+        # the longest column of the power is the component; its largest entry is positive
+        out[f"q_comp{k}"] = (
+            f"SELECT c, list_transform(v, lambda a: a * s / l) AS v FROM (SELECT c, v, sqrt(list_dot_product(v, v)) AS l, "
+            f"sign(v[list_position(list_transform(v, lambda a: round(abs(a), 9)), list_max(list_transform(v, lambda a: round(abs(a), 9))))]) AS s FROM "
+            f"(SELECT c, m[list_position(list_transform({n}, lambda i: m[i][i]), list_max(list_transform({n}, lambda i: m[i][i])))] AS v FROM q_pow{k}x{doublings}) w) u"
+        )
+        out[f"q_rest{k + 1}"] = (
+            f"SELECT list_transform({n}, lambda i: list_transform({n}, lambda j: c[i][j] - e * v[i] * v[j])) AS c FROM "
+            f"(SELECT c, v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS e FROM q_comp{k}) q"
+        )
+    return out
 
 
-@book.add("k21_projection", "SELECT l.id, l.cluster, r.risk_level, true AS ok FROM q_lab l JOIN q_risk r ON l.cluster = r.cluster")
+@book.add(
+    "k21_projection",
+    "SELECT l.id, l.cluster, r.risk_level, " + ", ".join(f"round(list_dot_product(x, (SELECT v FROM q_comp{k})), 4) AS {c}" for k, c in enumerate("xyz"))
+    + " FROM q_lab l JOIN q_risk r ON l.cluster = r.cluster JOIN q_xs s ON s.id = l.id",
+    **_projection_sql(len(M), 3),
+)
 def k21(spark, sf_dir):
-    """Components carry falling variance, do not correlate, and no point is farther from the
-    centre than in full space."""
+    """Every site's place along the three components that carry most variance."""
     features, points = _points(spark, sf_dir)
     labels = _labels(spark, sf_dir).join(points.select("id"), "id", "left_semi")
-    p = stage(cl.projection(points, labels, profiles=cl.cluster_profiles(features, labels, M)), "projection")
-    v = p.agg(*[F.var_pop(c).alias(c) for c in "xyz"], *[F.covar_pop(a, b).alias(a + b) for a, b in ("xy", "xz", "yz")])
-    falls = (F.col("v.x") >= F.col("v.y")) & (F.col("v.y") >= F.col("v.z"))
-    apart = (F.abs("v.xy") < 1e-6) & (F.abs("v.xz") < 1e-6) & (F.abs("v.yz") < 1e-6)
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    size = F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")
-    whole = attach_scalars(p.join(points, "id"), v.select(F.struct("*").alias("v")))
-    return whole.select("id", "cluster", "risk_level", (falls & apart & (size <= norm + 1e-6)).alias("ok"))
+    p = cl.projection(points, labels, profiles=cl.cluster_profiles(features, labels, M))
+    return p.select("id", "cluster", "risk_level", *[F.round(c, 4).alias(c) for c in "xyz"])
 
 
 @book.add(
@@ -374,11 +370,10 @@ def k23(spark, sf_dir):
     return s.select("id", cl.quality_label(F.col("silhouette")).alias("label"))
 
 
-@book.add("k24_scaled_comparison", _METHODS)
+@book.add("k24_scaled_comparison")
 def k24(spark, sf_dir):
     rows = cl.scaled_quality(_compared(spark, sf_dir))
-    ok = F.col("silhouette").between(-1, 1) & F.col("ch_scaled").between(0, 1) & F.col("db_inverted").between(0, 1)
-    return rows.select("method", ok.alias("ok"))
+    return rows.select("method", *[F.round(c, 6).alias(c) for c in ("silhouette", "ch_scaled", "db_inverted")])
 
 
 @book.add("k25_members_and_peers", "SELECT 'member' AS kind, id AS item FROM q_lab WHERE cluster = 2 UNION ALL SELECT 'peer', cluster || ':' || size || ':' || risk_level FROM q_risk WHERE cluster <> 2")
