@@ -516,11 +516,40 @@ def kolmogorov_tail(lam: str, terms: int = 100) -> Column:
 MIN_DRIFT_VALUES = 5
 
 
-def ks_two_sample(rows: DataFrame) -> DataFrame:
+#: Sizes of both samples up to which the law of the statistic is exact.
+EXACT_SIZE = 10_000
+
+
+def exact_tail(steps: int, m: int, n: int) -> float:
+    """P(the largest gap of two samples of sizes m and n is ``steps / (m n)`` or more), for samples of one continuous law.
+
+    All orders of the pooled sample are alike, so they are lattice paths from (0, 0) to (m, n). The
+    chance that the path to a point has left the band is found diagonal by diagonal from
+    the chances of the two points before it; it is summed directly, so small tails keep their digits.
+    """
+    i = np.arange(m + 1)
+    left = np.zeros(m + 1)
+    left[0] = steps <= 0
+    for k in range(1, m + n + 1):
+        low, high = max(0, k - n), min(k, m)
+        own = i[low : high + 1]
+        now = left[low : high + 1] * ((k - own) / k)
+        now[(1 if low == 0 else 0) :] += left[max(low - 1, 0) : high] * (own[(1 if low == 0 else 0) :] / k)
+        now[np.abs(own * n - (k - own) * m) >= steps] = 1.0
+        left[low : high + 1] = now
+    return float(left[m])
+
+
+def _exact_tails(steps: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([exact_tail(int(s), int(a), int(b)) for s, a, b in zip(steps, m, n, strict=True)], dtype=float)
+
+
+def ks_two_sample(rows: DataFrame, exact_size: int = EXACT_SIZE) -> DataFrame:
     """Kolmogorov–Smirnov statistic per feature over ``rows(feature, side, value)``.
 
     ``side`` is 'reference' or 'current'. Values collapse to counts per side before the
-    running totals, so repeated values cost one row. The p-value is the asymptotic law.
+    running totals, so repeated values cost one row. The p-value is exact while both sides have
+    ``exact_size`` values at most, and follows the asymptotic law beyond.
     """
     ref = F.sum(F.when(F.col("side") == "reference", 1).otherwise(0)).alias("ref")
     cur = F.sum(F.when(F.col("side") == "current", 1).otherwise(0)).alias("cur")
@@ -531,8 +560,15 @@ def ks_two_sample(rows: DataFrame) -> DataFrame:
     out = enough.groupBy("feature").agg(
         F.max(gap).alias("statistic"), F.first("all_ref").alias("n_reference"), F.first("all_cur").alias("n_current")
     )
-    pooled = F.col("n_reference") * F.col("n_current") / (F.col("n_reference") + F.col("n_current"))
-    return out.withColumn("lam", F.sqrt(pooled) * F.col("statistic")).withColumn("p_value", kolmogorov_tail("lam")).drop("lam")
+    out = stage(out, "statistics")
+    m, n = F.col("n_reference"), F.col("n_current")
+    lam = F.sqrt(m * n / (m + n)) * F.col("statistic")
+    few = F.greatest(m, n) <= exact_size
+    exact = F.pandas_udf(_exact_tails, "double")
+    law = out.where(~few).withColumn("lam", lam).withColumn("p_value", kolmogorov_tail("lam")).drop("lam")
+    # one row per feature; the statistic is a whole number of steps of 1 / (m n)
+    steps = F.round(F.col("statistic") * m * n).cast("long")
+    return law.unionByName(out.where(few).withColumn("p_value", exact(steps, m, n)))
 
 
 def drift_verdict(tests: DataFrame, features_seen: int, alpha: float = 0.05) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -9,10 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..plans.ordering import top_per_group
 from ..plans.staging import stage
+from . import set_join
 
 JACCARD_FLOOR = 0.3
 MIN_LENGTH, MAX_LENGTH = 2, 199
@@ -148,37 +151,75 @@ def vector_top_k(base: DataFrame, queries: DataFrame, k: int = 5, query_block: i
     return top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 
 
+#: Vectors that a bucket holds on average.
+BUCKET_ROWS = 4
+
+
+def planes_for(rows: int) -> int:
+    """Directions per table, so that buckets stay of one size however many vectors there are."""
+    return max(1, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS)))
+
+
 def bucketed_top_k(
-    base: DataFrame, queries: DataFrame, k: int = 5, planes: int = 6, tables: int = 48, seed: int = 42
+    base: DataFrame, queries: DataFrame, k: int = 5, planes: int | None = None, tables: int = 24, probes: int = 8, rated: int = 200, seed: int = 42
 ) -> DataFrame:
-    """Cosine top-k among vectors that share a bucket: ``query_id, id, similarity, rank``.
-
-    In each of ``tables`` tables a vector's bucket is the signs of its products with ``planes``
-    random directions. A query meets only its own buckets, so the work per query falls with
-    the number of buckets; ``planes`` should grow with the logarithm of ``base``. Approximate: the
-    registered query measures the recall against the exact scan.
+    """Cosine top-k by random directions: ``query_id, id, similarity, rank, candidates``.
+
+    In each of ``tables`` tables a vector's bucket is the signs of its products with ``planes`` random
+    directions, by default as many as keep buckets of one size, and vectors are filed under it once. A query
+    looks into its own bucket and those that differ in the directions it is closest to the border of, ``probes``
+    in all. Vectors are first counted by the tables they were met in, nearer buckets counting more; the
+    ``rated`` best of a query are compared in full. Work per query therefore does not grow with
+    ``base``. Approximate: the registered query measures the recall against the exact scan.
     """
     first = base.select("vec").first()
     dims = len(first["vec"]) if first else 0
+    planes = planes or planes_for(base.count())
     directions = np.random.default_rng(seed).normal(size=(tables, planes, dims))
+    power = 1 << np.arange(planes, dtype=np.int64)
+    shift = np.arange(tables, dtype=np.int64)[None, :] << planes
+    # sets of directions to flip, those with the fewest first; a query orders them by what they cost it
+    some = min(planes, 6)
+    flips = np.array([[bool(m >> i & 1) for i in range(some)] for m in range(1 << some)])
+
+    def products(pdf: pd.DataFrame) -> np.ndarray:
+        return np.einsum("tpd,nd->ntp", directions, np.stack(pdf["vec"].to_numpy()).astype(float), optimize=True)
 
-    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        power = 1 << np.arange(planes)
+    def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf["vec"].to_numpy()).astype(float)
-                sign = np.einsum("tpd,nd->ntp", directions, x) > 0
-                yield pdf.assign(bucket=list((sign @ power + np.arange(tables) * (1 << planes)).astype(np.int64)))
-
-    def hashed(df: DataFrame, key: str) -> DataFrame:
-        rows = stage(df.select(key, "vec").mapInPandas(buckets, f"{key} long, vec array<double>, bucket array<long>"), "buckets")
-        return rows.select(key, F.explode("bucket").alias("bucket")), rows.select(key, "vec")
-
-    (held, b_vec), (asked, q_vec) = hashed(base, "id"), hashed(queries, "query_id")
-    pairs = asked.join(held, "bucket").select("query_id", "id").distinct()
-    both = pairs.join(q_vec, "query_id").join(b_vec.withColumnRenamed("vec", "other"), "id")
-    rated = both.select("query_id", "id", tx.cosine("vec", "other").alias("similarity"))
-    return top_per_group(rated, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+                yield pdf[["id"]].assign(bucket=list(((products(pdf) > 0) @ power + shift)))
+
+    def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = products(pdf)
+            close = np.argsort(np.abs(x), axis=2, kind="stable")[:, :, :some]
+            cost = np.take_along_axis(x, close, 2) ** 2 @ flips.T
+            best = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+            mask = (flips[best] * power[close][:, :, None, :]).sum(3)
+            own = ((x > 0) @ power)[:, :, None] ^ mask
+            yield pdf[["query_id"]].assign(bucket=list((own + shift[:, :, None]).reshape(len(pdf), -1)), turn=[np.tile(np.arange(best.shape[2]), tables)] * len(pdf))
+
+    held = stage(base.select("id", "vec").mapInPandas(filed, "id long, bucket array<long>").select("id", F.explode("bucket").alias("bucket")), "filed")
+    asked = queries.select("query_id", "vec").mapInPandas(probed, "query_id long, bucket array<long>, turn array<int>")
+    asked = asked.select("query_id", F.inline(F.arrays_zip("bucket", "turn")))
+    met = asked.join(held, "bucket").groupBy("query_id", "id").agg(F.sum(1 / (1 + F.col("turn"))).alias("weight"))
+    count = F.count(F.lit(1)).over(Window.partitionBy("query_id")).alias("candidates")
+    met = met.select("query_id", "id", "weight", count)
+    best = top_per_group(met, ["query_id"], [F.desc("weight"), F.asc("id")], rated).drop("rank", "weight")
+    both = best.join(queries.select("query_id", "vec"), "query_id").join(base.select("id", F.col("vec").alias("other")), "id")
+    scored = both.select("query_id", "id", tx.cosine("vec", "other").alias("similarity"), "candidates")
+    return top_per_group(scored, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+
+
+def similar_values(values: DataFrame, keywords: DataFrame, percent: int) -> DataFrame:
+    """``keyword, value, jaccard``: all pairs whose shingles are similar enough; exact, where ``lsh_candidates`` can miss pairs."""
+    left = keywords.select(F.col("keyword").alias("id"), tx.shingles("keyword").alias("items")).distinct()
+    right = values.select(F.col("value").alias("id"), tx.shingles("value").alias("items")).distinct()
+    found = set_join.similar_sets(left, right, percent)
+    return found.select(F.col("u").alias("keyword"), F.col("v").alias("value"), "jaccard")
 
 
 def _columns_long(df: DataFrame) -> DataFrame:
