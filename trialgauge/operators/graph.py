@@ -14,10 +14,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans import clinical_views as cv
 from ..plans.ordering import top_per_group
-from ..plans.staging import stage
+from ..plans.staging import stage, stage_bucketed
 from .joins import both_directions, one_hop
 
 MAX_HOPS = 4
@@ -325,14 +326,21 @@ def site_risk_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("issues"), "site_id")
 
 
-def nearest_targets(nodes: DataFrame, edges: DataFrame, target_type: str, max_hops: int = MAX_HOPS) -> DataFrame:
+def adjacency(edges: DataFrame) -> DataFrame:
+    """``node, neighbour`` in both directions, stored in buckets of ``node``: searches that go hop by hop join it
+    without moving an edge."""
+    return stage_bucketed(both_directions(edges).select("node", "neighbour").distinct(), "node", "adjacency")
+
+
+def nearest_targets(nodes: DataFrame, edges: DataFrame, target_type: str, max_hops: int = MAX_HOPS, links: DataFrame | None = None) -> DataFrame:
     """``id, target, hops``: the closest node of a type, ties to the smallest id.
 
     The search runs once, outward from all targets: a node at distance h takes the
     smallest target among its neighbours at distance h-1. Each node carries one target,
-    so a hub's edges cost one aggregate row per neighbour.
+    so a hub's edges cost one aggregate row per neighbour. ``links`` is the graph's ``adjacency``
+    if it is at hand.
     """
-    links = stage(both_directions(edges).select("node", "neighbour").distinct(), "links")
+    links = adjacency(edges) if links is None else links
     last = stage(by_type(nodes, target_type).select("id", F.col("id").alias("target"), F.lit(0).alias("hops")), "hops")
     seen = last
     for hop in range(1, max_hops + 1):
@@ -356,12 +364,13 @@ def count_by_target(
     filter_property: str | None = None,
     filter_value: str | None = None,
     limit: int = 10,
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """Sources of one type, optionally filtered, counted at their nearest target."""
     src = by_type(nodes, source_type)
     if filter_property and filter_value:
         src = src.where(F.coalesce(F.lower(prop(filter_property)).contains(filter_value.lower()), F.lit(False)))
-    near = nearest_targets(nodes, edges, target_type)
+    near = nearest_targets(nodes, edges, target_type, links=links)
     counts = src.select("id").join(near, "id").groupBy("target").agg(F.count(F.lit(1)).alias("n"))
     label = F.coalesce(prop("study_id"), prop("site_id"), prop("country_code"), F.element_at(F.split("id", ":"), -1))
     named = counts.join(nodes.select(F.col("id").alias("target"), label.alias("name")), "target")
@@ -396,15 +405,66 @@ def keyword_retrieve(index: DataFrame, query: str, top_k: int = TOP_K) -> DataFr
     ).limit(top_k)
 
 
-def heuristic_score(query: str) -> Column:
-    """Token overlap with the query plus the boost of the node type."""
-    q = F.array(*[F.lit(w) for w in query_words(query)])
-    node = words(F.concat_ws(" ", "id", "node_type", *[prop(p) for p in SCORED_PROPERTIES]))
-    overlap = F.size(F.array_intersect(q, node))
-    union = F.size(q) + F.size(node) - overlap
+def relevance(query: Column, node: Column, node_type: Column) -> Column:
+    """Overlap of the words of query and node plus the boost of the node type."""
+    overlap = F.size(F.array_intersect(query, node))
+    union = F.size(query) + F.size(node) - overlap
     base = F.when(F.size(node) > 0, overlap / (union + F.lit(1e-6))).otherwise(0.0)
     boost = F.create_map(*[F.lit(x) for kv in TYPE_BOOST.items() for x in kv])
-    return base + F.coalesce(F.try_element_at(boost, F.col("node_type")), F.lit(0.0))
+    return base + F.coalesce(F.try_element_at(boost, node_type), F.lit(0.0))
+
+
+def node_words() -> Column:
+    return words(F.concat_ws(" ", "id", "node_type", *[prop(p) for p in SCORED_PROPERTIES]))
+
+
+def heuristic_score(query: str) -> Column:
+    """Token overlap with the query plus the boost of the node type."""
+    return relevance(F.array(*[F.lit(w) for w in query_words(query)]), node_words(), F.col("node_type"))
+
+
+def retrieve_many(index: DataFrame, questions: DataFrame, top_k: int = TOP_K) -> DataFrame:
+    """``qid, id, node_type, score``: for every row of ``questions(qid, text)`` its best nodes by share of matched words."""
+    asked = questions.select("qid", words(F.col("text")).alias("words"))
+    each = asked.select("qid", F.size("words").alias("n"), F.explode("words").alias("word"))
+    hits = index.join(each, "word").groupBy("qid", "n", "id", "node_type").agg(F.count(F.lit(1)).alias("matched"))
+    scored = hits.select("qid", "id", "node_type", (F.col("matched") / F.col("n").cast("double")).alias("score"))
+    return top_per_group(scored, ["qid"], [F.desc("score"), F.asc("id")], top_k).drop("rank")
+
+
+def expand_many(
+    nodes: DataFrame, links: DataFrame, questions: DataFrame, start: DataFrame, n_hops: int = N_HOPS, beam: int = BEAM_WIDTH
+) -> DataFrame:
+    """``qid, id, node_type, hop, similarity, visit_count`` of all nodes that the beam of every question visits.
+
+    ``links`` is the graph's ``adjacency``. A layer is a table of all questions' nodes: it joins the
+    adjacency, loses the visited nodes by an anti-join, and keeps the best of each question. It holds
+    ``beam`` rows per question at most, however many edges its nodes have.
+    """
+    asked = stage(questions.select("qid", words(F.col("text")).alias("query")), "asked")
+    known = stage(nodes.select("id", "node_type", node_words().alias("words")), "words")
+    layer = stage(start.select("qid", "id", "node_type", F.lit(0).alias("hop"), F.col("score").alias("similarity"), F.lit(0).alias("visit_count")), "layer")
+    visited = layer
+    for hop in range(1, n_hops + 1):
+        step = links.join(layer.select("qid", F.col("id").alias("node")), "node").select("qid", F.col("neighbour").alias("id")).distinct()
+        step = step.join(visited.select("qid", "id"), ["qid", "id"], "left_anti")
+        scored = step.join(known, "id").join(asked, "qid")
+        scored = scored.select("qid", "id", "node_type", relevance(F.col("query"), F.col("words"), F.col("node_type")).alias("score"))
+        best = top_per_group(scored, ["qid"], [F.desc(F.round("score", 12)), F.asc("id")], beam)
+        layer = stage(best.select("qid", "id", "node_type", F.lit(hop).alias("hop"), F.lit(1.0).alias("similarity"), F.lit(1).alias("visit_count")), "layer")
+        if layer.isEmpty():
+            break
+        visited = visited.unionByName(layer)
+    return visited
+
+
+def helpful_many(visited: DataFrame, weight: float = SIMILARITY_WEIGHT, threshold: float = PRUNE_THRESHOLD, top_k: int = TOP_K) -> DataFrame:
+    """``expand_many``'s rows with ``helpfulness`` and whether the node is ``kept`` for its question."""
+    most = F.greatest(F.lit(1), F.max("visit_count").over(Window.partitionBy("qid")))
+    score = F.lit(weight) * F.col("similarity") + F.lit(1 - weight) * F.col("visit_count") / most
+    turn = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("helpfulness"), "id"))
+    rated = visited.withColumn("helpfulness", score).withColumn("turn", turn)
+    return rated.withColumn("kept", (F.col("helpfulness") >= threshold) & (F.col("turn") <= top_k)).drop("turn")
 
 
 def beam_expand(

@@ -161,16 +161,17 @@ def planes_for(rows: int) -> int:
 
 
 def bucketed_top_k(
-    base: DataFrame, queries: DataFrame, k: int = 5, planes: int | None = None, tables: int = 24, probes: int = 8, rated: int = 200, seed: int = 42
+    base: DataFrame, queries: DataFrame, k: int = 5, planes: int | None = None, tables: int = 24, probes: int = 32, rated: int | None = None, seed: int = 42
 ) -> DataFrame:
     """Cosine top-k by random directions: ``query_id, id, similarity, rank, candidates``.
 
     In each of ``tables`` tables a vector's bucket is the signs of its products with ``planes`` random
     directions, by default as many as keep buckets of one size, and vectors are filed under it once. A query
     looks into its own bucket and those that differ in the directions it is closest to the border of, ``probes``
-    in all. Vectors are first counted by the tables they were met in, nearer buckets counting more; the
-    ``rated`` best of a query are compared in full. Work per query therefore does not grow with
-    ``base``. Approximate: the registered query measures the recall against the exact scan.
+    in all. All vectors met are compared in full, or the ``rated`` best of a query by the tables they
+    were met in, nearer buckets counting more. Buckets met per query do not grow with
+    ``base``. Approximate: the registered query measures the recall against the exact scan; vectors
+    without near neighbours need many probes, close ones few.
     """
     first = base.select("vec").first()
     dims = len(first["vec"]) if first else 0
@@ -208,8 +209,8 @@ def bucketed_top_k(
     met = asked.join(held, "bucket").groupBy("query_id", "id").agg(F.sum(1 / (1 + F.col("turn"))).alias("weight"))
     count = F.count(F.lit(1)).over(Window.partitionBy("query_id")).alias("candidates")
     met = met.select("query_id", "id", "weight", count)
-    best = top_per_group(met, ["query_id"], [F.desc("weight"), F.asc("id")], rated).drop("rank", "weight")
-    both = best.join(queries.select("query_id", "vec"), "query_id").join(base.select("id", F.col("vec").alias("other")), "id")
+    best = met if rated is None else top_per_group(met, ["query_id"], [F.desc("weight"), F.asc("id")], rated)
+    both = best.select("query_id", "id", "candidates").join(queries.select("query_id", "vec"), "query_id").join(base.select("id", F.col("vec").alias("other")), "id")
     scored = both.select("query_id", "id", tx.cosine("vec", "other").alias("similarity"), "candidates")
     return top_per_group(scored, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 

@@ -92,6 +92,11 @@ def _graph(spark, sf_dir):
     return kept(spark, "graph", cv.source_paths(sf_dir), lambda: g.build_from_views(spark, sf_dir))
 
 
+def _links(spark, sf_dir):
+    """The graph's adjacency in buckets, stored once per input."""
+    return kept(spark, "adjacency", cv.source_paths(sf_dir), lambda: g.adjacency(_graph(spark, sf_dir)[1]))
+
+
 _STATS = (
     "SELECT 'node' AS kind, node_type AS type, count(*) AS n FROM {n} GROUP BY 2 UNION ALL SELECT 'edge', edge_type, count(*) FROM {e} GROUP BY 2"
 )
@@ -258,7 +263,7 @@ _HOPS = {
 )
 def g21(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return g.count_by_target(nodes, edges, "SafetyDiscrepancy", "Country", "review_status", "Pending", 10)
+    return g.count_by_target(nodes, edges, "SafetyDiscrepancy", "Country", "review_status", "Pending", 10, _links(spark, sf_dir))
 
 
 @book.add(
@@ -268,7 +273,7 @@ def g21(spark, sf_dir):
 )
 def g21_direct(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return g.count_by_target(nodes, edges, "Subject", "Site", limit=10)
+    return g.count_by_target(nodes, edges, "Subject", "Site", limit=10, links=_links(spark, sf_dir))
 
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^a-zA-Z0-9]'), lambda w: w <> ''))"
@@ -337,6 +342,42 @@ def g25(spark, sf_dir):
     return _visited(spark, sf_dir).select("id", "node_type", "hop", F.round("similarity", 6).alias("similarity"))
 
 
+_QUESTIONS = {
+    "q_ask": "SELECT s_suppkey AS qid, " + _WORDS.format(t="('pending visit of subject ' || (7 * s_suppkey) || ' at site ' || s_suppkey)") + " AS ws FROM supplier",
+    "q_askw": "SELECT qid, len(ws)::DOUBLE AS n, unnest(ws) AS word FROM q_ask",
+    "q_met": "SELECT qid, n, id, node_type, count(*) AS hits FROM q_words JOIN q_askw USING (word) GROUP BY ALL",
+    "q_many0": "SELECT qid, id, node_type, score FROM (SELECT qid, id, node_type, hits / n AS score, row_number() OVER (PARTITION BY qid ORDER BY hits / n DESC, id) AS rn FROM q_met) x WHERE rn <= 15",
+    "q_size": "SELECT id, node_type, count(*) AS c FROM q_words GROUP BY ALL",
+    **{
+        f"q_many{h}": f"SELECT qid, id, node_type, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS rn FROM (SELECT s.qid, s.id, z.node_type, "
+        f"coalesce(m.hits, 0) / (len(a.ws)::DOUBLE + z.c - coalesce(m.hits, 0) + 1e-6::DOUBLE) + {_BOOST.replace('node_type', 'z.node_type', 1)} AS score FROM "
+        f"(SELECT DISTINCT p.qid, b.neighbour AS id FROM q_many{h - 1} p JOIN q_both b ON b.node = p.id) s JOIN q_size z ON z.id = s.id JOIN q_ask a ON a.qid = s.qid "
+        f"LEFT JOIN q_met m ON m.qid = s.qid AND m.id = s.id WHERE "
+        + " AND ".join(f"NOT EXISTS (SELECT 1 FROM q_many{o} v WHERE v.qid = s.qid AND v.id = s.id)" for o in range(h)) + ") x) y WHERE rn <= 20"
+        for h in range(1, 4)
+    },
+    "q_seen": "SELECT qid, id, node_type, 0 AS hop, score AS similarity, 0 AS visits FROM q_many0 "
+    + " ".join(f"UNION ALL SELECT qid, id, node_type, {h}, 1.0, 1 FROM q_many{h}" for h in range(1, 4)),
+    "q_help": "SELECT *, 0.5 * similarity + 0.5 * visits / greatest(1, max(visits) OVER (PARTITION BY qid)) AS h FROM q_seen",
+}
+
+
+@book.add(
+    "g25_questions_at_once",
+    "SELECT qid, id, node_type, hop, round(similarity, 6) AS similarity, round(h, 6) AS helpfulness, h >= 0.2 AND row_number() OVER (PARTITION BY qid ORDER BY h DESC, id) <= 15 AS kept FROM q_help",
+    **_QUESTIONS,
+)
+def g25_many(spark, sf_dir):
+    """One question per site, all retrieved, expanded and pruned together."""
+    nodes, _ = _graph(spark, sf_dir)
+    key = F.col("s_suppkey")
+    text = F.concat(F.lit("pending visit of subject "), (7 * key).cast("string"), F.lit(" at site "), key.cast("string"))
+    asked = cv.table(spark, sf_dir, "supplier").select(key.alias("qid"), text.alias("text"))
+    start = g.retrieve_many(g.keyword_index(nodes), asked)
+    seen = g.helpful_many(g.expand_many(nodes, _links(spark, sf_dir), asked, start))
+    return seen.select("qid", "id", "node_type", "hop", *[F.round(c, 6).alias(c) for c in ("similarity", "helpfulness")], "kept")
+
+
 _HELP = "0.5 * similarity + 0.5 * visit_count / greatest(1, (SELECT max(visit_count) FROM q_visited))"
 
 
