@@ -348,3 +348,26 @@ def test_secrets_in_nested_and_broken_layers_are_found(monkeypatch):
         assert f"assign:2:{len(text) + 2}" in secret_scan.secret_row(f"a {text} b")[4].split(","), text[:60]
     # a stretch of plain letters is no layer
     assert secret_scan.secret_row("a Donaudampfschifffahrtsgesellschaft b")[4:] == ("", 0)
+
+
+def test_secrets_beside_escapes_and_in_other_forms():
+    hidden = "abcdef123xyz"
+    u = "".join(f"\\u{ord(c):04x}" for c in hidden)
+    pct = "".join(f"%{ord(c):02x}" for c in hidden)
+    noise = "".join(random.Random(1).choice("abcdefgh \n") for _ in range(2000)).encode()
+    lines = lambda data: base64.encodebytes(data).decode().rstrip("\n")
+    cases = [
+        (f'{{"password": "{u}"}}', 2), (f'password: "{pct}"', 0), ("password+%3D+abcdef123xyz", 0), (f"pass\\x77ord={hidden}", 0), (f"pass\\u{{77}}ord={hidden}", 0),
+        (f"pass\\U00000077ord={hidden}", 0), (f"pass&#119;ord={hidden}", 0), (f"pass&#x77;ord={hidden}", 0), (f"pa%73sword%20=%20{hidden}", 0),
+        (f"password = \\u0022{hidden}", 0), (f"password: &#34;\\u0061bcdef123", 0), (f"password: %2561bc%2564efg{hidden}", 0),
+        (lines(noise[:60] + b" password=" + hidden.encode() + b" " + noise), 0), (lines(gzip.compress(noise + b" password=" + hidden.encode())), 0),
+    ]
+    for text, start in cases:
+        spans = [x.split(":") for x in secret_scan.secret_row(f"a\n{text}\nb")[4].split(",") if x]
+        assert any(k == "assign" and (start is None or int(a) == 2 + start) for k, a, _ in spans), (text[:60], spans)
+    for text, start in cases[:2]:
+        spans = secret_scan.secret_row(text)[4].split(",")
+        assert f"assign:{start}:{len(text) - text.count('}') - 1}" in spans
+    assert secret_scan.secret_row("password: 100%25 sure, &#8212; and \\u00e9")[4] == ""
+    for run in ("%41" * 100_000, "\\x41" * 50_000, "&#65;" * 50_000, ("A" * 76 + "\n") * 3000):
+        secret_scan.secret_row(run)

@@ -1,20 +1,23 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is scanned as it stands. Then every stretch that looks encoded (URL escapes, Unicode
-escapes, base64, and what base64 wraps in zlib or gzip) is decoded into a layer, the layer is
-scanned and searched for further stretches, and so on until no new layer appears. Layers
-already seen for the same stretch are skipped, so cycles end. A finding in a layer is
-reported as the outermost encoded stretch of the original text.
+escapes, base64 in one or several lines, and what base64 wraps in zlib or gzip) is decoded into a
+layer, the layer is scanned and searched for further stretches, and so on until no new layer
+appears. Layers already seen for the same stretch are skipped, so cycles end. A finding in such a
+layer is reported as the outermost encoded stretch of the original text. Escapes are also decoded in
+place, so that a plain key and an escaped value meet; a finding there that holds a decoded
+character is reported from its first to its last character in the original text.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from urllib.parse import unquote_to_bytes
 
@@ -36,7 +39,13 @@ _ASSIGN_HINT = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"'\x20]
 _URL_RUN, _URL_ESCAPE = re.compile(r"[A-Za-z0-9+/_.=:%-]+"), re.compile(r"%[0-9A-Fa-f]{2}")
 _UNICODE_RUN = re.compile(r"[\x21-\x7E]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})")
+#: Base64 that tools break into lines.
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{40,}\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
+# escapes of one code unit or code point: \u0070, \x70, \u{70}, \U00000070, &#112;, &#x70;
+_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_ESCAPE_HINT = re.compile(r"\\[uUx]|&#")
+# neighbouring escapes are one piece, so that bytes and surrogates of one character stay together
+_URL_PIECE, _ESCAPE_PIECE = re.compile(r"(?:%[0-9A-Fa-f]{2})+"), re.compile(f"(?:{_ESCAPE.pattern})+")
 
 #: Compressed data is inflated in pieces and read in windows of about this many bytes that overlap: a secret longer than
 #: the overlap, or an encoded stretch longer than a window, can be cut where two windows meet.
@@ -132,11 +141,61 @@ def _from_url(piece: str) -> str:
     return unquote_to_bytes(piece).decode("utf-8", "replace")
 
 
+def _character(m: re.Match) -> str:
+    number = int(m[6]) if m[6] else int(m[m.lastindex], 16)
+    return chr(number) if number < 0x110000 else "\ufffd"
+
+
 def _from_unicode(piece: str) -> str:
-    out = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), piece)
+    out = _ESCAPE.sub(_character, piece)
     return out.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+class InPlace:
+    """A text with its escapes decoded, and where each of its characters comes from."""
+
+    def __init__(self, text: str, pieces: re.Pattern, decode: Callable[[str], str]) -> None:
+        parts, self.starts, self.ends, self.before, self.after, at, to = [], [], [], [], [], 0, 0
+        for m in pieces.finditer(text):
+            found = decode(m[0])
+            to += m.start() - at
+            parts += [text[at : m.start()], found]
+            self.starts.append(to)
+            to += len(found)
+            self.ends.append(to)
+            self.before.append(m.start())
+            self.after.append(m.end())
+            at = m.end()
+        self.text = "".join([*parts, text[at:]])
+
+    def origin(self, start: int, end: int) -> tuple[int, int] | None:
+        """The stretch of the encoded text behind a stretch that holds a decoded character."""
+        first = bisect.bisect_right(self.ends, start)
+        last = bisect.bisect_left(self.starts, end) - 1
+        if first > last:
+            return None
+        shift = self.after[first - 1] - self.ends[first - 1] if first else 0
+        low = self.before[first] if self.starts[first] <= start else start + shift
+        high = self.after[last] if self.ends[last] >= end else end + self.after[last] - self.ends[last]
+        return low, high
+
+
+def _whole(inner: InPlace, start: int, end: int) -> tuple[int, int]:
+    """Like ``origin``, for any stretch."""
+    if (found := inner.origin(start, end)) is not None:
+        return found
+    before = bisect.bisect_right(inner.ends, start)
+    shift = inner.after[before - 1] - inner.ends[before - 1] if before else 0
+    return start + shift, end + shift
+
+
+def in_place(text: str) -> Iterator[InPlace]:
+    if "%" in text and _URL_ESCAPE.search(text):
+        yield InPlace(text, _URL_PIECE, _from_url)
+    if _ESCAPE_HINT.search(text) and _ESCAPE.search(text):
+        yield InPlace(text, _ESCAPE_PIECE, _from_unicode)
+
+
 def layers(text: str) -> Iterator[tuple[int, int, str, bool]]:
     """Start, end and decoded form of every encoded stretch of a text, and whether it is text for sure;
     undecodable bytes become replacement characters."""
@@ -144,10 +203,18 @@ def layers(text: str) -> Iterator[tuple[int, int, str, bool]]:
         for m in _URL_RUN.finditer(text):
             if _URL_ESCAPE.search(m[0]):
                 yield m.start(), m.end(), _from_url(m[0]), True
-    if "\\u" in text:
+                if "+" in m[0]:
+                    # in a query a plus is a blank
+                    yield m.start(), m.end(), _from_url(m[0].replace("+", " ")), True
+    if _ESCAPE_HINT.search(text):
         for m in _UNICODE_RUN.finditer(text):
             if _ESCAPE.search(m[0]):
                 yield m.start(), m.end(), _from_unicode(m[0]), True
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            for data in _from_base64(re.sub(r"\s+", "", m[0])):
+                if data:
+                    yield m.start(), m.end(), data.decode("utf-8", "replace"), _is_text(data)
     for m in _BASE64.finditer(text):
         for data in _from_base64(m[0]):
             if data:
@@ -155,7 +222,7 @@ def layers(text: str) -> Iterator[tuple[int, int, str, bool]]:
 
 
 def unwrap(text: str) -> tuple[list[Span], int]:
-    """Findings inside decoded layers, at the outermost stretch, and the number of layers.
+    """Findings inside decoded layers, mapped to the text, and the number of layers.
 
     Any long word passes for base64, so a decoded stretch that is not all text counts as a layer only if
     it has a finding; it is searched for further stretches all the same.
@@ -163,23 +230,51 @@ def unwrap(text: str) -> tuple[list[Span], int]:
     found: set[Span] = set()
     seen: set[tuple[int, int, bytes]] = set()
     n_layers = 0
-    work: list[tuple[tuple[int, int] | None, Iterator]] = [(None, layers(text))]
+    digest = lambda layer: hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest()
+    # a layer's place maps its stretches to the text; None where a stretch holds nothing decoded
+    whole = lambda start, end: (start, end)
+    work: list[tuple[Callable, Iterator]] = [(whole, layers(text))]
+
+    def decoded_in_place(layer: str, place: Callable) -> None:
+        nonlocal n_layers
+        for inner in in_place(layer):
+            key = *place(0, len(layer)), digest(inner.text)
+            if key in seen:
+                continue
+            seen.add(key)
+            n_layers += 1
+
+            def through(start: int, end: int, inner: InPlace = inner) -> tuple[int, int] | None:
+                origin = inner.origin(start, end)
+                return None if origin is None else place(*origin)
+
+            for start, kind, end in scan(inner.text):
+                if (at := through(start, end)) is not None:
+                    found.add((at[0], kind, at[1]))
+            work.append((through, layers(inner.text)))
+            decoded_in_place(inner.text, lambda start, end, inner=inner: place(*_whole(inner, start, end)))
+
+    decoded_in_place(text, whole)
     while work:
-        outer, source = work[-1]
+        place, source = work[-1]
         item = next(source, None)
         if item is None:
             work.pop()
             continue
-        start, end = outer or item[:2]
+        at = place(*item[:2])
+        if at is None:
+            continue
+        start, end = at
         layer, sure = item[2:]
-        key = start, end, hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest()
+        key = start, end, digest(layer)
         if key in seen:
             continue
         seen.add(key)
         hits = scan(layer)
         found |= {(start, kind, end) for _, kind, _ in hits}
         n_layers += sure or bool(hits)
-        work.append(((start, end), layers(layer)))
+        work.append((lambda _, __, at=at: at, layers(layer)))
+        decoded_in_place(layer, lambda _, __, at=at: at)
     return sorted(found), n_layers
 
 
