@@ -23,7 +23,7 @@ from ..plans.ordering import top_per_group
 from ..plans.staging import stage
 from .components import connected_components
 from .joins import attach_scalars
-from .neighbours import bridges, effective_neighbours, nearest, weighted_vectors
+from .neighbours import LEAF_ROWS, bridges, effective_neighbours, grow_tree, nearest, nearest_outside, weighted_vectors
 
 SEED, RESTARTS = 42, 10
 GMM_RESTARTS = 5
@@ -119,6 +119,79 @@ def single_linkage(points: DataFrame, distance: float) -> DataFrame:
     return dbscan(points, eps=distance, min_points=1)
 
 
+# ---- merge tree ----
+
+
+def merge_tree(points: DataFrame, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``members(id, vid)`` and ``merges(rank, height, u, v)``: the merges of single linkage, lowest first.
+
+    They are the edges of the shortest spanning tree over distinct vectors (Borůvka, 1926): in a
+    round every component takes its shortest edge to another one, so at most log2 of the vectors
+    many rounds are needed. Most edges come from the nearest-neighbour lists. A point whose list stays inside
+    its component and ends below the component's best edge looks further, as far as that
+    edge. Edges of one length are ordered by their ends, which keeps the tree free of circles. One
+    tree answers every cut: ``cut_at`` a distance or ``cut_into`` a number of clusters.
+    """
+    pts = stage(points, "points")
+    vectors = stage(weighted_vectors(pts), "vectors")
+    members = pts.join(vectors.select("vid", "vec"), "vec").select("id", "vid")
+    nodes = grow_tree(vectors, leaf_rows)
+    listed = stage(nearest(vectors, _LINKS, leaf_rows).where(F.col("vid") != F.col("nid")).select("vid", "nid", "distance"), "near")
+    # a list that is all there is leaves nothing to look for
+    far = listed.groupBy("vid").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n"))
+    part = stage(vectors.select("vid", F.col("vid").alias("component")), "parts")
+    edges = None
+    edge = F.struct(F.col("distance").alias("w"), F.least("vid", "nid").alias("u"), F.greatest("vid", "nid").alias("v"))
+    while part.select("component").distinct().limit(2).count() > 1:
+        other = part.select(F.col("vid").alias("nid"), F.col("component").alias("there"))
+        out = listed.join(part, "vid").join(other, "nid").where(F.col("component") != F.col("there"))
+        ends = stage(out.groupBy("component").agg(F.min(edge).alias("edge")), "edges")
+        placed = stage(vectors.select("vid", "vec").join(part, "vid"), "placed")
+        # a component that no list leaves reaches as far as one known point outside
+        two = placed.orderBy("vid").limit(1).unionByName(placed.join(placed.agg(F.min_by("component", "vid").alias("first")), F.col("component") != F.col("first")).drop("first").orderBy("vid").limit(1))
+        two = two.select(F.col("component").alias("there"), F.col("vec").alias("outside"))
+        gap = F.sqrt(F.aggregate(F.zip_with("vec", "outside", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+        first = placed.groupBy("component").agg(F.min_by("vec", "vid").alias("vec"))
+        known = first.join(F.broadcast(two), F.col("component") != F.col("there")).groupBy("component").agg(F.min(gap).alias("gap"))
+        bound = known.join(ends, "component", "left").select("component", F.coalesce("edge.w", F.col("gap") * (1 + 1e-9)).alias("reach"))
+        stays = out.select("vid").distinct()
+        asking = placed.join(stays, "vid", "left_anti").join(far, "vid", "left").join(bound, "component")
+        asking = stage(asking.where((F.coalesce("n", F.lit(0)) >= _LINKS) & (F.col("far") <= F.col("reach"))).select("vid", "vec", "component", "reach"), "asking")
+        if not asking.isEmpty():
+            more = nearest_outside(placed, asking, nodes, leaf_rows)
+            ends = stage(ends.unionByName(more).groupBy("component").agg(F.min("edge").alias("edge")), "edges")
+        new = ends.select("edge.*").distinct()
+        edges = new if edges is None else edges.unionByName(new)
+        across = new.join(part.select(F.col("vid").alias("u"), F.col("component").alias("a")), "u").join(part.select(F.col("vid").alias("v"), F.col("component").alias("b")), "v")
+        names = part.select(F.col("component").alias("id")).distinct()
+        joined = connected_components(names, across.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        part = stage(part.join(joined.withColumnRenamed("component", "whole"), F.col("component") == F.col("id")).select("vid", F.col("whole").alias("component")), "parts")
+    from ..plans.ordering import with_position
+
+    if edges is None:
+        edges = pts.sparkSession.createDataFrame([], "w double, u string, v string")
+    ranked = with_position(stage(edges.distinct(), "tree"), [F.asc("w"), F.asc("u"), F.asc("v")], name="rank", total=None)
+    return members, stage(ranked.select("rank", F.col("w").alias("height"), "u", "v"), "merges")
+
+
+def _cut(members: DataFrame, merges: DataFrame) -> DataFrame:
+    parts = connected_components(members.select(F.col("vid").alias("id")).distinct(), merges.select("u", "v"))
+    return numbered(members.join(parts.withColumnRenamed("id", "vid"), "vid").select("id", "component"))
+
+
+def cut_at(tree: tuple[DataFrame, DataFrame], distance: float) -> DataFrame:
+    """``id, cluster`` of single linkage at a distance."""
+    members, merges = tree
+    return _cut(members, merges.where(F.col("height") <= distance))
+
+
+def cut_into(tree: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
+    """``id, cluster`` of single linkage with ``k`` clusters, or as many as there are distinct vectors."""
+    members, merges = tree
+    n = members.select("vid").distinct().count()
+    return _cut(members, merges.where(F.col("rank") <= n - k))
+
+
 # ---- MLlib models ----
 
 

@@ -280,6 +280,46 @@ def bridges(points: DataFrame, asking: DataFrame, eps: float, leaf_rows: int = L
     return pairs.distinct()
 
 
+def nearest_outside(points: DataFrame, asking: DataFrame, nodes: list[tuple[int, float, int, int]], leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """``component, edge``: for each component of ``asking(vid, vec, component, reach)`` the shortest edge ``(w, u, v)``
+    to a point of ``points(vid, vec, component)`` in another component, no longer than a point's ``reach``.
+
+    Equal lengths are ordered by their ends. ``nodes`` is a tree over the points; busy leaves are split
+    as in ``nearest``. A task puts out one edge per component, never pairs of points.
+    """
+    tree = points.sparkSession.sparkContext.broadcast(nodes)
+
+    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            r, c = _reached(_matrix(pdf["vec"]), pdf["reach"].to_numpy(float), tree.value)
+            yield pdf.iloc[r].assign(target=c)
+
+    rows = lambda df, *more: df.select("vid", "vec", "component", *more)
+    trips = stage(rows(asking, "reach").mapInPandas(leaves, "vid string, vec array<double>, component string, reach double, target long"), "visits")
+    load = trips.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).cast("int").alias("copies"))
+    copy = F.pmod(F.xxhash64("vid"), F.col("copies")).cast("int").alias("copy")
+    asked = trips.join(load, "target").select("vid", "vec", "component", "reach", "target", copy)
+    own = _placed(points.withColumn("weight", F.lit(1).cast("long")), nodes).select("vid", F.col("leaf").alias("target"))
+    every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
+    held = rows(points).join(own, "vid").join(load, "target").select("vid", "vec", "component", "target", every)
+
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        best: dict[str, tuple[float, str, str]] = {}
+        x, y = _matrix(q["vec"]), _matrix(b["vec"])
+        u, v, uid, vid, reach = q["component"].to_numpy(), b["component"].to_numpy(), q["vid"].to_numpy(), b["vid"].to_numpy(), q["reach"].to_numpy(float)
+        for at in range(0, len(q) if len(b) else 0, _BLOCK):
+            gap = np.where(u[at : at + _BLOCK, None] != v[None, :], _distances(x[at : at + _BLOCK], y), np.inf)
+            least = gap.min(axis=1)
+            r, c = np.nonzero((gap == least[:, None]) & np.isfinite(gap) & (gap <= reach[at : at + _BLOCK, None]))
+            for i, j in zip(r, c):
+                edge = (float(gap[i, j]), *sorted((uid[at + i], vid[j])))
+                best[u[at + i]] = min(best.get(u[at + i], edge), edge)
+        return pd.DataFrame([(k, *e) for k, e in best.items()], columns=["component", "w", "u", "v"])
+
+    found = asked.groupBy("target", "copy").cogroup(held.groupBy("target", "copy")).applyInPandas(meet, "component string, w double, u string, v string")
+    return found.groupBy("component").agg(F.min(F.struct("w", "u", "v")).alias("edge"))
+
+
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
     self_first = (F.col("vid") != F.col("nid")).cast("int")
     return top_per_group(rows, ["vid"], [self_first.asc(), F.asc("distance"), F.asc("nid")], k + 1)

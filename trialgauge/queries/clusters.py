@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import anomalies as an
@@ -93,6 +95,56 @@ def k04_single(spark, sf_dir):
     return cl.single_linkage(_points(spark, sf_dir, LEGACY)[1], 1.0)
 
 
+def _cuts_sql(distances: list[float]) -> tuple[str, dict[str, str]]:
+    tables, parts = {}, []
+    for n, distance in enumerate(distances):
+        own = _dbscan_sql(distance, 1)
+        fresh = {k: f"{k}_c{n}" for k in own}
+        rename = lambda sql: re.sub(r"\bq_[a-z0-9_]+\b", lambda m: fresh.get(m[0], m[0]), sql)
+        tables |= {fresh[k]: rename(v) for k, v in own.items()}
+        parts.append(f"SELECT {distance}::DOUBLE AS cut, * FROM ({rename(_DB)}) t{n}")
+    return " UNION ALL ".join(parts), tables
+
+
+_CUTS = [0.6, 1.0, 1.6]
+_CUTS_SQL, _CUTS_TABLES = _cuts_sql(_CUTS)
+
+
+def _merges(spark, sf_dir):
+    """The merge tree, made once per input."""
+    return kept(spark, "merge-tree", cv.source_paths(sf_dir), lambda: cl.merge_tree(_points(spark, sf_dir, LEGACY)[1]))
+
+
+@book.add("k04_merge_tree_cuts", _CUTS_SQL, **_CUTS_TABLES)
+def k04_cuts(spark, sf_dir):
+    """Clusters at three distances, all read from one tree."""
+    tree = _merges(spark, sf_dir)
+    rows = [cl.cut_at(tree, d).select(F.lit(d).alias("cut"), "id", "cluster") for d in _CUTS]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@book.add(
+    "k04_merge_heights",
+    "SELECT count(*) AS merges, round(sum(d), 4) AS total, round(max(d), 4) AS last FROM ("
+    "SELECT min(d) AS d FROM (SELECT e.u, e.v, e.d FROM q_span e) z GROUP BY u, v) y",
+    q_vid="SELECT DISTINCT min(b) AS vid FROM q_pairs WHERE d = 0 GROUP BY a",
+    q_edge="SELECT a AS u, b AS v, d FROM q_pairs WHERE a < b AND d > 0 AND a IN (SELECT vid FROM q_vid) AND b IN (SELECT vid FROM q_vid)",
+    # an edge is in the tree unless a path of shorter ones joins its ends: longest edges of the best paths, closed in seven doublings
+    **{
+        "q_way0": "SELECT u AS x, v AS y, d FROM q_edge UNION ALL SELECT v, u, d FROM q_edge",
+        **{
+            f"q_way{i}": f"SELECT x, y, min(d) AS d FROM (SELECT x, y, d FROM q_way{i - 1} UNION ALL SELECT p.x, q.y, greatest(p.d, q.d) FROM q_way{i - 1} p JOIN q_way{i - 1} q ON p.y = q.x AND p.x <> q.y) w GROUP BY x, y"
+            for i in range(1, 8)
+        },
+        "q_span": "SELECT e.u, e.v, e.d FROM q_edge e JOIN q_way7 w ON w.x = e.u AND w.y = e.v WHERE e.d <= w.d",
+    },
+)
+def k04_heights(spark, sf_dir):
+    """How many merges the tree has, their summed height and the last one."""
+    merges = _merges(spark, sf_dir)[1]
+    return merges.agg(F.count(F.lit(1)).alias("merges"), F.round(F.sum("height"), 4).alias("total"), F.round(F.max("height"), 4).alias("last"))
+
+
 @book.add("k04_hierarchical_top_down")
 def k04(spark, sf_dir):
     return cl.bisecting(_points(spark, sf_dir)[1], K)
