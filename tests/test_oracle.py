@@ -19,7 +19,9 @@ b04_cohort_statistics b04_cohort_statistics_large_input_path b08_strengths_weakn
 a04_local_outlier_factor a14_control_chart a15_ks_drift_large_input_path a18_summary k02_dbscan k08_co_association
 k16_silhouette g01_first_node_wins g02_first_edge_wins g18_safety_reviews_by_site g21_count_by_nearest_target
 g25_beam_expansion t02_minhash t08_entity_retrieval t11_text_vector t13_vector_top_k_many_queries n07_studies_without_issues
-n21_coded_percentage n25_coding_records_of_study p01_site_summary p08_site_fact_sheet
+n21_coded_percentage n25_coding_records_of_study p01_site_summary p08_site_fact_sheet a02_isolation_forest
+a03_legacy_forest_bands a15_ks_drift k04_merge_tree_cuts k04_merge_heights k21_projection g25_questions_at_once j10_similar_values
+t06_edit_join
 """.split()
 
 SQL = entry.oracle_sql()

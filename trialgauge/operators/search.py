@@ -223,6 +223,31 @@ def similar_values(values: DataFrame, keywords: DataFrame, percent: int) -> Data
     return found.select(F.col("u").alias("keyword"), F.col("v").alias("value"), "jaccard")
 
 
+def edit_join(values: DataFrame, keywords: DataFrame, edits: int) -> DataFrame:
+    """``keyword, value, distance``: all pairs at most ``edits`` case-insensitive edits apart; exact.
+
+    A value is cut into ``edits + 1`` pieces. Edits can touch all but one of them, and the untouched one
+    stands in the keyword at most ``edits`` places off. So values are listed under their length and
+    pieces, keywords under what could be such a piece, and only pairs that meet are measured.
+    """
+    text = lambda c: F.lower(F.col(c))
+    pieces = edits + 1
+    start = lambda i: F.floor(i * F.col("size") / pieces).cast("int")
+    i = F.col("i")
+    held = values.select("value").where(F.col("value").isNotNull()).distinct().withColumn("size", F.length("value"))
+    held = held.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(edits))))
+    held = held.select("value", "size", "i", F.substring(text("value"), start(i) + 1, start(i + 1) - start(i)).alias("piece"))
+    asked = keywords.select("keyword").where(F.col("keyword").isNotNull()).distinct().withColumn("own", F.length("keyword"))
+    asked = asked.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(0), F.col("own") - edits), F.col("own") + edits)))
+    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(edits)))).withColumn("n", start(i + 1) - start(i))
+    low, high = F.greatest(F.lit(0), start(i) - edits), F.least(start(i) + edits, F.col("own") - F.col("n"))
+    asked = asked.where(low <= high).withColumn("at", F.explode(F.sequence(low, high)))
+    asked = asked.select("keyword", "size", "i", F.substring(text("keyword"), F.col("at") + 1, F.col("n")).alias("piece")).distinct()
+    met = asked.join(held, ["size", "i", "piece"]).select("keyword", "value").distinct()
+    rated = met.withColumn("distance", F.levenshtein(text("keyword"), text("value"), edits))
+    return rated.where(F.col("distance") >= 0)
+
+
 def _columns_long(df: DataFrame) -> DataFrame:
     """``column, value`` of every cell that is not null, as text; one scan."""
     names = [f"c{i}" for i in range(len(df.columns))]

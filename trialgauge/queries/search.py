@@ -137,6 +137,16 @@ def t06(spark, sf_dir):
     return p.select("p_partkey", F.round(tx.edit_similarity(F.col("p_name"), F.col("other")), 6).alias("similarity"))
 
 
+@book.add(
+    "t06_edit_join",
+    "SELECT keyword, value, CAST(d AS INT) AS distance FROM (SELECT keyword, value, levenshtein(lower(keyword), lower(value)) AS d FROM q_keyword, q_values "
+    "WHERE abs(length(keyword) - length(value)) <= 3) x WHERE d <= 3",
+)
+def t06_join(spark, sf_dir):
+    """Every value within three edits of a keyword."""
+    return se.edit_join(_values(spark, sf_dir), _keywords(spark, sf_dir), 3)
+
+
 define(
     "q_index",
     "SELECT DISTINCT * FROM (SELECT p_name AS value, 'part' AS table_name, 'p_name' AS column_name FROM part UNION ALL SELECT p_brand, 'part', 'p_brand' FROM part "
