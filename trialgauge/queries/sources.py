@@ -271,6 +271,28 @@ def s18(spark, sf_dir):
     )
 
 
+@book.add(
+    "s18_graph_file",
+    "SELECT 'node' AS kind, id AS source, '' AS target, node_type AS type, true AS same FROM q_nodes UNION ALL SELECT 'edge', src, dst, edge_type, true FROM q_edges",
+)
+def s18_file(spark, sf_dir):
+    """Every element read back from the graph file, and whether its properties are those of the element written."""
+    from ..operators import graph
+
+    folder = _folder(spark, "graph-xml")
+    nodes, edges = (stage(df, "graph") for df in graph.build_from_views(spark, sf_dir))
+    writers.write_graph_xml(nodes, edges, folder)
+    back_nodes, back_edges = readers.read_graph_xml(spark, folder)
+    entries = lambda c: F.array_sort(F.filter(F.map_entries(F.coalesce(c, F.create_map().cast("map<string,string>"))), lambda e: e["value"].isNotNull()))
+
+    def compared(back, written, keys, kind, target):
+        both = back.withColumnRenamed("props", "read").join(written.select(*keys, "props"), keys, "left")
+        same = F.coalesce(entries(F.col("read")) == entries(F.col("props")), F.lit(False))
+        return both.select(F.lit(kind).alias("kind"), F.col(keys[0]).alias("source"), target.alias("target"), F.col(f"{kind}_type").alias("type"), same.alias("same"))
+
+    return compared(back_nodes, nodes, ["id"], "node", F.lit("")).unionByName(compared(back_edges, edges, ["src", "dst"], "edge", F.col("dst")))
+
+
 @book.add(
     "s03_discovered_files",
     "SELECT DISTINCT regexp_extract(study, '(\\d+)', 1) AS study_number, 'other' AS category, true AS has_rows FROM v_sites",

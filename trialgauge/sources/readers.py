@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming
 from .schemas import DATASETS
+from .writers import TYPE_KEY
 
 _FORMATS = ("csv", "parquet", "json", "orc")
 
@@ -152,3 +153,19 @@ def read_jdbc(spark: SparkSession, url: str, dbtable: str, **options: str) -> Da
 
 def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
+
+
+def read_graph_xml(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges of GraphML elements that ``write_graph_xml`` wrote; properties come back as text."""
+    data = "data array<struct<_key: string, _VALUE: string>>"
+
+    def read(tag: str, schema: str) -> DataFrame:
+        rows = spark.read.format("xml").option("rowTag", tag).option("nullValue", "\\N").option("ignoreSurroundingSpaces", "false")
+        return rows.schema(f"{schema}, {data}").load(f"{folder}/{tag}s")
+
+    kind = F.filter("data", lambda e: e["_key"] == TYPE_KEY)[0]["_VALUE"]
+    held = F.filter("data", lambda e: e["_key"].startswith("p:"))
+    props = F.map_from_entries(F.transform(held, lambda e: F.struct(F.substr(e["_key"], F.lit(3)), F.coalesce(e["_VALUE"], F.lit("")))))
+    nodes = read("node", "_id string").select(F.col("_id").alias("id"), kind.alias("node_type"), props.alias("props"))
+    edges = read("edge", "_source string, _target string")
+    return nodes, edges.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), kind.alias("edge_type"), props.alias("props"))
