@@ -26,6 +26,7 @@ HEADLINE = [
     "t08_entity_retrieval", "t13_vector_top_k", "p06_region_rollup",
     "a02_isolation_forest", "a05_robust_mahalanobis", "k05_gaussian_mixture", "k06_kmeans", "k07_spectral", "k16_silhouette",
     "t13_vector_top_k_many_queries", "t13_vector_bucketed", "g25_beam_expansion",
+    "j10_similar_values", "t06_edit_join",
 ]
 
 

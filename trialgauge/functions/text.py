@@ -7,6 +7,7 @@ import random
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Shingle length, permutations and bands of a signature, their modulus and seed.
 SHINGLE = 3
 PERMUTATIONS, BANDS = 128, 32
 ROWS_PER_BAND = PERMUTATIONS // BANDS

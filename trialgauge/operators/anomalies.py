@@ -444,6 +444,7 @@ def explanation(metrics: Sequence[str]) -> Column:
 
     text = F.create_map(*[x for m in metrics for x in (F.lit(m), shown(m))])
     listed = F.concat_ws(", ", F.transform(F.slice("anomalous", 1, 3), lambda f: text[f]))
+    # fixed values: the sentences
     return F.when(
         F.size("anomalous") == 0, F.concat(F.lit("Site "), F.col("site_id"), F.lit(" shows normal behavior across all metrics."))
     ).otherwise(

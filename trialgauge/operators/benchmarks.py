@@ -77,6 +77,7 @@ def attribute_cohorts(sites: DataFrame, column: str | None) -> tuple[DataFrame,
     return sites.select("site", key.alias("cohort")), sites.select(key.alias("cohort"), F.col("site").alias("peer"))
 
 
+# Levels and labels of a percentile.
 def performance_level(p: Column) -> Column:
     return (
         F.when(p >= 90, "top_performer")
@@ -222,6 +223,7 @@ def overall(bench: DataFrame) -> DataFrame:
         F.max(F.when(dqi, F.col("rank_desc"))).alias("study_rank"),
         F.max(F.when(dqi, F.col("n"))).alias("study_total"),
     )
+    # fixed value: the advice where nothing is weak
     fallback = F.array(F.lit("Maintain current performance levels"))
     return out.select(
         "site",

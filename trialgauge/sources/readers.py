@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
+from ..plans.staging import stage
 from .schemas import DATASETS
 from .writers import TYPE_KEY
 
@@ -123,10 +124,13 @@ def run_sql(spark: SparkSession, text: str) -> DataFrame:
 
 
 def safe_execute(spark: SparkSession, text: str, limit: int = 1000) -> dict:
-    """Rows (``limit`` at most), columns and whole row count of a statement, or its error."""
+    """Rows (``limit`` at most), columns and whole row count of a statement, or its error. The statement runs once."""
     try:
         df = spark.sql(text)
-        return {"success": True, "rows": [r.asDict() for r in df.limit(limit).collect()], "columns": df.columns, "count": df.count(), "error": None}
+        columns = df.columns
+        held = stage(df.toDF(*[f"c{i}" for i in range(len(columns))]), "statement") if columns else df
+        rows = [dict(zip(columns, r, strict=True)) for r in held.limit(limit).collect()]
+        return {"success": True, "rows": rows, "columns": columns, "count": held.count(), "error": None}
     except PySparkException as error:
         return {"success": False, "rows": [], "columns": [], "count": 0, "error": str(error).splitlines()[0]}
 
