@@ -210,11 +210,45 @@ def bucketed_top_k(
     count = F.count(F.lit(1)).over(Window.partitionBy("query_id")).alias("candidates")
     met = met.select("query_id", "id", "weight", count)
     best = met if rated is None else top_per_group(met, ["query_id"], [F.desc("weight"), F.asc("id")], rated)
-    both = best.select("query_id", "id", "candidates").join(queries.select("query_id", "vec"), "query_id").join(base.select("id", F.col("vec").alias("other")), "id")
-    scored = both.select("query_id", "id", tx.cosine("vec", "other").alias("similarity"), "candidates")
+    scored = _similar_pairs(best.select("query_id", "id", "candidates"), base, queries)
     return top_per_group(scored, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 
 
+def _similar_pairs(pairs: DataFrame, base: DataFrame, queries: DataFrame, block_rows: int = QUERY_BLOCK) -> DataFrame:
+    """``query_id, id, similarity, candidates`` of ``pairs(query_id, id, candidates)``.
+
+    A pair moves as three numbers to the block of its two ends. Vectors move once per block of the other side,
+    not once per pair.
+    """
+    of = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left, right = (max(1, -(-df.count() // block_rows)) for df in (queries, base))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.lit(True).alias("asks"), F.col("query_id").alias("key"), "vec", of("query_id", left).alias("qb"), every(right).alias("bb"))
+    known = base.select(F.lit(False).alias("asks"), F.col("id").alias("key"), "vec", every(left).alias("qb"), of("id", right).alias("bb"))
+    placed = pairs.select("query_id", "id", "candidates", of("query_id", left).alias("qb"), of("id", right).alias("bb"))
+
+    def rated(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = p[["query_id", "id", "candidates"]]
+        if p.empty or v.empty:
+            return out.iloc[:0].assign(similarity=np.zeros(0))
+
+        def side(asks: bool, wanted: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            own = v[v["asks"] == asks].sort_values("key")
+            x = np.stack(own["vec"].to_numpy()).astype(float)
+            return x, np.linalg.norm(x, axis=1), np.searchsorted(own["key"].to_numpy(), wanted.to_numpy())
+
+        (q, qn, r), (b, bn, c) = side(True, p["query_id"]), side(False, p["id"])
+        similarity = np.zeros(len(p))
+        for at in range(0, len(p), 1 << 16):
+            i, j = r[at : at + (1 << 16)], c[at : at + (1 << 16)]
+            norm = qn[i] * bn[j]
+            similarity[at : at + (1 << 16)] = np.divide(np.einsum("nd,nd->n", q[i], b[j]), norm, out=np.zeros(len(i)), where=norm > 0)
+        return out.assign(similarity=similarity)
+
+    cells = placed.groupBy("qb", "bb").cogroup(asked.unionByName(known).groupBy("qb", "bb"))
+    return cells.applyInPandas(rated, "query_id long, id long, candidates long, similarity double")
+
+
 def similar_values(values: DataFrame, keywords: DataFrame, percent: int) -> DataFrame:
     """``keyword, value, jaccard``: all pairs whose shingles are similar enough; exact, where ``lsh_candidates`` can miss pairs."""
     left = keywords.select(F.col("keyword").alias("id"), tx.shingles("keyword").alias("items")).distinct()
