@@ -1,5 +1,6 @@
 """A metric that all sites share has no deviation, however many tasks add it up."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from trialgauge.operators import anomalies as an
@@ -18,7 +19,7 @@ def test_constant_metric_scales_to_zero(spark):
     rows = shared(spark)
     assert rows.agg(F.stddev_pop("rate")).first()[0] != 0.0  # as the engine adds it up
     stats = an.feature_stats(rows, ["rate", "other"])
-    assert stats["rate"] == {"mean": SHARE, "std": 0.0}
+    assert stats["rate"] == {"mean": pytest.approx(SHARE), "std": 0.0}
     assert stats["other"]["std"] > 0
     assert {r["vec"][0] for r in an.scaled_vectors(rows, ["rate", "other"], stats).collect()} == {0.0}
 
@@ -26,4 +27,4 @@ def test_constant_metric_scales_to_zero(spark):
 def test_constant_metric_has_no_deviation_in_the_baselines(spark):
     for table in (ft.population_statistics(shared(spark), metrics=["rate"]), an.population_stats(shared(spark), ["rate"])):
         row = table.first()
-        assert (row["mean"], row["std"]) == (SHARE, 0.0)
+        assert (row["mean"], row["std"]) == (pytest.approx(SHARE), 0.0)
