@@ -4,9 +4,10 @@
 2. A kd-tree of median splits cuts space into leaves of a few thousand vectors. Leaves are
    counted and those above the limit are split again, each from a sample of its own, until
    none is. Samples only place the cuts; no result depends on them.
-3. Inside its leaf each vector gets an upper bound on its k-th distance.
-4. A vector descends the tree and visits only leaves whose bounding box lies within that
-   bound. Busy leaves are split over several tasks by a counted number of copies.
+3. Leaves that hang together form blocks, so that small leaves do not make as many groups and
+   trips. Inside its block each vector gets an upper bound on its k-th distance.
+4. A vector descends the tree and visits only blocks with a leaf whose bounding box lies within
+   that bound. Busy blocks are split over several tasks by a counted number of copies.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ LEAF_ROWS = 2048
 #: Rows that place the cuts of one leaf, and the smallest number of them per new leaf.
 SAMPLE_ROWS, PER_LEAF = 50_000, 16
 _BLOCK = 512
+#: Pairs of a vector and a leaf that a task looks at together.
+_PAIRS = 1 << 18
 
 
 def weighted_vectors(points: DataFrame) -> DataFrame:
@@ -122,6 +125,32 @@ def _grafted(nodes: list[tuple[int, float, int, int]], found: list) -> list[tupl
     return [n if n[0] >= 0 else (-1, 0.0, next(leaves), 0) for n in out]
 
 
+def _blocks(nodes: list[tuple[int, float, int, int]], leaf_rows: int) -> np.ndarray:
+    """Block of every leaf: the largest subtrees of about as many leaves as there are blocks, and of ``LEAF_ROWS``
+    vectors at most where a leaf has no more than that."""
+    leaves: dict[int, list[int]] = {}
+    stack = [(0, False)]
+    while stack:
+        at, done = stack.pop()
+        dim, _, left, right = nodes[at]
+        if dim < 0:
+            leaves[at] = [left]
+        elif done:
+            leaves[at] = leaves[left] + leaves[right]
+        else:
+            stack += [(at, True), (left, False), (right, False)]
+    most = max(1, min(math.isqrt(len(leaves[0])), LEAF_ROWS // leaf_rows))
+    block, count, stack = np.zeros(len(leaves[0]), dtype=np.int64), 0, [0]
+    while stack:
+        at = stack.pop()
+        if len(leaves[at]) <= most:
+            block[leaves[at]] = count
+            count += 1
+        else:
+            stack += nodes[at][2:]
+    return block
+
+
 def _placed(vectors: DataFrame, nodes: list[tuple[int, float, int, int]]) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(nodes)
 
@@ -189,13 +218,23 @@ def nearest(vectors: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame
     neighbours in the sense of points are always among the listed vectors.
     """
     nodes = grow_tree(vectors, leaf_rows)
-    placed = stage(_placed(vectors, nodes), "leaves")
+    block_of = _blocks(nodes, leaf_rows)
+    places = vectors.sparkSession.sparkContext.broadcast((nodes, block_of))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, blocks = places.value
+        for pdf in batches:
+            leaf = _leaf_of(_matrix(pdf["vec"]), tree)
+            yield pdf.assign(leaf=leaf, block=blocks[leaf])
+
+    schema = "vid string, vec array<double>, weight long, leaf long, block long"
+    placed = stage(vectors.select("vid", "vec", "weight").mapInPandas(place, schema), "leaves")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         return _nearest(pdf, pdf, k)
 
-    local = placed.groupBy("leaf").applyInPandas(within, _NEAR)
-    if len(nodes) == 1:
+    local = placed.groupBy("block").applyInPandas(within, _NEAR)
+    if block_of.max() == 0:
         return _ranked(local, k)
     local = stage(local, "near")
     bound = local.groupBy("vid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
@@ -206,28 +245,30 @@ def nearest(vectors: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame
         F.array(*[F.min(F.col("vec")[i]) for i in range(dims)]).alias("lo"),
         F.array(*[F.max(F.col("vec")[i]) for i in range(dims)]).alias("hi"),
     ).collect()  # one row per leaf, as many as the tree that the driver holds
-    last = max(b["leaf"] for b in boxes) + 1
-    lo, hi = np.full((last, dims), np.inf), np.full((last, dims), -np.inf)
+    lo, hi = np.full((len(block_of), dims), np.inf), np.full((len(block_of), dims), -np.inf)
     for b in boxes:
         lo[b["leaf"]], hi[b["leaf"]] = b["lo"], b["hi"]
-    shared = vectors.sparkSession.sparkContext.broadcast((nodes, lo, hi))
+    shared = vectors.sparkSession.sparkContext.broadcast((nodes, block_of, lo, hi))
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, low, high = shared.value
-        for pdf in batches:
-            v, bound_of, own = _matrix(pdf["vec"]), pdf["bound"].to_numpy(), pdf["leaf"].to_numpy()
-            r, c = _reached(v, bound_of, tree)
-            gap = np.sqrt((np.maximum(0, np.maximum(low[c] - v[r], v[r] - high[c])) ** 2).sum(axis=1))
-            hit = (gap <= bound_of[r]) & (c != own[r])
-            r, c = r[hit], c[hit]
-            yield pd.DataFrame({"vid": pdf["vid"].to_numpy()[r], "vec": pdf["vec"].to_numpy()[r], "target": c})
+        tree, blocks, low, high = shared.value
+        step = max(1, _PAIRS // len(blocks))
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                pdf = whole.iloc[at : at + step]
+                v, bound_of, own = _matrix(pdf["vec"]), pdf["bound"].to_numpy(), pdf["block"].to_numpy()
+                r, c = _reached(v, bound_of, tree)
+                gap = np.sqrt((np.maximum(0, np.maximum(low[c] - v[r], v[r] - high[c])) ** 2).sum(axis=1))
+                hit = (gap <= bound_of[r]) & (blocks[c] != own[r])
+                r, c = np.unique(np.stack([r[hit], blocks[c[hit]]]), axis=1)
+                yield pd.DataFrame({"vid": pdf["vid"].to_numpy()[r], "vec": pdf["vec"].to_numpy()[r], "target": c})
 
     trips = placed.join(bound, "vid").mapInPandas(visits, "vid string, vec array<double>, target long")
     trips = stage(trips, "visits")
-    load = trips.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).cast("int").alias("copies"))
+    load = trips.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / max(leaf_rows, LEAF_ROWS)).cast("int").alias("copies"))
     asked = trips.join(load, "target").withColumn("copy", F.pmod(F.xxhash64("vid"), F.col("copies")).cast("int"))
     asked = asked.select("vid", "vec", F.lit(1).cast("long").alias("weight"), "target", "copy")
-    held = placed.withColumnRenamed("leaf", "target").join(load, "target").select(
+    held = placed.withColumnRenamed("block", "target").join(load, "target").select(
         "vid", "vec", "weight", "target", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
     )
 
