@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tests.llm import brute
 from trialgauge.llm import near_copies, simhash
@@ -104,3 +106,35 @@ def test_pairs_of_small_buckets_and_members_of_large_ones(spark, monkeypatch):
     found = {(r["u"], r["v"]) for r in near_copies.small_pairs(small).collect()}
     assert found == {(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5)}
     assert {tuple(r) for r in crowd.collect()} == {(1, f, 0) for f in range(6)}
+
+
+def test_pairs_at_the_least_similarity_are_all_met(spark):
+    """Nine shingles, of which eight are common to both: minhash bands missed two such pairs of 20 000, these."""
+    texts = []
+    for n in (1573, 7903):
+        words = [f"k{n}x{i}" for i in range(13)]
+        texts += [" ".join(words), " ".join(["new", *words[1:]])]
+    rows = list(enumerate(texts))
+    assert lowest_of_groups(rows) == [0, 2]
+    assert groups_of(spark, rows) == [0, 2]
+
+
+def test_marks_and_lists_leave_out_no_similar_pair(spark):
+    rnd = random.Random(14)
+    sets = []
+    for _ in range(200):
+        base = np.array(rnd.sample(range(1 << 62), rnd.randint(1, 400) + rnd.choice((0, 850))), np.uint64)
+        near = base[: len(base) - len(base) // rnd.choice((3, 5, 9, 20))]
+        sets += [np.unique(base), np.unique(near)]
+    size = np.array([len(s) for s in sets])
+    last = np.unique(np.concatenate([s[: len(s) // 7] for s in sets[::2]]))
+    lists = near_copies._lists_of(sets, near_copies.listed(size), last).to_pylist()
+    flat, words = near_copies.parity_marks(sets, size)
+    marks = np.split(flat, np.cumsum(words)[:-1])
+    entries = spark.createDataFrame([(n, int(size[n]), m.tolist()) for n, m in enumerate(marks)], "fp bigint, size bigint, mark array<bigint>")
+    pairs = spark.createDataFrame([(n, n + 1) for n in range(0, len(sets), 2)], "u bigint, v bigint")
+    left = {r["u"] for r in near_copies.possible(pairs, entries).collect()}
+    similar = [n for n in range(0, len(sets), 2) if 10 * len(np.intersect1d(sets[n], sets[n + 1])) >= 8 * len(np.union1d(sets[n], sets[n + 1]))]
+    assert 100 <= len(similar) <= 190 and left == set(similar)
+    assert all(set(lists[n]) & set(lists[n + 1]) for n in similar)
+    assert len({len(m) for m in marks}) == 2
