@@ -113,29 +113,52 @@ def retrieve_entities(index: DataFrame, keywords: DataFrame, top_k: int = 10) ->
     )
 
 
+#: Bytes of the vectors of one side that meet in a task.
+PART_BYTES = 16 << 20
+
+
+def parts_of(queries: int, base: int, part: int, block: int, tasks: int) -> tuple[int, int]:
+    """Into how many parts of at most ``part`` rows queries and base are cut: about ``tasks`` pairs of parts with few copies, parts not under ``block`` rows."""
+    share = math.sqrt(tasks * max(base, 1) / max(queries, 1))
+    fit = lambda n, wanted: max(1, -(-n // part), min(-(-n // block), wanted))
+    right = fit(base, math.ceil(share))
+    return fit(queries, math.ceil(tasks / right)), right
+
+
 def vector_top_k(base: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine top-k: ``query_id, id, similarity, rank``.
 
-    ``base(id, vec)``, ``queries(query_id, vec)``. Both sides are cut into blocks; each pair of
-    blocks is one matrix product that emits its best k per query, so no task holds either side
-    whole. The work is the product of both sizes: for many queries ``bucketed_top_k`` is the
+    ``base(id, vec)``, ``queries(query_id, vec)``. Both sides are cut into parts of at most ``PART_BYTES``; each pair of
+    parts meets in one task, which multiplies ``query_block`` queries at a time and emits the best k per query, so no task holds either side
+    whole and a vector is copied once per part of the other side. The work is the product of both sizes: for many queries ``bucketed_top_k`` is the
     operator to use.
     """
-    n = queries.count()
     schema = "query_id long, id long, similarity double"
 
-    def product(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+    def best(rows: np.ndarray, ids: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first k entries of every row by falling similarity and rising id."""
+        order = np.lexsort((ids, -sim, rows))
+        rows, ids, sim = rows[order], ids[order], sim[order]
+        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+        keep = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)])) < k
+        return rows[keep], ids[keep], sim[keep]
+
+    def product(q: np.ndarray, q_norm: np.ndarray, ids: np.ndarray, x: np.ndarray, x_norm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        norm = q_norm[:, None] * x_norm[None, :]
         sim = np.divide(q @ x.T, norm, out=np.zeros_like(norm), where=norm > 0)
-        order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(q)), order.shape[1])
-        cols = order.ravel()
-        return pd.DataFrame({"query_id": q_ids[rows], "id": ids[cols], "similarity": sim[rows, cols]})
+        if k < len(ids):
+            least = np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
+            rows, cols = np.nonzero((-sim <= least) | np.isnan(least))
+        else:
+            rows, cols = (a.ravel() for a in np.indices(sim.shape))
+        return best(rows, ids[cols], sim[rows, cols])
 
     def matrix(series: pd.Series) -> np.ndarray:
         return np.stack(series.to_numpy()).astype(float)
 
-    left, right = max(1, -(-n // query_block)), max(1, -(-base.count() // query_block))
+    first = base.select(F.size("vec").alias("n")).first()
+    part = max(query_block, PART_BYTES // (8 * max(1, (first and first["n"]) or 1)))
+    left, right = parts_of(queries.count(), base.count(), part, query_block, 4 * base.sparkSession.sparkContext.defaultParallelism)
     both = lambda df, key, own, other, size, count: df.withColumn(
         own, F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
     ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
@@ -145,7 +168,15 @@ def vector_top_k(base: DataFrame, queries: DataFrame, k: int = 5, query_block: i
     def block(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if q.empty or b.empty:
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        return product(q["query_id"].to_numpy(), matrix(q["vec"]), b["id"].to_numpy(), matrix(b["vec"]))
+        q_ids, ids, q_all, x_all = q["query_id"].to_numpy(), b["id"].to_numpy(), matrix(q["vec"]), matrix(b["vec"])
+        q_norm, x_norm = np.linalg.norm(q_all, axis=1), np.linalg.norm(x_all, axis=1)
+        cuts = lambda n, size: [slice(i, i + size) for i in range(0, n, size)]
+        out = []
+        for c in cuts(len(q_ids), query_block):
+            met = [product(q_all[c], q_norm[c], ids[d], x_all[d], x_norm[d]) for d in cuts(len(ids), QUERY_BLOCK)]
+            rows, found_ids, sim = best(*(np.concatenate(a) for a in zip(*met, strict=True)))
+            out.append(pd.DataFrame({"query_id": q_ids[c][rows], "id": found_ids, "similarity": sim}))
+        return pd.concat(out)
 
     found = q_side.groupBy("qb", "bb").cogroup(b_side.groupBy("qb", "bb")).applyInPandas(block, schema)
     return top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
